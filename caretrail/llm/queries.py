@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, mixing, quality_rules, secrets
+from caretrail.llm import chat, decontamination, mixing, quality_classifier, quality_rules, secrets, simhash
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_mixing": mixing.op7_mixing,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
 }
 
