@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, mixing, quality_classifier, quality_rules, secrets, simhash
+from caretrail.llm import chat, decontamination, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_mixing": mixing.op7_mixing,
