@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from caretrail.llm import chat, decontamination, language_model, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_chat_formatting": chat.op5_chat_formatting,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
