@@ -74,3 +74,9 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def crc_mod_py(doc_id, n: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
+
+
+def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows of docs whose (doc_id, xxhash64 of the text) is not among keys (doc_id, text_key)."""
+    k = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
+    return docs.join(k, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_key")), "left_anti")

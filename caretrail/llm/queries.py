@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, language_model, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from caretrail.llm import chat, decontamination, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
@@ -18,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op5_chat_formatting": chat.OP5_SQL,
+    "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
 }

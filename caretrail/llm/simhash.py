@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretrail.llm.common import materialize, table, text_of
+from caretrail.llm.common import materialize, table, text_of, without
 from caretrail.llm.components import connected_components
 
 SHINGLE = 3
@@ -139,7 +139,10 @@ def home_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, fp, component_id), one row per input row; text_key is the text's xxhash64."""
+    """(doc_id, text_key, fp, component, component_id), one row per input row; text_key is the text's xxhash64.
+
+    component is a fingerprint that stands for the component, component_id its smallest doc_id.
+    """
     text = text_of(text_col)
     prints = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), fingerprints(text).alias("fp")), "fingerprints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-classes")
@@ -147,8 +150,25 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     member = materialize(member, "fingerprint-members")
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_print = member.join(least, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select("doc_id", "text_key", "fp", "component_id")
+    of_print = member.join(least, "component").select("fp", "component", "component_id")
+    return prints.join(of_print, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest text_key."""
+    groups = materialize(simhash_groups(docs, id_col, text_col), "near-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("text_key"))
+    chosen = groups.groupBy("component").agg(F.min(order).alias("first"))
+    placed = groups.join(chosen, "component").select("doc_id", "text_key", (order == F.col("first")).alias("stays"))
+    placed = materialize(placed.groupBy("doc_id", "text_key", "stays").count(), "near-places")
+    left = without(docs, placed.where(~F.col("stays")), id_col, text_col)
+    twice = placed.where("stays AND count > 1")
+    if twice.isEmpty():
+        return left
+    once = without(left, twice, id_col, text_col)  # rows that repeat a kept one go as well
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_key"))
+    again = left.join(twice.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), same, "left_semi")
+    return once.unionByName(again.dropDuplicates([id_col, text_col]))
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
