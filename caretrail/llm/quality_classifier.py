@@ -20,8 +20,8 @@ from caretrail.llm.common import crc_mod, table, text_of, words
 
 #: At most so many labelled rows are learnt from (those with the smallest hashes of their ids).
 SAMPLE = 20_000
-TREES, DEPTH, BINS, SHRINK, LASSO = 24, 3, 48, 0.3, 2e-4
-STATISTICS = ["words", "word_length", "distinct", "symbols", "capitals", "bangs", "bars", "digits", "marks", "lines", "longest_repeat"]
+TREES, DEPTH, BINS, SHRINK, LASSO = 16, 3, 48, 0.4, 3e-4
+STATISTICS = ["words", "word_length", "variety", "symbols", "capitals", "bangs", "bars", "digits", "marks", "lines", "word_runs"]
 
 
 def text_statistics(docs: DataFrame, keep: list[Column], text: Column) -> DataFrame:
@@ -33,8 +33,8 @@ def text_statistics(docs: DataFrame, keep: list[Column], text: Column) -> DataFr
     out = out.select(
         *names,
         F.size("_words").alias("words"),
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).alias("_chars"),
         F.size(F.array_distinct("_words")).alias("_distinct"),
+        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).alias("_chars"),
         count("[#$%&*<>]").alias("_symbols"),
         count("[A-Z]").alias("_capitals"),
         count("!").alias("_bangs"),
@@ -44,12 +44,13 @@ def text_statistics(docs: DataFrame, keep: list[Column], text: Column) -> DataFr
         count("\\n").alias("_lines"),
         count("(?<![^\\x20\\x09-\\x0D])([^\\x20\\x09-\\x0D]+)(?:\\x20\\1){2}(?![^\\x20\\x09-\\x0D])").alias("_runs"),
     )
-    per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    per = lambda a, b: F.coalesce(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(0.0))
     return out.select(
         *names,
         F.col("words").cast("double").alias("words"),
         per("_chars", "words").alias("word_length"),
-        per("_distinct", "words").alias("distinct"),
+        # log distinct / log words: unlike the plain share it hardly falls with the length
+        F.coalesce(F.log(F.col("_distinct") + 1.0) / F.log(F.greatest(F.col("words"), F.lit(1)) + 1.0), F.lit(0.0)).alias("variety"),
         per("_symbols", "_chars").alias("symbols"),
         per("_capitals", "_chars").alias("capitals"),
         per("_bangs", "words").alias("bangs"),
@@ -57,7 +58,7 @@ def text_statistics(docs: DataFrame, keep: list[Column], text: Column) -> DataFr
         per("_digits", "_chars").alias("digits"),
         per("_marks", "words").alias("marks"),
         per("_lines", "words").alias("lines"),
-        per("_runs", "words").alias("longest_repeat"),
+        per("_runs", "words").alias("word_runs"),
     )
 
 
@@ -113,7 +114,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[float, li
     return float(bias), kept
 
 
-def _lasso(on: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
+def _lasso(on: np.ndarray, y: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Logistic regression with an L1 penalty, by accelerated proximal gradient steps."""
     n, m = on.shape
     step = 4.0 / max(1e-9, np.linalg.norm(on.T @ on / n, 2) + 1)
