@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from caretrail.plans import merge_queries, scalar_queries
+from caretrail.plans import merge_queries, scalar_queries, view_queries
 
-_MODULES = [scalar_queries, merge_queries]
+_MODULES = [scalar_queries, merge_queries, view_queries]
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
