@@ -276,14 +276,16 @@ class Batch:
         self.fresh = _firsts(self.key, self.seg)
         self.entry = np.cumsum(self.fresh) - 1  # of each occurrence
         self.first = np.flatnonzero(self.fresh)  # of each entry; there the document is the entry's smallest
-        last = np.append(self.first[1:], len(self.key)) - 1
+        last = np.append(self.first[1:], len(self.key))[: len(self.first)] - 1
         self.least = self.ord[self.doc[self.first]]
         self.many = self.least != self.ord[self.doc[last]]
 
     def ranges(self, n_ranges: int):
         """(range, slice of entries) of each range with entries."""
         of = ((self.key[self.first] >> np.uint64(16)) * np.uint64(n_ranges) >> np.uint64(32)).astype(np.int64)
-        at = np.flatnonzero(_firsts(of)) if len(of) else []
+        if not len(of):
+            return
+        at = np.flatnonzero(_firsts(of))
         for a, b in zip(at, [*at[1:], len(of)], strict=True):
             yield int(of[a]), slice(int(a), int(b))
 
