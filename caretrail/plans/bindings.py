@@ -23,7 +23,7 @@ VIEWS = {
  1990 + (o_orderkey % 3000) / CAST(100 AS DOUBLE) AS year, CAST(1990 + o_custkey % 10 AS DOUBLE) AS low, CAST(1990 + o_custkey % 10 + o_custkey % 21 AS DOUBLE) AS high FROM orders""",
     "patients": """SELECT c_custkey AS patient_id, c_name, 1940 + c_custkey % 60 AS birth_year, c_custkey % 12 + 1 AS birth_month FROM customer""",
     "condition_mentions": """SELECT o.o_custkey AS patient_id, l.l_orderkey AS record_id,
- row_number() OVER (PARTITION BY o.o_custkey ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate) AS seq,
+ CAST(row_number() OVER (PARTITION BY o.o_custkey ORDER BY l_orderkey,l_linenumber,l_partkey,l_suppkey,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate) AS BIGINT) AS seq,
  p.p_name AS name_medical,
  CASE p.p_type WHEN 'ECONOMY' THEN 'skin' WHEN 'SMALL' THEN ' Cardio ' WHEN 'MEDIUM' THEN 'renal' WHEN 'PROMO' THEN 'gi' WHEN 'STANDARD' THEN 'endocrine' ELSE 'other' END AS system,
  CASE WHEN p.p_size % 3 = 0 THEN NULL ELSE p.p_brand END AS organ,

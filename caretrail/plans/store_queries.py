@@ -156,6 +156,17 @@ def blob_round_trip(spark, sf):
     return out.select("doc_id", "bad_blobs", F.md5("b").alias("md5"))
 
 
+def encode_blobs(spark, sf):
+    e = B.encode_blobs(base(spark, sf, "documents").select("doc_id", F.when(C("doc_id") % 5 > 0, C("text").cast("binary")).alias("b")), ["b"])
+    return e.select("doc_id", F.md5(C("b.data")).alias("data_md5"), C("b.__blob").alias("tagged"))
+
+
+def decode_blobs(spark, sf):
+    text = F.when(C("doc_id") % 7 == 0, "no base64!").otherwise(F.base64(C("text").cast("binary")))
+    d = base(spark, sf, "documents").select("doc_id", F.struct(F.lit(True).alias("__blob"), text.alias("data"), F.lit("image/png").alias("mimeType")).alias("b"))
+    return B.decode_blobs(d, ["b"]).select("doc_id", "bad_blobs", F.length("b").cast("long").alias("n_bytes"))
+
+
 def validate_backup(spark, sf):
     s = _stores(spark, sf)
     s["conditions"] = s["conditions"].withColumn("record_id", F.when(C("cx") % 30 == 0, "gone").otherwise(C("record_id"))).withColumn("status", F.when(C("cx") % 31 == 0, "odd").otherwise(C("status")))
@@ -211,7 +222,7 @@ def stream_call_health(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, normalize_enriched, secondary_locations, export_backup,
-    import_backup, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health,
+    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health,
 )}
 
 _ENR = _BASE + """, e AS (SELECT *, CASE WHEN seq % 9 = 0 THEN 'Nephrolithiasis' ELSE name_medical END AS nm FROM cond WHERE record_id IS NOT NULL), k AS (SELECT *, k FROM e, (SELECT unnest([0, 1, 2]) AS k) WHERE k < seq % 4),
@@ -238,6 +249,8 @@ SQL = {
     "export_backup": _BASE + ", h AS (SELECT patient_id, count(*)::BIGINT AS n FROM health_records GROUP BY 1), c AS (SELECT patient_id, count(*)::BIGINT AS n FROM cond GROUP BY 1) SELECT patient_id, 'caretrail' AS app, coalesce(h.n, 0) AS n_records, coalesce(c.n, 0) AS n_conditions FROM h FULL JOIN c USING (patient_id)",
     "import_backup": _BASE + "SELECT 'conditions' AS store, patient_id, id, record_id::VARCHAR AS a, cx FROM cond UNION ALL SELECT 'health_records', patient_id, id::VARCHAR, record_type, NULL FROM health_records",
     "blob_round_trip": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::INT AS bad_blobs, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 > 0 THEN md5(text) END AS md5 FROM documents",
+    "encode_blobs": "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN md5(base64(encode(text))) END AS data_md5, CASE WHEN doc_id % 5 > 0 THEN true END AS tagged FROM documents",
+    "decode_blobs": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::INT AS bad_blobs, CASE WHEN doc_id % 7 <> 0 THEN octet_length(encode(text)) END::BIGINT AS n_bytes FROM documents",
     "validate_backup": _BASE + "SELECT 'conditions' AS store, 'record_id' AS field, id, 'missing' AS rule FROM cond WHERE cx % 30 = 0 UNION ALL SELECT 'conditions', 'status', id, 'value' FROM cond WHERE cx % 31 = 0",
     "place_first": _BASE + f", x AS (SELECT id AS condition_id, seq, row_number() OVER (PARTITION BY patient_id, {_SYSTEM} ORDER BY seq) AS r FROM cond) SELECT condition_id, (seq % 3)::DOUBLE AS cx, 10.0::DOUBLE AS cy FROM x WHERE r = 1",
     "stream_ingest": "SELECT o_orderkey AS id, o_custkey AS patient_id, round(year(o_orderdate) + ((month(o_orderdate) - 1) * 30.44::DOUBLE + day(o_orderdate)) / 365.25::DOUBLE, 6) AS year_frac FROM orders",

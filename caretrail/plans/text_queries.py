@@ -146,8 +146,20 @@ def valid_shapes(spark, sf):
     )
 
 
+def is_valid_provider(spark, sf):
+    return valid_shapes(spark, sf).select("id", C("provider").alias("valid"))
+
+
+def is_valid_facility(spark, sf):
+    return valid_shapes(spark, sf).select("id", C("facility").alias("valid"))
+
+
+def is_valid_care_event(spark, sf):
+    return valid_shapes(spark, sf).select("id", C("care_event").alias("valid"))
+
+
 QUERIES = {f.__name__: f for f in (
-    redact_pii, redact_documents, remap_offsets, pii_counts, extract_provider_contacts, chunk_sections, chunk_cover, chunk_prompt_input, parse_extraction_ndjson, usable_extraction,
+    is_valid_provider, is_valid_facility, is_valid_care_event, redact_pii, redact_documents, remap_offsets, pii_counts, extract_provider_contacts, chunk_sections, chunk_cover, chunk_prompt_input, parse_extraction_ndjson, usable_extraction,
     inherit_report_attribution, extraction_outcome, parse_anatomy_ndjson, parse_dedupe_groups, parse_structure, parse_longitudinal_json, valid_shapes,
 )}
 
@@ -158,6 +170,9 @@ _LINES = """, n AS (SELECT record_id, patient_id, o_orderdate, c_name, c_nationk
 _RESP = view_sql("responses")
 _FLAGS = """, f AS (SELECT chunk_id, chunk_id % 5 <> 0 AND chunk_id % 7 <> 0 AS c, chunk_id % 4 <> 0 AS m, chunk_id % 2 = 0 AS p FROM responses)"""
 SQL = {
+    "is_valid_provider": view_sql("dated") + "SELECT id, id % 3 <> 0 AS valid FROM dated",
+    "is_valid_facility": view_sql("dated") + "SELECT id, id % 4 = 1 AS valid FROM dated",
+    "is_valid_care_event": view_sql("dated") + "SELECT id, id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 < 2 AND id % 11 <> 0 AS valid FROM dated",
     "redact_pii": _NOTES + _LINES + "SELECT record_id, array_to_string(l, chr(10)) AS text, 7::BIGINT AS n_edits FROM n",
     "pii_counts": _NOTES + "SELECT unnest(['[PATIENT NAME]', '[DATE OF BIRTH]', '[MRN]', '[EMAIL]', '[PHONE]', '[SSN]']) AS kind, unnest([2, 1, 1, 1, 1, 1]) * count(*)::BIGINT AS n FROM clinical_notes",
     "extract_provider_contacts": _NOTES + _LINES + """SELECT patient_id, record_id, 3 AS line_no, NULL::VARCHAR AS name, concat('dr', c_nationkey, '@clinic.example.com') AS email, concat('555-010-', 1000 + record_id % 9000) AS phone,
