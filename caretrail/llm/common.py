@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,19 +62,11 @@ def text_bytes(docs: DataFrame, text: str = "text") -> int:
     return docs.select(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
 
 
-def row_at(spark: SparkSession, rows: list, schema: str, partitions: int = 1) -> DataFrame:
-    return spark.createDataFrame(rows, schema).coalesce(partitions)
-
-
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def crc_mod_py(doc_id, n: int) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % n
-
-
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of docs whose (doc_id, xxhash64 of the text) is not among keys (doc_id, text_key)."""
     k = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
