@@ -38,15 +38,19 @@ def line_rows(docs: DataFrame, id_col="doc_id", text_col="text", site_col="sourc
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(hash, first): lines on at least min_sites sites, with the smallest document that has them."""
-    seen = lines.groupBy("hash").agg(F.count("*").alias("n"), F.min("ord").alias("first")).where(F.col("n") >= min_sites).select("hash", "first")
+    """(hash, first): lines on at least min_sites sites, with the smallest document that has them.
+
+    Lines are summed up per site first, so that a line in a third of all documents is one row per site from here on.
+    """
+    pairs = materialize(lines.groupBy("hash", "site").agg(F.count("*").alias("n"), F.min("ord").alias("first")), "line-sites")
+    seen = pairs.groupBy("hash").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= min_sites).select("hash", "first")
     seen = materialize(seen, "line-candidates")
-    sites = lines.join(seen.select("hash"), "hash", "left_semi").select("hash", "site")
+    sites = pairs.join(seen.select("hash"), "hash", "left_semi").select("hash", "site")
     spread = materialize(sites.groupBy("hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("spread")), "line-spread")
     near = spread.where(F.abs(F.col("spread") - min_sites) <= max(1.0, NEAR * min_sites)).select("hash")
-    exact = lines.join(near, "hash", "left_semi").select("hash", "site").distinct().groupBy("hash").agg(F.count("*").alias("exact"))
+    exact = pairs.join(near, "hash", "left_semi").groupBy("hash").agg(F.count("*").alias("exact"))
     wide = spread.join(exact, "hash", "left").where(F.coalesce("exact", "spread") >= min_sites)
-    return seen.join(wide.select("hash"), "hash")
+    return materialize(seen.join(wide.select("hash"), "hash"), "line-wide")
 
 
 def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col="doc_id", text_col="text", site_col="source") -> DataFrame:

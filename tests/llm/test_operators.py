@@ -155,9 +155,9 @@ def test_substrings_at_random(spark):
     r = random.Random(3)
     pool = [sentences(i, 30) for i in range(6)] + ["x" * 90, "ab" * 60]
     texts = {i: "".join(r.choice(pool)[r.randrange(20) :] for _ in range(r.randrange(6))) for i in range(60)}
-    out = suffix_dedup.suffix_dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
     plain = brute.substring_dedup(texts)
-    for row in out.collect():
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for row in suffix_dedup.suffix_dedup(df).collect() + suffix_dedup.suffix_dedup(df, crowded=1).collect():
         assert (row.n_bytes, row.n_removed, len(row.spans), brute.sha(bytes(row.kept))) == plain[row.doc_id]
 
 
