@@ -157,7 +157,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col=
     """(row, score): every input row as a struct, with its score."""
     bias, rules = learn(docs, labels, id_col=id_col, text_col=text_col)
     scored = text_statistics(docs, [F.struct("*").alias("row")], text_of(text_col))
-    return scored.select("row", compile_rules(bias, rules).alias("score"))
+    # adding 0 x a row number keeps Catalyst from pushing a filter on the score below the statistics, which it would then work
+    # out once for every rule that names them
+    return scored.select("row", (compile_rules(bias, rules) + F.monotonically_increasing_id() * 0.0).alias("score"))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
