@@ -11,8 +11,9 @@ the same key. Documents are grouped into batches by a hash; keys into ranges. Ba
    others), takes the common prefixes of neighbours, and answers each run with the smallest document of each window;
 3. a batch marks the windows that a smaller document has, and removes their bytes.
 
-A batch sends each distinct run once, so a passage in a third of all documents is one run of each batch. No message grows
-beyond what a batch and a range share, nothing passes the driver but the total size of the texts.
+A batch sends each distinct run once, so a passage in a third of all documents is one run of each batch. A key with more than
+CROWDED different runs (a frequent phrase in ever new surroundings) is given up: its windows are dealt out one by one, by the
+hash of all their bytes. So no range sorts more than that for one key, and nothing passes the driver but the size of the texts.
 
 Defined cases: null texts are empty; texts shorter than a window keep all; rows with the same doc_id do not count against each
 other; a null doc_id counts as larger than all others; repeated rows have a row each; an empty table gives no rows; further
@@ -36,6 +37,7 @@ BATCH_BYTES = 4 << 20
 RANGE_BYTES = 16 << 20
 LEAST_PARTS = 64
 SORT_BYTES = 1 << 21
+CROWDED = 1 << 14
 _C1, _C2, _C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -260,25 +262,19 @@ def _firsts(*columns: np.ndarray) -> np.ndarray:
     return fresh
 
 
-class Batch:
-    """A batch's distinct runs, ordered by key and hash, and where they occur. The order depends on the texts alone."""
+class Entries:
+    """Distinct runs, ordered by key and hash, and where they occur. The order depends on the texts alone."""
 
-    def __init__(self, frame: pd.DataFrame, bodies: bool = False):
-        self.texts = list(frame["text"])
-        self.ord = frame["ord"].to_numpy(np.int64)
-        parts, body = [], []
-        for buf, h, doc, place, starts, n, key in Blocks(self.texts):
-            parts.append((key, run_hashes(h, starts, n) >> np.uint64(16), doc, place, n))
-        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
-        key, seg, doc, place, n = [np.concatenate([p[i] for p in parts]).astype(k) if parts else np.empty(0, k) for i, k in enumerate(kinds)]
-        by = np.lexsort((self.ord[doc], seg, key))
+    def __init__(self, texts: list[bytes], ord_: np.ndarray, key, seg, doc, place, n):
+        self.texts, self.ord = texts, ord_
+        by = np.lexsort((ord_[doc], seg, key))
         self.key, self.seg, self.doc, self.place, self.n = key[by], seg[by], doc[by], place[by], n[by]
-        self.fresh = _firsts(self.key, self.seg)
-        self.entry = np.cumsum(self.fresh) - 1  # of each occurrence
-        self.first = np.flatnonzero(self.fresh)  # of each entry; there the document is the entry's smallest
+        fresh = _firsts(self.key, self.seg)
+        self.entry = np.cumsum(fresh) - 1  # of each occurrence
+        self.first = np.flatnonzero(fresh)  # of each entry; there the document is the entry's smallest
         last = np.append(self.first[1:], len(self.key))[: len(self.first)] - 1
-        self.least = self.ord[self.doc[self.first]]
-        self.many = self.least != self.ord[self.doc[last]]
+        self.least = ord_[self.doc[self.first]]
+        self.many = self.least != ord_[self.doc[last]]
 
     def ranges(self, n_ranges: int):
         """(range, slice of entries) of each range with entries."""
@@ -293,10 +289,33 @@ class Batch:
         at = self.first[entries]
         return b"".join([self.texts[d][p : p + k + WIDTH - 1] for d, p, k in zip(self.doc[at].tolist(), self.place[at].tolist(), self.n[at].tolist(), strict=True)])
 
+    def windows(self, chosen: np.ndarray) -> Entries:
+        """The windows of the chosen entries, each an entry of its own."""
+        at = np.flatnonzero(chosen[self.entry])
+        n = self.n[at]
+        doc = np.repeat(self.doc[at], n)
+        place = np.repeat(self.place[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        sizes = np.array([len(t) for t in self.texts], np.int64)
+        buf = np.frombuffer(b"".join(self.texts), np.uint8)
+        begin = (np.cumsum(sizes) - sizes)[doc] + place
+        key, seg = np.zeros(len(doc), np.uint64), np.zeros(len(doc), np.uint64)
+        for i in range(WIDTH):
+            byte = buf[begin + i].astype(np.uint64)
+            key, seg = mix(key + byte * _C1 + _C2), mix(seg ^ (byte * _C2 + _C1))
+        return Entries(self.texts, self.ord, key >> np.uint64(16), seg >> np.uint64(16), doc, place, np.ones(len(doc), np.int64))
+
+
+def runs_of(frame: pd.DataFrame) -> Entries:
+    """The runs of a batch."""
+    texts, ord_ = list(frame["text"]), frame["ord"].to_numpy(np.int64)
+    parts = [(key, run_hashes(h, starts, n) >> np.uint64(16), doc, place, n) for _, h, doc, place, starts, n, key in Blocks(texts)]
+    kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64)
+    return Entries(texts, ord_, *[np.concatenate([p[i] for p in parts]).astype(k) if parts else np.empty(0, k) for i, k in enumerate(kinds)])
+
 
 def send_keys(n_ranges: int):
     def send(key, frame: pd.DataFrame) -> pd.DataFrame:
-        batch = Batch(frame)
+        batch = runs_of(frame)
         rows = []
         for r, at in batch.ranges(n_ranges):
             rows.append((r, int(key[0]), _pack6(batch.key[batch.first[at]]), _pack6(batch.seg[batch.first[at]]), np.packbits(batch.many[at]).tobytes()))
@@ -305,45 +324,53 @@ def send_keys(n_ranges: int):
     return send
 
 
-def answer_keys(key, frame: pd.DataFrame) -> pd.DataFrame:
-    keys, segs = [_unpack6(x) for x in frame["keys"]], [_unpack6(x) for x in frame["segs"]]
-    sizes = np.array([len(x) for x in keys])
-    many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(frame["many"], sizes, strict=True)]).astype(bool)
-    k, s = np.concatenate(keys), np.concatenate(segs)
-    by = np.lexsort((s, k))
-    fresh = _firsts(k[by])
-    group, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
-    entries = np.add.reduceat(np.ones(len(k), np.int64), at)
-    again = (entries > 1) | np.logical_or.reduceat(many[by], at)
-    several = np.add.reduceat(_firsts(k[by], s[by]).astype(np.int64), at) > 1
-    repeated, multi = np.empty(len(k), bool), np.empty(len(k), bool)
-    repeated[by], multi[by] = again[group], (again & several)[group]
-    ends = np.cumsum(sizes)
-    rows = [(b, int(key[0]), np.packbits(repeated[e - n : e]).tobytes(), np.packbits(multi[e - n : e]).tobytes()) for b, n, e in zip(frame["batch"], sizes, ends, strict=True)]
-    return pd.DataFrame(rows, columns=["batch", "rng", "repeated", "multi"])
-
-
-def _flags(batch: Batch, answers: pd.DataFrame, n_ranges: int) -> tuple[np.ndarray, np.ndarray]:
-    by_range = {r: (a, b) for r, a, b in zip(answers["rng"], answers["repeated"], answers["multi"], strict=True)}
-    out = np.zeros((2, len(batch.first)), bool)
+def answer_keys(crowded: int):
+    def answer(key, frame: pd.DataFrame) -> pd.DataFrame:
+        keys, segs = [_unpack6(x) for x in frame["keys"]], [_unpack6(x) for x in frame["segs"]]
+        sizes = np.array([len(x) for x in keys])
+        many = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(frame["many"], sizes, strict=True)]).astype(bool)
+        k, s = np.concatenate(keys), np.concatenate(segs)
+        by = np.lexsort((s, k))
+        fresh = _firsts(k[by])
+        group, at = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
+        entries = np.add.reduceat(np.ones(len(k), np.int64), at)
+        again = (entries > 1) | np.logical_or.reduceat(many[by], at)
+        runs = np.add.reduceat(_firsts(k[by], s[by]).astype(np.int64), at)
+        planes = np.empty((3, len(k)), bool)
+        planes[:, by] = np.stack([again, again & (runs > 1), again & (runs > crowded)])[:, group]
+        ends = np.cumsum(sizes)
+        rows = [(b, int(key[0]), *[np.packbits(p[e - n : e]).tobytes() for p in planes]) for b, n, e in zip(frame["batch"], sizes, ends, strict=True)]
+        return pd.DataFrame(rows, columns=["batch", "rng", "repeated", "multi", "crowded"])
+
+    return answer
+
+
+def _flags(batch: Entries, answers: pd.DataFrame, n_ranges: int) -> np.ndarray:
+    """Of each entry: whether its key is repeated, has several runs, is crowded."""
+    by_range = {r: planes for r, *planes in zip(answers["rng"], answers["repeated"], answers["multi"], answers["crowded"], strict=True) if planes[0] is not None}
+    out = np.zeros((3, len(batch.first)), bool)
     for r, at in batch.ranges(n_ranges):
-        for i in range(2):
+        for i in range(3):
             out[i, at] = np.unpackbits(np.frombuffer(by_range[r][i], np.uint8), count=at.stop - at.start)
-    return out[0], out[1]
+    return out
 
 
 def send_runs(n_ranges: int):
     def send(key, frame: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(frame):
-            batch = Batch(frame)
-            repeated, multi = _flags(batch, answers, n_ranges)
-            for r, at in batch.ranges(n_ranges):
-                e = np.arange(at.start, at.stop)[repeated[at]]
-                if len(e):
-                    n = np.where(multi[e], batch.n[batch.first[e]], 0).astype(np.uint8)
-                    rows.append((r, int(frame["batch"].iloc[0]), _pack6(batch.key[batch.first[e]]), _pack6(batch.seg[batch.first[e]]), n.tobytes(), batch.least[e].tobytes(), batch.bytes_of(e[multi[e]])))
-        return pd.DataFrame(rows, columns=["rng", "batch", "keys", "segs", "n", "least", "body"])
+            batch = runs_of(frame)
+            repeated, multi, crowded = _flags(batch, answers, n_ranges)
+            number = int(frame["batch"].iloc[0])
+            windows = batch.windows(crowded)
+            every = np.ones(len(windows.first), bool)
+            for level, part, chosen, bodies in ((0, batch, repeated & ~crowded, multi), (1, windows, every, every)):
+                for r, at in part.ranges(n_ranges):
+                    e = np.arange(at.start, at.stop)[chosen[at]]
+                    if len(e):
+                        n = np.where(bodies[e], part.n[part.first[e]], 0).astype(np.uint8)
+                        rows.append((r, number, level, _pack6(part.key[part.first[e]]), _pack6(part.seg[part.first[e]]), n.tobytes(), part.least[e].tobytes(), part.bytes_of(e[bodies[e]])))
+        return pd.DataFrame(rows, columns=["rng", "batch", "level", "keys", "segs", "n", "least", "body"])
 
     return send
 
@@ -362,7 +389,6 @@ def answer_runs(key, frame: pd.DataFrame) -> pd.DataFrame:
     run[by] = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(k))))
     r_least, one = np.minimum.reduceat(least[by], fresh), by[fresh]
     r_n, r_key = n[one], k[one]
-    stretch_n: list[np.ndarray] = [np.ones(len(fresh), np.int64)]  # stretches of each run
     piece_run, piece_len, piece_doc = [], [], []
     alone = np.flatnonzero(r_n == 0)
     piece_run.append(alone), piece_len.append(np.zeros(len(alone), np.int64)), piece_doc.append(r_least[alone])
@@ -387,13 +413,13 @@ def answer_runs(key, frame: pd.DataFrame) -> pd.DataFrame:
     stretch = np.bincount(p_run, minlength=len(fresh))
     begin = np.cumsum(stretch) - stretch
     rows, at = [], 0
-    for batch, x in zip(frame["batch"], frame["n"], strict=True):
+    for batch, level, x in zip(frame["batch"], frame["level"], frame["n"], strict=True):
         mine = run[at : at + len(x)]
         count = stretch[mine]
         pick = np.repeat(begin[mine] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        rows.append((batch, int(key[0]), count.astype(np.uint8).tobytes(), p_len[pick].astype(np.uint8).tobytes(), p_doc[pick].tobytes()))
+        rows.append((batch, int(key[0]), level, count.astype(np.uint8).tobytes(), p_len[pick].astype(np.uint8).tobytes(), p_doc[pick].tobytes()))
         at += len(x)
-    return pd.DataFrame(rows, columns=["batch", "rng", "count", "len", "doc"])
+    return pd.DataFrame(rows, columns=["batch", "rng", "level", "count", "len", "doc"])
 
 
 def remove(n_ranges: int):
@@ -402,7 +428,12 @@ def remove(n_ranges: int):
         base = np.cumsum(sizes) - sizes
         gone = np.zeros(int(sizes.sum()), bool)
         if len(answers):
-            gone = _gone(Batch(frame), answers, n_ranges, base, len(gone))
+            batch = runs_of(frame)
+            repeated, _, crowded = _flags(batch, answers, n_ranges)
+            windows = batch.windows(crowded)
+            found = answers[answers["count"].notna()]
+            gone = _gone(batch, repeated & ~crowded, found[found["level"] == 0], n_ranges, base, len(gone))
+            gone |= _gone(windows, np.ones(len(windows.first), bool), found[found["level"] == 1], n_ranges, base, len(gone))
         rows = []
         for ord_, null, text, at, size in zip(frame["ord"], frame["no_id"], frame["text"], base, sizes, strict=True):
             mask = gone[at : at + size]
@@ -415,15 +446,14 @@ def remove(n_ranges: int):
     return apply
 
 
-def _gone(batch: Batch, answers: pd.DataFrame, n_ranges: int, base: np.ndarray, size: int) -> np.ndarray:
-    """Marks every byte of a window that a smaller document has."""
-    repeated, _ = _flags(batch, answers, n_ranges)
-    pieces = {r: (c, n, d) for r, c, n, d in zip(answers["rng"], answers["count"], answers["len"], answers["doc"], strict=True) if c is not None}
+def _gone(batch: Entries, sent: np.ndarray, answers: pd.DataFrame, n_ranges: int, base: np.ndarray, size: int) -> np.ndarray:
+    """Marks every byte of a window that a smaller document has; sent: the entries that were asked about."""
+    pieces = {r: (c, n, d) for r, c, n, d in zip(answers["rng"], answers["count"], answers["len"], answers["doc"], strict=True)}
     count = np.zeros(len(batch.first), np.int64)
     lens, docs = [], []
     for r, at in batch.ranges(n_ranges):
         if r in pieces:
-            count[np.arange(at.start, at.stop)[repeated[at]]] = np.frombuffer(pieces[r][0], np.uint8)
+            count[np.arange(at.start, at.stop)[sent[at]]] = np.frombuffer(pieces[r][0], np.uint8)
             lens.append(np.frombuffer(pieces[r][1], np.uint8)), docs.append(np.frombuffer(pieces[r][2], np.int64))
     if not lens:
         return np.zeros(size, bool)
@@ -441,7 +471,7 @@ def _gone(batch: Batch, answers: pd.DataFrame, n_ranges: int, base: np.ndarray,
     return np.cumsum(edges[:size]) > 0
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", crowded: int = CROWDED) -> DataFrame:
     """(doc_id, n_bytes, n_removed, spans, kept): one row per input row; spans are the removed byte ranges [start, end)."""
     spark = docs.sparkSession
     total = text_bytes(docs, text_col)
@@ -455,11 +485,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 * BATCH_BYTES)), "batch")
     texts = rows.groupBy("batch")
     asked = texts.applyInPandas(send_keys(n_ranges), "rng int, batch int, keys binary, segs binary, many binary")
-    known = asked.groupBy("rng").applyInPandas(answer_keys, "batch int, rng int, repeated binary, multi binary")
+    known = asked.groupBy("rng").applyInPandas(answer_keys(crowded), "batch int, rng int, repeated binary, multi binary, crowded binary")
     known = known.repartition("batch")
-    sent = texts.cogroup(known.groupBy("batch")).applyInPandas(send_runs(n_ranges), "rng int, batch int, keys binary, segs binary, n binary, least binary, body binary")
-    found = sent.groupBy("rng").applyInPandas(answer_runs, "batch int, rng int, count binary, len binary, doc binary")
-    answers = known.join(found, ["batch", "rng"], "left")
+    sent = texts.cogroup(known.groupBy("batch")).applyInPandas(
+        send_runs(n_ranges), "rng int, batch int, level int, keys binary, segs binary, n binary, least binary, body binary"
+    )
+    found = sent.groupBy("rng").applyInPandas(answer_runs, "batch int, rng int, level int, count binary, len binary, doc binary")
+    answers = known.unionByName(found, allowMissingColumns=True)
     out = texts.cogroup(answers.groupBy("batch")).applyInPandas(
         remove(n_ranges), "ord long, no_id boolean, n_bytes long, n_removed long, starts array<long>, ends array<long>, kept binary"
     )
