@@ -156,7 +156,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest text_key."""
-    groups = materialize(simhash_groups(docs, id_col, text_col), "near-groups")
+    return keep_first(docs, simhash_groups(docs, id_col, text_col), id_col, text_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of groups (doc_id, text_key, component)."""
+    groups = materialize(groups, "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id"), F.col("text_key"))
     chosen = groups.groupBy("component").agg(F.min(order).alias("first"))
     placed = groups.join(chosen, "component").select("doc_id", "text_key", (order == F.col("first")).alias("stays"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretrail.llm import decontamination, line_dedup, mixing, quality_classifier, simhash
+from caretrail.llm import decontamination, line_dedup, mixing, near_text, quality_classifier, simhash
 from caretrail.llm.common import materialize, table, text_of, without
 
 
@@ -27,8 +27,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """Keeps one document of each group of texts whose five-word shingles are similar to 0.8 or more."""
+    return simhash.keep_first(docs, near_text.near_groups(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

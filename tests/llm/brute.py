@@ -98,3 +98,24 @@ def decontamination(text, items: dict[str, str]):
                 hit.update(range(i, i + n))
                 found.add(item)
     return len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)
+
+
+def jaccard_groups(texts: dict[int, str], percent: int = 80) -> dict[int, int]:
+    """id -> the smallest id of its group by five-word shingles."""
+    cut = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        cut[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    top = {i: i for i in texts}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and 100 * len(cut[a] & cut[b]) >= percent * len(cut[a] | cut[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {i: find(i) for i in texts}

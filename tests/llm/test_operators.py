@@ -18,7 +18,7 @@ sys.path.insert(0, str(Path(__file__).parents[1]))
 import brute
 from compare import duck, same
 
-from caretrail.llm import chat, components, decontamination, language_model, line_dedup, mixing, quality_classifier, quality_rules, queries, secrets, simhash, suffix_dedup
+from caretrail.llm import chat, components, decontamination, language_model, line_dedup, mixing, near_text, quality_classifier, quality_rules, queries, secrets, simhash, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 #: Extra columns with names that the operators use themselves.
@@ -188,6 +188,26 @@ def test_anchor_links_lose_none(spark):
     assert got == sorted((a % (1 << 64), b % (1 << 64)) for a, b in set(pairs))
 
 
+def test_near_texts_against_brute_force(spark):
+    """Copies with some words changed, a crowd around one original, short and empty texts."""
+    import corpus_pipeline as pipeline
+
+    r = random.Random(11)
+    texts = {1000: None, 1001: "", 1002: " \t", 1003: "One two three", 1004: "one two  THREE", 1005: "one two four"}
+    for i in range(30):
+        w = sentences(500 + i, r.choice([8, 60, 200])).split()
+        for k in range(4):
+            texts[i * 10 + k] = " ".join(x if r.random() > 0.01 * k else "changed" for x in w)
+    w = sentences(900, 150).split()
+    texts |= {2000 + k: " ".join([*w[: 4 * k % 150], f"new{k}", *w[4 * k % 150 :]]) for k in range(120)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    top = brute.jaccard_groups(texts)
+    assert {x.doc_id for x in pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(top.values())
+    bits = brute.components({i: brute.simhash(t) for i, t in texts.items()})
+    assert len(set(top.values())) < len(set(bits.values()))  # more than two bits apart, and near all the same
+    assert near_text.near_groups(docs.limit(0)).count() == 0
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1060)]
@@ -400,6 +420,22 @@ def test_pipeline(spark):
     assert pipeline.run(spark, SF).count() == frame.count()
 
 
+def test_pipeline_from_near_stage_on(spark):
+    """The stages from the near-duplicates on, against groups by shingles."""
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    near = pipeline.drop_near_duplicates(spark, docs, SF).cache()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id: r.text for r in near.collect()}
+    assert set(kept) == set(brute.jaccard_groups(texts).values()) and near.columns == docs.columns
+    items = {str(r.item_id): r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    clean = pipeline.drop_leaks(spark, near, SF).cache()
+    assert {r.doc_id for r in clean.collect()} == {i for i, t in kept.items() if not brute.decontamination(t, items)[4]}
+    assert {r.doc_id for r in pipeline.mix_sources(spark, clean, SF).collect()} <= {r.doc_id for r in clean.collect()}
+    near.unpersist(), clean.unpersist()
+
+
 def test_rest_imports_without_this_subpackage():
     import subprocess
 
