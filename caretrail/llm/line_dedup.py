@@ -5,8 +5,8 @@ threshold are decided by it; the lines near it get exact distinct counts. A line
 it stays in the document with the smallest id and goes from all others. Lines in fewer documents than MIN_SITES cannot
 spread so far and need no sketch.
 
-Defined cases: lines are compared without white space at their ends, as 64-bit hashes, and count from MIN_WORDS words; null
-texts are empty and keep their null; a null site is a site of its own; rows with the same doc_id keep or lose a line
+Defined cases: lines are compared without white space at their ends, as 64-bit hashes, and count from min_words words (op6's
+contract: MIN_WORDS; the pipeline: 1, every line that holds a word); null texts are empty and keep their null; a null site is a site of its own; rows with the same doc_id keep or lose a line
 together; a null doc_id counts as larger than all others; an empty table gives no rows; further columns are kept.
 """
 
@@ -25,7 +25,7 @@ NEAR = 0.15  # of the threshold; over four times the sketch's standard error
 _LAST = (1 << 63) - 1
 
 
-def line_rows(docs: DataFrame, id_col="doc_id", text_col="text", site_col="source") -> DataFrame:
+def line_rows(docs: DataFrame, id_col="doc_id", text_col="text", site_col="source", min_words: int = MIN_WORDS) -> DataFrame:
     """(ord, text_key, site, i, hash) of the lines that count."""
     line = F.btrim("line", F.lit(SPACE))
     lines = docs.select(
@@ -34,7 +34,7 @@ def line_rows(docs: DataFrame, id_col="doc_id", text_col="text", site_col="sourc
         F.coalesce(F.concat(F.lit("="), F.col(site_col).cast("string")), F.lit("")).alias("site"),
         F.posexplode(F.split(text_of(text_col), "\n", -1)).alias("i", "line"),
     )
-    return lines.where(F.regexp_count("line", F.lit(WORD_RE)) >= MIN_WORDS).select("ord", "text_key", "site", "i", F.xxhash64(line).alias("hash"))
+    return lines.where(F.regexp_count("line", F.lit(WORD_RE)) >= min_words).select("ord", "text_key", "site", "i", F.xxhash64(line).alias("hash"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -53,9 +53,9 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialize(seen.join(wide.select("hash"), "hash"), "line-wide")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col="doc_id", text_col="text", site_col="source") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col="doc_id", text_col="text", site_col="source", min_words: int = MIN_WORDS) -> DataFrame:
     """(row, text, n_lines, n_removed): every input row as a struct, with what is left of its text."""
-    lines = materialize(line_rows(docs, id_col, text_col, site_col), "lines")
+    lines = materialize(line_rows(docs, id_col, text_col, site_col, min_words), "lines")
     wide = spread_lines(lines, min_sites)
     gone = lines.join(wide, "hash").where(F.col("ord") > F.col("first")).groupBy("ord", "text_key").agg(F.collect_set("i").alias("gone"))
     gone = materialize(gone, "line-removals")

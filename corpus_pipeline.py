@@ -19,8 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that are spread over many sites, but for their first document."""
-    out = line_dedup.dedup_lines(docs)
+    """Removes lines of any length that are spread over many sites, but for their first document."""
+    out = line_dedup.dedup_lines(docs, min_words=1)
     out = out.where((F.col("n_removed") == 0) | text_of("text").rlike("[^\\x20\\x09-\\x0D]"))
     fresh = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(None))}
     return out.select(*[fresh.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -249,6 +249,17 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_pipeline_removes_short_boilerplate(spark):
+    import corpus_pipeline as pipeline
+
+    rows = [(i, f"Home.\n \nown text of document {i}\n" + ("And so.\n" if i < 9 else "") + " Home.", f"site{i % 12}") for i in range(30)] + [(40, "Home.", "site0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in pipeline.drop_boilerplate(spark, docs, "").collect()}
+    assert got == {i: t if i == 0 else t.replace(" Home.", "").replace("Home.\n", "", 1).removesuffix("\n") for i, t, _ in rows if i != 40}
+    every = line_dedup.dedup_lines(docs).collect()
+    assert all(r.n_removed == 0 for r in every)  # op6's contract counts from five words
+
+
 def test_mixing(docs, empty):
     plan = mixing.mix_plan(docs)
     out = mixing.mix(docs, plan)
