@@ -92,6 +92,11 @@ def persist_counts(spark, sf):
     return ST.persist_counts(c, bind(spark, sf, "measurements"))
 
 
+def persist_counts_all(spark, sf):
+    """Over all mentions; persist_counts has those that its SQL has."""
+    return ST.persist_counts(bind(spark, sf, "condition_mentions").select((C("record_id") % 500).alias("record_id")), bind(spark, sf, "measurements"))
+
+
 def _enriched(spark, sf):
     c = _conditions(spark, sf).where("record_id IS NOT NULL")
     # up to three of each, by seq
@@ -122,6 +127,12 @@ def secondary_locations(spark, sf):
     return ST.secondary_locations(e.where("seq % 4 > 0")).where("id LIKE '%-loc-0' OR id LIKE '%-loc-2'").select("id", "condition_id", "cx", "cy")
 
 
+def secondary_locations_all(spark, sf):
+    """Those with a default point too; secondary_locations has those that its SQL has."""
+    e = _enriched(spark, sf).withColumn("_x", C("cx")).withColumn("_y", C("cy"))
+    return ST.secondary_locations(e).select("id", "condition_id", "cx", "cy")
+
+
 def _stores(spark, sf):
     text = lambda c: C(c).cast("string").alias(c)
     return {
@@ -221,7 +232,7 @@ def stream_call_health(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, normalize_enriched, secondary_locations, export_backup,
+    assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, secondary_locations, secondary_locations_all, export_backup,
     import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health,
 )}
 
@@ -240,6 +251,7 @@ SQL = {
  UNION ALL SELECT 'location', concat(id, '-primary'), 1.5, 2.5 FROM cond WHERE seq % 5 = 0 AND seq % 4 = 0""",
     "pending_outbox": "SELECT o_orderkey * 2 AS id, concat('f', o_orderkey) AS filename FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)",
     "persist_counts": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id % 500 AS record_id, count(*) AS n FROM condition_mentions WHERE seq % 2 = 0 GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
+    "persist_counts_all": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id % 500 AS record_id, count(*) AS n FROM condition_mentions GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
     "normalize_enriched": _ENR + """SELECT 'conditions' AS store, id, date AS a FROM e UNION ALL SELECT DISTINCT 'health_records', record_id::VARCHAR, concat('record-', record_id, '.pdf') FROM e
  UNION ALL SELECT 'condition_locations', concat(id, '-primary'), id FROM e UNION ALL SELECT 'condition_locations', concat(id, '-loc-', k), id FROM k WHERE k > 0
  UNION ALL SELECT 'condition_care_events', concat(id, '-care-', n), pn FROM ev UNION ALL SELECT 'providers', concat(id, '-care-', n, '-provider'), pn FROM ev

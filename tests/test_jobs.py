@@ -117,3 +117,24 @@ def test_visibility_keeps_null_records(spark):
     h = spark.createDataFrame([(1, 1, "demo"), (1, 2, None), (2, 3, "demo")], "patient_id long, id long, record_type string")
     assert sorted(r.id for r in views.visible_conditions(c, h).collect()) == ["b", "c", "d"]
     assert sorted(r.id for r in views.visible_conditions(c, h, "demo").collect()) == ["a", "d"]
+
+
+def test_secondary_locations_are_whole(spark):
+    """Each condition's second location at its default point and third at its own; the first is the primary one."""
+    from pyspark.sql import functions as F
+
+    from caretrail.functions import scalars
+    from caretrail.plans import store_queries
+
+    sf = "/root/testdata/sf0.001"
+    e = store_queries._enriched(spark, sf)
+    spot = scalars.default_position(scalars.normalize_system(F.col("system")), F.concat_ws(":", "name_medical", F.lit("Left"), F.lit(""), F.lit("1")))
+    want = {}
+    for r in e.select("condition_id", "seq", "cx", "cy", spot.alias("p")).collect():
+        if r.seq % 4 > 1 and max(abs(r.p.cx - r.cx), abs(r.p.cy - r.cy)) >= 0.01:
+            want[f"{r.condition_id}-loc-1"] = (r.p.cx, r.p.cy)
+        if r.seq % 4 > 2:
+            want[f"{r.condition_id}-loc-2"] = (r.cx + 2, r.cy)
+    rows = store_queries.secondary_locations_all(spark, sf).collect()
+    assert len(rows) == len(want) and {r.id: (r.cx, r.cy) for r in rows} == want
+    assert len(rows) > 2 * store_queries.secondary_locations(spark, sf).count()
