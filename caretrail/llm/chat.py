@@ -1,18 +1,23 @@
 """Chat formatting by schema fingerprints.
 
-A record is a JSON text. The sorted paths of its fields are hashed; the hash selects a declarative mapping that turns the
-record's layout into canonical turns. The turns are written in a template whose control strings cannot occur in a text.
-
-Defined cases: a record that is null, no JSON, or of an unknown layout has layout null and no turns; a null role, name or
-text counts as empty; turns keep their order; conversations of no turns give the empty formatted text; further columns of
-the input are kept in `row`. In from_turns() rows of one conversation are ordered by turn, then role, then text, and a null
-conv_id is a conversation of its own.
+A record is a JSON text or a struct. The nested paths of its fields, with the kind of each (text, list or object), are hashed;
+the hash selects a declarative mapping that turns the record's layout into canonical turns. A JSON text is fingerprinted with
+its long strings cut short and is read with no limit on the length of a string; the paths of a struct come from its type, a
+null field being absent, so a table with the fields of many layouts side by side is read row by row. The turns are written in
+a template whose control strings cannot occur in a text.
+
+Defined cases: a record that is null, no JSON object, or of an unknown layout has layout null and no turns; fields named in
+IGNORED do not count at the top of a record; numbers and truth values count as text; a null role, name or text counts as
+empty; turns keep their order; conversations of no turns give the empty formatted text; further columns of the input are kept
+in `row`. In from_turns() rows of one conversation are ordered by turn, then role, then text, and a null conv_id is a
+conversation of its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caretrail.llm.common import hex_digest, table, text_of
 
@@ -20,15 +25,21 @@ TURN = "struct<role:string,text:string>"
 
 #: Names that some layouts use for the canonical roles.
 ROLE_ALIASES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+#: Fields that a record of any layout may have besides.
+IGNORED = ["id", "conv_id", "source", "lang", "meta", "metadata", "created", "score"]
 
-#: Known layouts: the field paths that a record has, and where the turns are. `list` names an array of turns with its role
-#: and text fields; `fields` names one text field per turn, absent or empty optional ones being left out.
+#: Known layouts. `list` is the path of an array of turns, with the paths of its role and text (`text` may name an array of
+#: parts); `fields` has a text field's path per turn, "+" going on in the turn before. Paths go down by dots, [] means a list.
 LAYOUTS = [
     {"name": "messages", "list": "messages", "role": "role", "text": "content"},
+    {"name": "message-parts", "list": "messages", "role": "role", "text": "content[].text", "also": ["content[].type"]},
     {"name": "turns", "list": "turns", "role": "role", "text": "text"},
     {"name": "conversations", "list": "conversations", "role": "from", "text": "value", "aliases": ROLE_ALIASES},
+    {"name": "data-messages", "list": "data.messages", "role": "role", "text": "content"},
     {"name": "prompt", "fields": [("prompt", "user"), ("completion", "assistant")]},
     {"name": "prompt-response", "fields": [("prompt", "user"), ("response", "assistant")]},
+    {"name": "prompt-object", "fields": [("prompt.text", "user"), ("response.text", "assistant")]},
+    {"name": "data-prompt", "fields": [("data.prompt", "user"), ("data.completion", "assistant")]},
     {"name": "question", "fields": [("question", "user"), ("answer", "assistant")]},
     {"name": "instruction", "fields": [("instruction", "user"), ("output", "assistant")]},
     {"name": "instruction-input", "fields": [("instruction", "user"), ("input", "+"), ("output", "assistant")]},
@@ -36,30 +47,78 @@ LAYOUTS = [
 ]
 #: Control strings of the template.
 START, MIDDLE, END = "<|start|>", "<|text|>", "<|end|>"
+#: Characters of a string that a fingerprint looks at: none beyond so many are needed to tell a text from a list or object.
+SHORT = 64
+
+
+# ---- layouts and fingerprints ----
 
 
 def paths_of(layout: dict) -> list[str]:
+    """The leaves of a layout, as paths from the top."""
     if "list" in layout:
-        return sorted([layout["list"], f"{layout['list']}[].{layout['role']}", f"{layout['list']}[].{layout['text']}"])
-    return sorted(name for name, _ in layout["fields"])
+        return [f"{layout['list']}[].{x}" for x in (layout["role"], layout["text"], *layout.get("also", []))]
+    return [name for name, _ in layout["fields"]]
+
+
+def _tree(paths: list[str]) -> dict:
+    """Nested names -> sub-tree; a name ends in [] where it is a list; {} is a text."""
+    top: dict = {}
+    for path in paths:
+        at = top
+        for name in path.split("."):
+            at = at.setdefault(name, {})
+    return top
+
+
+def _ddl(tree: dict) -> str:
+    kind = lambda name, sub: (f"array<{_ddl(sub) if sub else 'string'}>" if name.endswith("[]") else _ddl(sub)) if sub or name.endswith("[]") else "string"
+    return "struct<" + ",".join(f"`{name.removesuffix('[]')}`:{kind(name, sub)}" for name, sub in tree.items()) + ">"
+
+
+def _kind(t: T.DataType) -> str:
+    """The nested paths below a field of that type, in the words of schema_of_variant()."""
+    if isinstance(t, T.ArrayType):
+        return f"ARRAY<{_kind(t.elementType)}>"
+    if isinstance(t, T.StructType):
+        return "OBJECT<" + ", ".join(f"{f.name}: {_kind(f.dataType)}" for f in sorted(t.fields, key=lambda f: f.name)) + ">"
+    return "STRING"
+
+
+def layout_type(layout: dict) -> T.StructType:
+    return T._parse_datatype_string(_ddl(_tree(paths_of(layout))))
+
+
+def fingerprint_of(layout: dict) -> Column:
+    return F.sha2(F.lit("\n".join(sorted(f"{f.name} {_kind(f.dataType)}" for f in layout_type(layout).fields))), 256)
+
 
+def _json_fields(record: Column) -> Column:
+    """Sorted "field kind" texts of a JSON object, down to its leaves; null if it is none."""
+    atom = "(?:\\\\u[0-9a-fA-F]{4}|\\\\.|[^\"\\\\])"
+    short = F.regexp_replace(record, f'("{atom}{{0,{SHORT}}}+){atom}*+"', '$1"')
+    fields = F.map_entries(F.try_parse_json(short).try_cast("map<string,variant>"))
+    plain = "(?<=^|: |ARRAY<)(?:VOID|BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\\([0-9]+,[0-9]+\\))"
+    kind = lambda v: F.coalesce(F.regexp_replace(F.schema_of_variant(v), plain, "STRING"), F.lit("STRING"))
+    return F.array_sort(F.transform(F.filter(fields, lambda e: ~e["key"].isin(IGNORED)), lambda e: F.concat(e["key"], F.lit(" "), kind(e["value"]))))
 
-def fingerprint_of(paths: list[str]) -> Column:
-    return F.sha2(F.lit("\n".join(paths)), 256)
 
+def _struct_fields(record: Column, kind: T.StructType) -> Column:
+    """The same for a struct: its type's paths, but for null fields."""
+    fields = [f for f in sorted(kind.fields, key=lambda f: f.name) if f.name not in IGNORED]
+    return F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(record.getField(f.name).isNotNull(), f"{f.name} {_kind(f.dataType)}") for f in fields]))
 
-def field_paths(record: Column) -> Column:
-    """Sorted distinct paths of the fields of a JSON object, down to the fields of arrays of objects."""
-    names = F.json_object_keys(record)
-    value = lambda k: F.call_function("get_json_object", record, F.concat(F.lit("$['"), k, F.lit("']")))
 
-    def below(k: Column) -> Column:
-        items = F.from_json(value(k), "array<string>")
-        inner = F.flatten(F.transform(items, lambda x: F.coalesce(F.json_object_keys(x), F.array().cast("array<string>"))))
-        return F.when(F.startswith(value(k), F.lit("[")), F.transform(F.array_distinct(inner), lambda x: F.concat(k, F.lit("[]."), x)))
+# ---- turns ----
 
-    deep = F.flatten(F.transform(names, lambda k: F.coalesce(below(k), F.array().cast("array<string>"))))
-    return F.array_sort(F.array_distinct(F.concat(names, deep)))
+
+def _at(value: Column, path: str) -> Column:
+    """The text at a path below a struct; the texts of a list are put together."""
+    name, _, rest = path.partition(".")
+    if name.endswith("[]"):
+        items = value.getField(name[:-2])
+        return F.array_join(F.transform(items, lambda x: _at(x, rest)) if rest else items, "")
+    return _at(value.getField(name), rest) if rest else value.getField(name).cast("string")
 
 
 def _role(role: Column, aliases: dict[str, str]) -> Column:
@@ -70,44 +129,53 @@ def _role(role: Column, aliases: dict[str, str]) -> Column:
 
 
 def _mapped(layout: dict, record: Column) -> Column:
+    """The turns of a struct of that layout."""
     if "list" in layout:
-        item = f"array<struct<`{layout['role']}`:string,`{layout['text']}`:string>>"
-        items = F.from_json(record, f"struct<`{layout['list']}`:{item}>")[layout["list"]]
-        turns = F.transform(
-            items, lambda x: F.struct(_role(x[layout["role"]], layout.get("aliases", {})).alias("role"), F.coalesce(x[layout["text"]], F.lit("")).alias("text"))
-        )
-        return F.coalesce(turns, F.array().cast(f"array<{TURN}>"))
-    fields = F.from_json(record, "struct<" + ",".join(f"`{n}`:string" for n, _ in layout["fields"]) + ">")
+        items = record
+        for name in layout["list"].split("."):
+            items = items.getField(name)
+        turn = lambda x: F.struct(_role(_at(x, layout["role"]), layout.get("aliases", {})).alias("role"), F.coalesce(_at(x, layout["text"]), F.lit("")).alias("text"))
+        return F.coalesce(F.transform(items, turn), F.array().cast(f"array<{TURN}>"))
     turns: list[list[Column]] = []
     roles: list[str] = []
-    for name, role in layout["fields"]:
+    for path, role in layout["fields"]:
         if role == "+":  # goes on in the turn before
-            turns[-1].append(F.nullif(fields[name], F.lit("")))
+            turns[-1].append(F.nullif(_at(record, path), F.lit("")))
         else:
             roles.append(role)
-            turns.append([F.coalesce(fields[name], F.lit(""))])
+            turns.append([F.coalesce(_at(record, path), F.lit(""))])
     return F.array(*[F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *t).alias("text")) for r, t in zip(roles, turns, strict=True)])
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", layouts=None) -> DataFrame:
-    """(row, fingerprint, layout, turns) for records with a JSON text."""
+    """(row, fingerprint, layout, turns) for records that are JSON texts or structs."""
     layouts = LAYOUTS if layouts is None else layouts
-    rows = records.select(F.struct("*").alias("row"), F.col(record_col).alias("_record"))
-    rows = rows.withColumn("fingerprint", F.sha2(F.array_join(field_paths(F.col("_record")), "\n"), 256))
+    kind = records.schema[record_col].dataType
+    rows = records.select(F.struct("*").alias("row"), F.col(f"`{record_col}`").alias("_record"))
+    record = F.col("_record")
+    nested = isinstance(kind, T.StructType)
+    fields = F.when(record.isNotNull(), _struct_fields(record, kind)) if nested else _json_fields(record)
+    rows = rows.withColumn("fingerprint", F.sha2(F.array_join(fields, "\n"), 256))
     layout, turns = F.lit(None).cast("string"), F.array().cast(f"array<{TURN}>")
     for x in layouts:
-        hit = F.col("fingerprint") == fingerprint_of(paths_of(x))
+        if nested and not all(f.name in kind.names and _kind(kind[f.name].dataType) == _kind(f.dataType) for f in layout_type(x).fields):
+            continue  # no row of this table can have the layout
+        hit = F.col("fingerprint") == fingerprint_of(x)
         layout = F.when(hit, x["name"]).otherwise(layout)
-        turns = F.when(hit, _mapped(x, F.col("_record"))).otherwise(turns)
+        value = record if nested else F.from_json(record, layout_type(x), {"maxStringLen": str((1 << 31) - 1)})
+        turns = F.when(hit, _mapped(x, value)).otherwise(turns)
     return rows.select("row", "fingerprint", layout.alias("layout"), turns.alias("turns"))
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows -> (conv_id, record), a record of the layout `turns` for each conversation."""
+    """(conv_id, turn, role, text) rows -> (conv_id, record), a struct of the layout `turns` for each conversation."""
     turn = F.struct(F.col("turn"), text_of("role").alias("role"), text_of("text").alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
     slim = F.transform("_turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return grouped.select("conv_id", F.to_json(F.struct(slim.alias("turns"))).alias("record"))
+    return grouped.select("conv_id", F.struct(slim.alias("turns")).alias("record"))
+
+
+# ---- the template ----
 
 
 def escape(text: Column) -> Column:
@@ -123,31 +191,38 @@ def unescape(text: Column) -> Column:
     return text
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sums up to each element, by doubling steps: each pass adds the element 1, 2, 4... places before; 30 passes at most."""
+    one = F.array(F.transform(lengths, lambda n: n.cast("long")))
+
+    def add(k: int):
+        return lambda a: F.when(F.size(a) > k, F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - k), F.lit(0)))).otherwise(a)
+
+    for step in range(30):
+        one = F.transform(one, add(1 << step))
+    return F.get(one, F.lit(0))
+
+
 def format_chat(turns: DataFrame) -> DataFrame:
-    """Adds `formatted` and `loss_spans`, the code-point spans [start, end) of the assistant texts in it."""
+    """Adds `formatted` and `loss_spans`: for each assistant turn (by number) the code points [start, end) of its text."""
     piece = lambda x: F.concat(F.lit(START), escape(x["role"]), F.lit(MIDDLE), escape(x["text"]), F.lit(END))
-    pieces = F.transform("turns", piece)
-    out = turns.withColumn("_pieces", pieces)
-    # running end of each piece, kept in an array that grows by one
-    ends = F.aggregate("_pieces", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
-    out = out.withColumn("_ends", ends)
-    spans = F.transform(
-        "turns",
-        lambda x, i: F.when(
-            x["role"] == "assistant",
-            F.struct(
-                (F.get("_ends", i + 1) - len(END) - F.length(escape(x["text"]))).alias("start"), (F.get("_ends", i + 1) - len(END)).alias("end")
-            ),
-        ),
-    )
-    return out.withColumn("loss_spans", F.filter(spans, lambda s: s.isNotNull())).withColumn("formatted", F.array_join("_pieces", "")).drop("_pieces", "_ends")
+    out = turns.withColumn("_pieces", F.transform("turns", piece))
+    out = out.withColumn("_ends", running_sums(F.transform("_pieces", lambda p: F.length(p))))
+    end = lambda i: F.get("_ends", i) - len(END)
+    span = lambda x, i: F.struct((end(i) - F.length(escape(x["text"]))).alias("start"), end(i).alias("end"), i.alias("turn"))
+    spans = F.filter(F.transform("turns", lambda x, i: F.when(x["role"] == "assistant", span(x, i))), lambda s: s.isNotNull())
+    return out.withColumn("loss_spans", spans).withColumn("formatted", F.array_join("_pieces", "")).drop("_pieces", "_ends")
+
+
+def _pieces(formatted: Column) -> Column:
+    """The formatted turns, without their start marks."""
+    return F.filter(F.split(formatted, F.lit("<\\|start\\|>"), -1), lambda p: p != "")
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted text."""
-    pieces = F.filter(F.split(formatted, F.lit("<\\|start\\|>"), -1), lambda p: p != "")
     return F.transform(
-        pieces,
+        _pieces(formatted),
         lambda p: F.struct(
             unescape(F.substring_index(p, MIDDLE, 1)).alias("role"),
             unescape(F.substring_index(F.substring_index(p, MIDDLE, -1), END, 1)).alias("text"),
@@ -156,13 +231,21 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """The text under the spans, each cut from its own turn's piece, so that long conversations are read once."""
+    one = F.array(F.struct(_pieces(formatted).alias("p"), running_sums(F.transform(_pieces(formatted), lambda p: F.length(p) + len(START))).alias("e")))
+
+    def cut(x: Column, s: Column) -> Column:
+        piece = F.get(x["p"], s["turn"])
+        begin = F.get(x["e"], s["turn"]) - F.length(piece)
+        return unescape(F.substring(piece, (s["start"] - begin + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+
+    return F.get(F.transform(one, lambda x: F.array_join(F.transform(spans, lambda s: cut(x, s)), "")), F.lit(0))
 
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    said = "</s>[INST] ok [/INST]"
-    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("</s>[INST] ok [/INST]").alias("text")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)
     done = format_chat(canonical_turns(from_turns(rows.unionByName(added))))
     back = done.select(F.col("row.conv_id").alias("conv_id"), "formatted", read_back(F.col("formatted")).alias("back"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "layout")
     return back.select(
