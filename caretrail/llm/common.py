@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,21 +13,27 @@ SPACE = " \t\n\x0b\x0c\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
-_own_folder: list[str] = []
+#: Bits of a filter: FILTER_BITS for each hash, as a power of two between these; beyond the last it lets more through.
+FILTER_BITS, LEAST_BITS, MOST_BITS = 64, 1 << 12, 1 << 22
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, as in tests, all run on one
+    machine, and this sets one for the session; on a cluster it has to be named."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="spark-caretrail-"))
-    return _own_folder[0]
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-caretrail-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    Results are lazy and read these tables later, so they stay until the folder's owner clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -67,7 +74,28 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bit_filter(hashes: DataFrame, n: int | None = None) -> Callable[[Column], Column]:
+    """A test that holds for all the hashes (one long column), and seldom for others: one bit for each, in an array that is
+    part of the plan. What it lets through has to be joined still; what it stops needs no join."""
+    held = hashes.select(F.col(hashes.columns[0]).alias("h"))
+    n = held.count() if n is None else n
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (FILTER_BITS * n).bit_length()))
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    held = held.select(F.shiftright(place, 6).alias("id"), F.expr("shiftleft(1L, int(h & 63))").alias("bit")).groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    every = hashes.sparkSession.range(size // 64).join(held, "id", "left").select(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    text = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["bits"]), ",")).first()[0]  # MOST_BITS / 64 numbers at most
+    bits = F.split(F.lit(text), ",").cast("array<bigint>")  # folded to one literal
+    return lambda h: F.bit_get(F.get(bits, F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def without(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs whose (doc_id, xxhash64 of the text) is not among keys (doc_id, text_key)."""
-    k = keys.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    return docs.join(k, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text_col)) == F.col("_key")), "left_anti")
+    """Rows of docs whose (doc_id, xxhash64 of the text) is not among keys (doc_id, text_key, both written already).
+
+    Only the rows that a filter of the keys lets through are joined, so that other texts are not shuffled.
+    """
+    passes = bit_filter(keys.select("text_key"))
+    text_key = F.xxhash64(text_of(f"row.`{text_col}`"))
+    rows = docs.select(F.struct("*").alias("row"))
+    k = keys.select(F.struct("doc_id", "text_key").alias("_gone"))
+    same = F.col(f"row.`{id_col}`").eqNullSafe(F.col("_gone.doc_id")) & (text_key == F.col("_gone.text_key"))
+    return rows.where(~passes(text_key)).unionByName(rows.where(passes(text_key)).join(k, same, "left_anti")).select("row.*")

@@ -1,9 +1,11 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
 A benchmark item's windows (ten consecutive words, or the whole item if shorter) are sets of three-word shingles. A text that
-contains a window contains its rarest shingle, so that one is the window's necessary prefix. Corpus counts of the items'
-shingles give the order of rarity; one pass over the texts keeps the places of prefix shingles with the words around them;
-these join the windows on the shingle. The window's offset and length bound the place, and the words are compared.
+contains a window contains its rarest shingle, so that one is the window's necessary prefix. The texts are cut into words once.
+That pass asks a bit filter, which has no misses and a bounded size, for the shingles that are some item's; it keeps their
+hashes, and with their words the stretches of them that are long enough for a window. The kept hashes' corpus counts give the
+order of rarity; the stretches' places join the windows' prefixes; the window's offset and length bound the place, and the
+words are compared. The plan is the same at every size of the benchmark, and Spark picks each join's kind.
 
 Defined cases: null texts and texts without words have n_words 0 and no hits; items without words have no windows; an empty
 benchmark or an empty table gives no hits or no rows; equal windows of several items count for each of the items; repeated
@@ -16,15 +18,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import hex_digest, lower_ascii, materialize, table, text_of
+from caretrail.llm.common import bit_filter, hex_digest, lower_ascii, materialize, table, text_of
 
 WINDOW = 10
 SHINGLE = 3
 GAP_RE = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: Up to so many shingles are tested inside the scan; more are joined instead.
-MOST_LITERALS = 100_000
-#: Up to so many windows are broadcast; beyond, Spark joins by shuffle.
-MOST_BROADCAST = 50_000
 
 
 def item_words(text: Column) -> Column:
@@ -41,69 +39,71 @@ def benchmark_windows(benchmark: DataFrame, id_col="item_id", text_col="text") -
     return w.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("len", F.size("words"))
 
 
-def _hash_at(words: str, i: str, q: int) -> str:
-    return f"xxhash64({', '.join(f'get({words}, {i} + {k})' for k in range(q))})"
+def shingle_hashes(words: Column | str, q: int) -> Column:
+    """The hash of the q words at each place that has so many."""
+    words = F.col(words) if isinstance(words, str) else words
+    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - q), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(q)]))
+    return F.when(F.size(words) >= q, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingles_of(windows: DataFrame) -> DataFrame:
-    """Adds (q, off, token) for every shingle of a window; q is the shingle's size, SHINGLE or the whole of a shorter window."""
-    hashes = F.expr(
-        "CASE "
-        + " ".join(f"WHEN len {'>=' if q == SHINGLE else '='} {q} THEN transform(sequence(0, len - {q}), i -> {_hash_at('words', 'i', q)})" for q in range(SHINGLE, 0, -1))
-        + " END"
-    )
-    return windows.withColumn("q", F.least("len", F.lit(SHINGLE))).select("*", F.posexplode(hashes).alias("off", "token"))
-
-
-def _hits(tokens: dict[int, list[int] | None], context: bool) -> Column:
-    """Array of the places (q, i, token) of the given shingles in column w; with context also the words around (ctx from `at`)."""
-    found = []
-    for q, known in sorted(tokens.items()):
-        test = "true" if known is None else "h.token IN (" + ", ".join(f"{t}L" for t in known) + ")"
-        around = f", 'at', greatest(h.i - {WINDOW - q}, 0), 'ctx', slice(w, greatest(h.i - {WINDOW - q}, 0) + 1, {2 * WINDOW - q})" if context else ""
-        at = f"transform(sequence(0, size(w) - {q}), i -> named_struct('i', i, 'token', {_hash_at('w', 'i', q)}))"
-        place = f"transform(filter({at}, h -> {test}), h -> named_struct('q', {q}, 'i', h.i, 'token', h.token{around}))"
-        found.append(F.when(F.size("w") >= q, F.expr(place)))
-    return F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))
-
-
-def _known(rows: DataFrame) -> dict[int, list[int] | None]:
-    """Shingles by size for the test inside the scan; None where they are too many to send along."""
-    distinct = rows.select("q", "token").distinct()
-    if distinct.limit(MOST_LITERALS + 1).count() > MOST_LITERALS:
-        return {r["q"]: None for r in distinct.select("q").distinct().collect()}
-    out: dict[int, list[int] | None] = {}
-    for r in distinct.collect():  # at most MOST_LITERALS rows
-        out.setdefault(r["q"], []).append(r["token"])
-    return {q: sorted(t) for q, t in out.items()}
+    """Adds (q, least, off, token) for every shingle of a window: its size, SHINGLE or the whole of a shorter window, and how
+    many in a row the windows of the kind (whole ones, shorter ones) have at least."""
+    kinds = windows.withColumn("q", F.least("len", F.lit(SHINGLE))).withColumn("full", F.col("len") == WINDOW)
+    least = kinds.groupBy("q", "full").agg((F.min("len") - F.first("q") + 1).alias("least"))
+    kinds = kinds.join(least, ["q", "full"]).drop("full")
+    hashes = F.coalesce(*[F.when(F.col("q") == q, shingle_hashes("words", q)) for q in range(SHINGLE, 0, -1)])
+    return kinds.select("*", F.posexplode(hashes).alias("off", "token"))
+
+
+def with_stretches(rows: DataFrame, shingles: DataFrame) -> DataFrame:
+    """rows with words w -> adds `tokens`, the hashes that pass the filters as (q, least, token), and `stretches`, the words
+    (at, words) of those at least `least` places long."""
+    kinds = shingles.groupBy("q", "least").agg(F.count_distinct("token").alias("n")).orderBy("q", "least").collect()  # four kinds at most
+    tokens, stretches = [], []
+    for j, k in enumerate(kinds):
+        passes = bit_filter(shingles.where((F.col("q") == k.q) & (F.col("least") == k.least)).select("token").distinct(), k.n)
+        places = F.transform(shingle_hashes("w", k.q), lambda t, i: F.struct(i.alias("i"), t.alias("token")))
+        rows = rows.withColumn(f"_h{j}", F.filter(places, lambda x: passes(x["token"])))  # noqa: B023
+        hits = F.col(f"_h{j}")
+        # a hit is inside a long enough stretch if one of the `least` stretches around it is without a gap
+        whole = lambda a: F.coalesce(F.get(hits, a + (k.least - 1))["i"] - F.get(hits, a)["i"] == k.least - 1, F.lit(False))  # noqa: B023, E731
+        begins = F.transform(hits, lambda x, a: whole(a))  # noqa: B023
+        rows = rows.withColumn(f"_b{j}", begins)
+        inside = lambda a: F.exists(F.slice(F.col(f"_b{j}"), F.greatest(a - (k.least - 2), F.lit(1)), F.least(a + 1, F.lit(k.least))), lambda b: b)  # noqa: B023, E731
+        rows = rows.withColumn(f"_k{j}", F.transform(F.filter(hits, lambda x, a: inside(a)), lambda x: x["i"]))  # noqa: B023
+        kept = F.col(f"_k{j}")
+        edge = lambda step: F.filter(kept, lambda x, a: ~F.coalesce((a + step >= 0) & (F.get(kept, a + step) == x + step), F.lit(False)))  # noqa: B023, E731
+        rows = rows.withColumn(f"_s{j}", F.arrays_zip(edge(-1).alias("a"), edge(1).alias("b")))
+        words = lambda x: F.struct(F.lit(k.q).alias("q"), F.lit(k.least).alias("least"), x["a"].alias("at"), F.slice("w", x["a"] + 1, x["b"] - x["a"] + k.q).alias("words"))  # noqa: B023, E731
+        stretches.append(F.transform(f"_s{j}", words))
+        tokens.append(F.transform(hits, lambda x: F.struct(F.lit(k.q).alias("q"), F.lit(k.least).alias("least"), x["token"].alias("token"))))  # noqa: B023
+    return rows.withColumns({"tokens": F.concat(*tokens), "stretches": F.concat(*stretches)})
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, items), one row per input row; text_key is the text's xxhash64."""
     text = text_of(text_col)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), item_words(text).alias("w"))
-    windows = materialize(benchmark_windows(benchmark), "benchmark-windows")
-    shingles = materialize(shingles_of(windows), "benchmark-shingles")
-    known = _known(shingles)
-    if not known:
+    shingles = materialize(shingles_of(benchmark_windows(benchmark)), "benchmark-shingles")
+    if shingles.isEmpty():
         return rows.select("doc_id", "text_key", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    slim = with_stretches(rows, shingles).select("rid", "doc_id", "text_key", F.size("w").cast("long").alias("n_words"), "tokens", "stretches")
+    slim = materialize(slim, "benchmark-stretches")
     # order of rarity: the corpus counts of the items' shingles
-    counts = rows.select(F.explode(_hits(known, False)).alias("h")).groupBy("h.q", "h.token").count().withColumnRenamed("count", "n")
-    ranked = shingles.join(counts, ["q", "token"], "left").groupBy("words", "len", "items", "q")
-    prefixes = materialize(
-        ranked.agg(F.min_by(F.struct("off", "token"), F.struct(F.coalesce("n", F.lit(0)), "off")).alias("p"))
-        .select(F.monotonically_increasing_id().alias("win"), "words", "len", "items", "q", "p.off", "p.token"),
-        "benchmark-prefixes",
-    )
-    slim = materialize(rows.select("rid", "doc_id", "text_key", F.size("w").cast("long").alias("n_words"), _hits(_known(prefixes), True).alias("hits")), "benchmark-hits")
-    places = slim.where(F.size("hits") > 0).select("rid", F.col("n_words").alias("n"), F.explode("hits").alias("h")).select("rid", "n", "h.*")
-    few = prefixes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    kind = ["q", "least", "token"]
+    counts = slim.select(F.explode("tokens").alias("t")).groupBy(*[f"t.{c}" for c in kind]).agg(F.count("*").alias("n"))
+    ranked = shingles.join(counts, kind, "left").groupBy("words", "len", "items", "q", "least")
+    prefixes = materialize(ranked.agg(F.min_by(F.struct("off", "token"), F.struct(F.coalesce("n", F.lit(0)), "off")).alias("p")).select("words", "len", "items", "q", "least", "p.off", "p.token"), "benchmark-prefixes")
+    runs = slim.where(F.size("stretches") > 0).select("rid", F.explode("stretches").alias("s")).select("rid", "s.q", "s.least", "s.at", F.col("s.words").alias("ctx"))
+    hashes = F.coalesce(*[F.when(F.col("q") == q, shingle_hashes("ctx", q)) for q in range(SHINGLE, 0, -1)])
+    places = runs.select("*", F.posexplode(hashes).alias("i", "token"))
     start = F.col("i") - F.col("off")
     met = (
-        places.join(F.broadcast(prefixes) if few else prefixes, ["q", "token"])
-        .where((start >= 0) & (start + F.col("len") <= F.col("n")))
-        .where(F.slice("ctx", start - F.col("at") + 1, F.col("len")) == F.col("words"))
-        .select("rid", F.struct(start.alias("s"), (start + F.col("len")).alias("e")).alias("span"), "items")
+        places.join(prefixes, kind)
+        .where((start >= 0) & (start + F.col("len") <= F.size("ctx")))
+        .where(F.slice("ctx", start + 1, F.col("len")) == F.col("words"))
+        .select("rid", F.struct((F.col("at") + start).alias("s"), (F.col("at") + start + F.col("len")).alias("e")).alias("span"), "items")
     )
     by_row = met.groupBy("rid").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     state = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))

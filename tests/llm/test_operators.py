@@ -241,7 +241,7 @@ def test_line_dedup(spark, empty):
     rows = [(i, f"own text of document number {i}\n {line}\t\n" + (other if i < 9 else "tail"), f"site{i}") for i in range(30)]
     rows += [(100, None, None), (None, line, "site0"), (101, "", "s"), (102, "short\nshort", "s")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lines", F.lit(1))
-    got = {r.row.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    got = {r.row.doc_id: r for r in line_dedup.dedup_lines(docs, min_words=5).collect()}
     assert got[0].n_removed == 0 and line in got[0].text
     assert all(got[i].n_removed == 1 and line not in got[i].text for i in range(1, 30))
     assert all(other in got[i].text for i in range(9))
@@ -257,7 +257,16 @@ def test_pipeline_removes_short_boilerplate(spark):
     got = {r.doc_id: r.text for r in pipeline.drop_boilerplate(spark, docs, "").collect()}
     assert got == {i: t if i == 0 else t.replace(" Home.", "").replace("Home.\n", "", 1).removesuffix("\n") for i, t, _ in rows if i != 40}
     every = line_dedup.dedup_lines(docs).collect()
-    assert all(r.n_removed == 0 for r in every)  # op6's contract counts from five words
+    assert {r.row.doc_id: r.n_removed for r in every} == {i: 0 if i == 0 else 1 if i == 40 else 2 for i, _, _ in rows}  # every line that holds a word counts
+    assert all(r.n_removed == 0 for r in line_dedup.dedup_lines(docs, min_words=5).collect())
+
+
+def test_line_dedup_by_names(spark):
+    """Ids that are no numbers, and columns named like the operator's own."""
+    rows = [(f"d{i:02}", f"Home.\ntext {i}", f"site{i % 12}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string").withColumns({c: F.lit("clash") for c in ("_key", "_of", "_lines", "gone", "ord", "n_lines")})
+    got = {r.row.doc_id: r.text for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: t if i == "d00" else t.removeprefix("Home.\n") for i, t, _ in rows}
 
 
 def test_mixing(docs, empty):
