@@ -1,11 +1,13 @@
 """Secret scans: credentials in texts, and multipart credentials whose parts confirm each other.
 
 Strong finds stand alone (assigned secrets, access keys, long hex runs). Weak candidates (an assigned account name or a
-short access key, a random-looking token, an endpoint) are reported only where a complementary part lies within SCOPE code
-points: an account needs a secret, a token needs an account or an endpoint, an endpoint needs both an account and a secret.
-The scopes are joined to the parts as intervals: parts are summed up per cell of SCOPE code points (first start and last
-end of each kind of part), a candidate meets the few cells that its scope touches, and since a scope is wider than a cell,
-the two figures decide the overlap exactly; no pairs are made, however many parts a cell holds.
+short access key, a random-looking token, an endpoint) are reported only where a complementary part lies within `scope` code
+points before or after: an account needs a secret, a token needs an account or an endpoint, an endpoint needs both an account
+and a secret. A part confirms only what it does not overlap, and text that is an account's is no secret besides.
+The scopes are joined to the parts as intervals: parts are summed up per cell of `scope` code points (least and greatest start
+and end of each kind of part). A candidate meets the two cells before it and the two after it; as a cell is as wide as the
+scope, the figures decide exactly whether a part ends there in reach before it or starts there in reach after it. No pairs are
+made, however many parts a cell holds.
 
 Defined cases: a null text is empty; an empty or clean text has a row with no spans; each input row is scanned for itself,
 also if its doc_id is null or repeated; an empty table gives no rows; further columns are ignored.
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 
 from caretrail.llm.common import hex_digest, materialize, table, text_of
 
+#: How far complementary parts may be apart, in code points.
 SCOPE = 200
 
 ASSIGN = "(?i:(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?)([A-Za-z0-9+/_.=-]+)"
@@ -69,22 +72,41 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
             "rid", "rank", (F.col("end") - F.col("len")).alias("start"), "end", F.get(names, "rank").alias("kind"), F.get(kinds, "rank").alias("part"), F.get(strong, "rank").alias("strong")
         )
     )
-    rows = materialize(rows, "secret-rows")
-    weak = rows.where(~F.col("strong"))
-    cells = (
-        rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))))
-        .groupBy("rid", "cell")
-        .agg(
-            *[F.min(F.when(F.col("part") == p, F.col("start"))).alias(f"{p}_from") for p in ("access", "secret", "endpoint")],
-            *[F.max(F.when(F.col("part") == p, F.col("end"))).alias(f"{p}_to") for p in ("access", "secret", "endpoint")],
-        )
-    )
-    reach = weak.withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope - 1) / scope))))
-    near = lambda p: F.coalesce((F.col(f"{p}_from") < F.col("end") + scope) & (F.col(f"{p}_to") > F.col("start") - scope), F.lit(False))
+    # a secret's characters that are an account's as well: an account that starts no later ends inside, or one starts inside
+    by_start = Window.partitionBy("rid").orderBy("start")
+    access = F.col("part") == "access"
+    reached = F.max(F.when(access, F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0))
+    begun = F.min(F.when(access, F.col("start"))).over(by_start.rangeBetween(0, Window.unboundedFollowing))
+    shared = (F.col("part") == "secret") & (F.coalesce(reached > F.col("start"), F.lit(False)) | F.coalesce(begun < F.col("end"), F.lit(False)))
+    rows = materialize(rows.withColumn("shared", shared), "secret-rows")
+    parts, cell = ("access", "secret", "endpoint"), lambda c: F.floor(F.col(c) / scope)
+    evidence, weak = rows.where("NOT shared"), rows.where("NOT strong AND NOT shared")
+
+    def figures(at: str, out: str) -> DataFrame:
+        """Least and greatest `at` of each kind of part, per cell."""
+        sums = [f(F.when(F.col("part") == p, F.col(at))).alias(f"{name}_{p}") for p in parts for f, name in ((F.min, "least"), (F.max, "most"))]
+        return evidence.groupBy("rid", cell(at).alias("cell")).agg(*sums).withColumn("side", F.lit(out))
+
+    sides = figures("end", "before").unionByName(figures("start", "after"))
+    reach = weak.withColumn(
+        "at",
+        F.explode(
+            F.array(
+                *[F.struct(F.lit("before").alias("side"), (cell("start") - k).alias("cell"), F.lit(k).alias("step")) for k in (0, 1)],
+                *[F.struct(F.lit("after").alias("side"), (cell("end") + k).alias("cell"), F.lit(k).alias("step")) for k in (0, 1)],
+            )
+        ),
+    ).select("rid", "rank", "kind", "part", "start", "end", "at.side", "at.cell", "at.step")
+
+    def near(p: str):
+        own = F.when(F.col("side") == "before", F.col(f"least_{p}") <= F.col("start")).otherwise(F.col(f"most_{p}") >= F.col("end"))
+        next_ = F.when(F.col("side") == "before", F.col(f"most_{p}") > F.col("start") - scope).otherwise(F.col(f"least_{p}") < F.col("end") + scope)
+        return F.coalesce(F.when(F.col("step") == 0, own).otherwise(next_), F.lit(False))
+
     met = (
-        reach.join(cells, ["rid", "cell"])
+        reach.join(sides, ["rid", "side", "cell"])
         .groupBy("rid", "rank", "kind", "part", "start", "end")
-        .agg(*[F.max(near(p)).alias(f"has_{p}") for p in ("access", "secret", "endpoint")])
+        .agg(*[F.max(near(p)).alias(f"has_{p}") for p in parts])
         .where(
             ((F.col("part") == "access") & F.col("has_secret"))
             | ((F.col("part") == "secret") & (F.col("has_access") | F.col("has_endpoint")))

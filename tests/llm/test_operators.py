@@ -97,7 +97,7 @@ def test_scopes_against_brute_force(spark):
     for i in range(40):
         t = ""
         for _ in range(12):
-            t += " " + "x " * r.choice([3, 40, 150]) + r.choice(["user: bob", "Zx9yQw8eRt7uYi6oPa5sDf4g", "10.1.2.3", "AKIA" + "B" * 16, "AKIA" + "C" * 10, "deadbeef" * 4])
+            t += " " + "x " * r.choice([3, 40, 150]) + r.choice(["user: bob", "Zx9yQw8eRt7uYi6oPa5sDf4g", "10.1.2.3", "AKIA" + "B" * 16, "AKIA" + "C" * 10, "deadbeef" * 4, "login: aZx9yQw8eRt7uYi6oPa5sDf4g", "https://a.example/Zx9yQw8eRt7uYi6oPa5sDf4g/x"])
         texts.append((i, t))
     got = secrets.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string"))
     import re
@@ -110,11 +110,24 @@ def test_scopes_against_brute_force(spark):
                 if kind == "assign" and len(m[2]) < 6 or kind == "weak_secret" and not (re.search("[a-z]", s) and re.search("[A-Z]", s) and re.search("[0-9]", s)):
                     continue
                 parts.append((m.start(), rank, kind, m.end(), part, strong))
-        near = lambda p, what: any(q[4] == what and q[0] < p[3] + secrets.SCOPE and q[3] > p[0] - secrets.SCOPE for q in parts)  # noqa: B023, E731
-        need = {"access": lambda p: near(p, "secret"), "secret": lambda p: near(p, "access") or near(p, "endpoint"), "endpoint": lambda p: near(p, "access") and near(p, "secret")}
+        def shared(p):
+            return p[4] == "secret" and any(q[4] == "access" and q[0] < p[3] and q[3] > p[0] for q in parts)  # noqa: B023
+
+        def near(p, what):
+            found = [q for q in parts if q[4] == what and not shared(q)]  # noqa: B023
+            return any(p[0] - secrets.SCOPE < q[3] <= p[0] or p[3] <= q[0] < p[3] + secrets.SCOPE for q in found)
+
+        need = {"access": lambda p: near(p, "secret"), "secret": lambda p: not shared(p) and (near(p, "access") or near(p, "endpoint")), "endpoint": lambda p: near(p, "access") and near(p, "secret")}
         assert [tuple(s) for s in row.spans] == sorted(p[:4] for p in parts if p[5] or need[p[4]](p))
 
 
+def test_no_candidate_confirms_itself(spark):
+    token = "Zx9yQw8eRt7uYi6oPa5sDf4g"
+    texts = {1: f"login: {token}", 2: f"see https://a.example/{token}/page", 3: f"login: {token} https://a.example/x", 4: f"login: bob {token}", 5: f"https://a.example/{token} and user: bob", 6: f"login: {token} other {token[::-1]}"}
+    got = {r.doc_id: [(s["kind"], s["start"]) for s in r.spans] for r in secrets.scan_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [], 3: [], 4: [("weak_access", 0), ("weak_secret", 11)], 5: [("weak_secret", 10), ("weak_access", 47)], 6: [("weak_access", 0), ("weak_secret", 38)]}
+
+
 def test_quality_rules(docs, empty):
     out = quality_rules.quality_rules(docs)
     assert by_id(out, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == want(brute.rules)
