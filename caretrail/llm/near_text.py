@@ -1,14 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
+"""Near-duplicates by the Jaccard similarity of word shingles, from SimHash anchors and bands of minima.
 
-Texts that share a bucket are compared: a bucket is one of BANDS bands of ROWS minima of the shingles' hashes, so a pair of
-similarity s shares none with probability (1 - s ** ROWS) ** BANDS (2e-8 at 0.8). What is compared is decided by the exact
-similarity of the texts' shingles. In a bucket of CROWD texts or fewer all pairs are compared. In a larger one each text is
-compared with the bucket's hub (the text whose buckets hold most others) and with the head of a small random part of the
-bucket, other parts in each band, so that the pairs grow with the texts; there a text may lose its group where it is near to
-neither hub nor heads.
+Candidates come in three steps; each candidate is decided by the exact similarity of the two texts' shingles.
+
+1. Fingerprints of the same shingles that are equal or differ in two bits at most meet at their anchors (see simhash).
+   Similarity 0.8 means about ten differing bits, so these are only some of the links.
+2. Texts that share a bucket: one of BANDS bands of ROWS minima of the shingles' hashes, so that a pair of similarity s shares
+   none with probability (1 - s ** ROWS) ** BANDS (2e-8 at 0.8). Each text of a bucket is compared with the bucket's hub (the
+   text whose buckets hold most others), so a group of thousands costs a comparison a text.
+3. Where a bucket's texts are still in different components after that, the texts outside its largest component are compared
+   with all texts of the other components: in a bucket of CROWD texts or fewer pair by pair; in a larger one in blocks of
+   BLOCK texts, where pairs whose minima agree in too few places are left out (one of similarity 0.8 is lost with probability
+   2e-6). So no bucket is capped.
 
 Defined cases: null and wordless texts are one text without words; fewer words than a shingle make one shingle; A-Z count as
-lower case; equal texts share a group; shingles are compared by their 64-bit hashes.
+lower case; equal texts share a group; shingles and texts are compared by their 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -21,25 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretrail.llm.common import materialize, text_of
+from caretrail.llm import simhash
+from caretrail.llm.common import bit_filter, materialize, text_of
 from caretrail.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 26, 3
-CROWD = 8
+CROWD, BLOCK = 8, 1024
+#: Of BANDS * ROWS minima, so many agree at least at similarity 0.8, but for 2 pairs in a million (binomial tail).
+LEAST_AGREE = 45
 SEED = 42
-
-
-def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """The distinct XXH64 hashes of a text's word shingles."""
-    from xxhash import xxh64_intdigest as digest
-
-    words = text.lower().split()
-    if len(words) <= shingle:
-        grams = [b" ".join(words)]
-    else:
-        grams = map(b" ".join, zip(*[words[k:] for k in range(shingle)], strict=False))
-    return np.unique(np.fromiter((digest(g, SEED) for g in grams), dtype=np.uint64, count=max(1, len(words) - shingle + 1)))
+PRINTS = T.StructType().add("fp", T.LongType()).add("buckets", T.ArrayType(T.LongType())).add("minima", T.BinaryType())
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -53,53 +50,116 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.LongType()))
-def buckets(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.pandas_udf(PRINTS)
+def prints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """Fingerprint, buckets and the minima's upper halves of each text."""
     from xxhash import xxh64_intdigest as digest
 
     for part in texts:
-        rows = (minima(shingle_hashes(t.encode("utf-8", "surrogatepass"))).reshape(BANDS, ROWS) for t in part)
-        yield pd.Series([np.array([digest(x.tobytes(), k) for k, x in enumerate(m)], np.uint64).view(np.int64) for m in rows])
+        fp, buckets, packed = [], [], []
+        for t in part:
+            every = simhash.shingle_hashes(t.encode("utf-8", "surrogatepass"), SHINGLE)
+            m = minima(np.unique(every))
+            fp.append(simhash.fingerprint(every))
+            buckets.append(np.array([digest(x.tobytes(), k) for k, x in enumerate(m.reshape(BANDS, ROWS))], np.uint64).view(np.int64))
+            packed.append((m >> np.uint64(32)).astype("<u4").tobytes())
+        yield pd.DataFrame({"fp": np.array(fp, np.int64), "buckets": buckets, "minima": packed})
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def shingles(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The distinct shingle hashes of each text."""
     for part in texts:
-        yield pd.Series([shingle_hashes(t.encode("utf-8", "surrogatepass")).view(np.int64) for t in part])
+        yield pd.Series([np.unique(simhash.shingle_hashes(t.encode("utf-8", "surrogatepass"), SHINGLE)).view(np.int64) for t in part])
+
+
+def _pair(a: str, b: str) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """(text_key, fp) -> pairs: each text with its fingerprint's first one, and those of fingerprints two bits apart at most."""
+    heads = materialize(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "near-fingerprints")
+    same = texts.join(heads, "fp").where("text_key <> head").select(*_pair("text_key", "head"))
+    links = simhash.near_links(heads.select("fp"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_key"))
+    return same.unionByName(links.join(of("a"), "a").join(of("b"), "b").select(*_pair("a_key", "b_key")))
+
+
+def hub_pairs(shared: DataFrame) -> DataFrame:
+    """(text_key, bucket, n) -> each text with the hub of its bucket."""
+    weight = shared.groupBy("text_key").agg(F.sum("n").alias("weight"))
+    hubs = shared.join(weight, "text_key").groupBy("bucket").agg(F.max(F.struct("weight", "text_key"))["text_key"].alias("hub"))
+    return shared.join(hubs, "bucket").where("text_key <> hub").select(*_pair("text_key", "hub"))
+
+
+def _agreeing(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a block of queries and one of members that are in different components and whose minima agree often enough."""
+    found = {"a": [], "b": []}
+    if len(queries) and len(members):
+        m = np.frombuffer(b"".join(members["minima"]), "<u4").reshape(len(members), -1)
+        keys, comps = members["text_key"].to_numpy(), members["component"].to_numpy()
+        for k, c, x in zip(queries["text_key"], queries["component"], queries["minima"], strict=True):
+            hit = keys[(comps != c) & ((m == np.frombuffer(x, "<u4")).sum(axis=1) >= LEAST_AGREE)]
+            found["a"] += np.minimum(hit, k).tolist()
+            found["b"] += np.maximum(hit, k).tolist()
+    return pd.DataFrame(found, dtype="int64")
+
+
+def other_pairs(shared: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of buckets whose texts are in several components: those outside the largest one with all of other components."""
+    placed = shared.join(component, "text_key", "left").select("bucket", "n", "text_key", F.coalesce("component", "text_key").alias("component"))
+    of = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    open_ = of.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("outside")).where("k > 1")
+    rest = materialize(placed.join(open_.select("bucket", "main", "outside"), "bucket"), "near-rest")
+    few = rest.where(F.col("n") <= CROWD).groupBy("bucket").agg(F.collect_list(F.struct("text_key", "component")).alias("k"))
+    few = few.select(F.explode("k").alias("x"), "k").select(F.col("x.text_key").alias("a"), F.explode(F.filter("k", lambda y: (y["text_key"] > F.col("x.text_key")) & (y["component"] != F.col("x.component")))).alias("y"))
+    few = few.select("a", F.col("y.text_key").alias("b"))
+    many = rest.where(F.col("n") > CROWD).join(texts.select("text_key", "minima"), "text_key")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("text_key"), blocks(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    side = ["bucket", "query_block", "member_block"]
+    fields = [F.col(c).alias(c) for c in (*side, "text_key", "component", "minima")]  # new columns, as both sides come from one table
+    queries = many.where("component <> main").withColumn("query_block", mine("outside")).withColumn("member_block", each("n")).select(*fields)
+    members = many.withColumn("member_block", mine("n")).withColumn("query_block", each("outside")).select(*fields)
+    blocked = queries.groupBy(*side).cogroup(members.groupBy(*side)).applyInPandas(_agreeing, "a long, b long")
+    return few.unionByName(blocked)
+
+
+def similar(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+    """Of pairs (a, b) of text_keys those whose shingles' similarity is percent / 100 or more."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-needed")
+    passes = bit_filter(needed)
+    keyed = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
+    texts = keyed.where(passes(F.col("key"))).join(needed, "key", "left_semi").dropDuplicates(["key"])
+    sets = materialize(texts.select("key", shingles("text").alias("s")).withColumn("size", F.size("s")), "near-shingles")
+    # the sizes alone bound the similarity: the sets are joined only where it can be reached
+    size = lambda c, n: sets.select(F.col("key").alias(c), F.col("size").alias(n))
+    fit = pairs.join(size("a", "m"), "a").join(size("b", "n"), "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
+    both = fit.join(sets.select(F.col("key").alias("a"), "s"), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("t")), "b")
+    common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("c"), (F.col("m") + F.col("n")).alias("n"))
+    return materialize(common.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b"), "near-links")
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """(text_key, buckets), distinct texts -> pairs (a, b) to compare, a < b."""
-    bands = prints.select("text_key", F.explode("buckets").alias("bucket"))
+def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+    """Links (a, b) between text_keys: every two similar texts are in one component of them."""
+    texts = materialize(rows.select("text_key", "fp", "buckets", "minima").dropDuplicates(["text_key"]), "near-texts")
+    bands = texts.select("text_key", F.explode("buckets").alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(bands.join(sizes, "bucket"), "near-buckets")
-    few = shared.where(F.col("n") <= CROWD).groupBy("bucket").agg(F.array_sort(F.collect_list("text_key")).alias("k"))
-    few = few.select(F.explode("k").alias("a"), "k").select("a", F.explode(F.filter("k", lambda x: x > F.col("a"))).alias("b"))
-    many = shared.where(F.col("n") > CROWD)
-    weight = many.groupBy("text_key").agg(F.sum("n").alias("weight"))
-    many = materialize(many.join(weight, "text_key").withColumn("part", F.pmod(F.xxhash64("text_key", "bucket"), F.ceil(F.col("n") / CROWD))), "near-crowds")
-    hubs = many.groupBy("bucket").agg(F.max(F.struct("weight", "text_key"))["text_key"].alias("head"))
-    heads = many.groupBy("bucket", "part").agg(F.min(F.struct(F.xxhash64("bucket", "text_key"), "text_key"))["text_key"].alias("head"))
-    far = many.join(hubs, "bucket").select("text_key", "head").unionByName(many.join(heads, ["bucket", "part"]).select("text_key", "head")).where("text_key <> head")
-    return few.unionByName(far.select(F.least("text_key", "head").alias("a"), F.greatest("text_key", "head").alias("b"))).distinct()
-
-
-def near_links(docs: DataFrame, prints: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
-    """Links (a, b) between the text_keys of texts whose shingles' similarity is percent / 100 or more."""
-    pairs = materialize(candidates(prints), "near-pairs")
-    needed = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
-    keyed = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
-    texts = keyed.join(needed, F.col("key") == F.col("_key"), "left_semi").dropDuplicates(["key"])
-    sets = materialize(texts.select("key", shingles("text").alias("s")), "near-shingles")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("s")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("t")), "b")
-    common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("c"), (F.size("s") + F.size("t")).alias("n"))
-    return materialize(common.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b"), "near-links")
+    first = similar(docs, fingerprint_pairs(texts.select("text_key", "fp")).unionByName(hub_pairs(shared)), percent, text_col)
+    component = connected_components(first).withColumnRenamed("node", "text_key")
+    rest = similar(docs, other_pairs(shared, component, texts), percent, text_col)
+    return first.unionByName(rest)
 
 
 def near_groups(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, component), one row per input row; component is a text_key that stands for the group."""
     text = text_of(text_col)
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), buckets(text).alias("buckets")), "near-prints")
-    stars = connected_components(near_links(docs, rows.select("text_key", "buckets").dropDuplicates(["text_key"]), percent, text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), prints(text).alias("p")).select("doc_id", "text_key", "p.*")
+    rows = materialize(rows, "near-prints")
+    stars = connected_components(near_links(docs, rows, percent, text_col))
     member = rows.select("doc_id", "text_key").join(stars.withColumnRenamed("node", "text_key"), "text_key", "left")
     return member.select("doc_id", "text_key", F.coalesce("component", "text_key").alias("component"))

@@ -119,3 +119,20 @@ def jaccard_groups(texts: dict[int, str], percent: int = 80) -> dict[int, int]:
                 x, y = sorted((find(a), find(b)))
                 top[y] = x
     return {i: find(i) for i in texts}
+
+
+def lines(docs: dict[int, tuple], min_sites: int = 10) -> dict[int, tuple]:
+    """id: (text, source) -> id: (text without the lines that go, number of those)."""
+    sites, first = {}, {}
+    for i in sorted(docs):
+        for x in (docs[i][0] or "").split("\n"):
+            if WORD.search(x):
+                k = x.strip(" \t\n\x0b\x0c\r")
+                sites.setdefault(k, set()).add(docs[i][1])
+                first.setdefault(k, i)
+    out = {}
+    for i, (t, _) in docs.items():
+        every = (t or "").split("\n")
+        keep = [x for x in every if not ((k := x.strip(" \t\n\x0b\x0c\r")) in sites and len(sites[k]) >= min_sites and first[k] < i)]
+        out[i] = (t if len(keep) == len(every) else "\n".join(keep), len(every) - len(keep))
+    return out

@@ -442,15 +442,51 @@ def test_pipeline(spark):
     scores = {r.row.doc_id: r.score for r in quality_classifier.score_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     assert set(quality) == {i for i, s in scores.items() if s >= 0.5}
     lines = made["line dedup"]
-    assert set(lines) <= set(quality)
+    left = brute.lines({i: (r.text, r.source) for i, r in quality.items()})
+    assert {i: r.text for i, r in lines.items()} == {i: t for i, (t, n) in left.items() if not n or t.strip(" \t\n\x0b\x0c\r")}
+    assert all(r.n_chars == len(r.text) for i, r in lines.items() if left[i][1])
     near = made["simhash near-dedup"]
-    top = brute.components({i: brute.simhash(r.text) for i, r in lines.items()})
-    assert set(near) == set(top.values())
+    top = brute.jaccard_groups({i: r.text for i, r in lines.items()})
+    assert set(near) == set(top.values()) and all(near[i].text == lines[i].text for i in near)
     items = {str(r.item_id): r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     clean = made["benchmark decontamination"]
     assert set(clean) == {i for i, r in near.items() if not brute.decontamination(r.text, items)[4]}
-    assert set(made["mixing sources"]) <= set(clean)
-    assert pipeline.run(spark, SF).count() == frame.count()
+    assert all(clean[i].text == near[i].text for i in clean)
+    # each document at most three times, each source near its target
+    size = {i: len(brute.WORD.findall(r.text)) for i, r in clean.items()}
+    taken, target = Counter(), {r.source: (r.target, r.source_size) for r in mixing.mix_plan(spark.createDataFrame(list(clean.values()))).collect()}
+    times = Counter(r.doc_id for r in frame.collect())
+    for i, n in times.items():
+        assert n <= 3 and made["mixing sources"][i].text == clean[i].text
+        taken[clean[i].source] += n * size[i]
+    largest = {s: max(size[i] for i in clean if clean[i].source == s) for s in target}
+    assert all(abs(taken[s] - want) <= max(largest[s], 0.25 * want) for s, (want, _) in target.items())
+    assert Counter(r.doc_id for r in pipeline.run(spark, SF).collect()) == times
+
+
+def test_pipeline_on_an_empty_table(spark):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark):
+    """Columns named like the stages' own, null ids and repeated rows."""
+    import corpus_pipeline as pipeline
+
+    rows = [(i, sentences(i % 7, 80), "en", f"s{i % 3}", 1) for i in range(14)] + [(None, sentences(50, 60), None, None, None), (3, sentences(3, 80), "en", "s0", 1), (20, None, "en", "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ["_id", "_key", "_of", "_gone", "_twice", "_plan", *CLASH]:
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, stage in pipeline.STAGES[1:]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        ids = [r.doc_id for r in out.collect()]
+        if name == "simhash near-dedup":
+            assert sorted(ids, key=str) == sorted([*range(7), 20, None], key=str)
 
 
 def test_pipeline_from_near_stage_on(spark):
