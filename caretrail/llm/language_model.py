@@ -1,17 +1,24 @@
 """Scoring with a gated recurrent language model.
 
-The output softmax is factored by classes: a word's class comes from its last bytes, P(word | before) is the network's
-P(class | state) times the word's share of its class in the training counts of the whole corpus. The network (one layer of
-gated units over classes) is trained in numpy by backpropagation truncated to WINDOW tokens: each task trains on its own
-documents, the tasks' parameters are averaged by tokens, in two rounds that together pass every training document once.
-A document is scored whole, WINDOW tokens at a time, with the state carried from window to window.
+The output softmax is factored: P(word | before) is P(class | state) times P(bucket | class, state) times the word's share of
+its bucket in the training counts of the whole corpus. A word's class comes from its last bytes, its bucket within the class
+from a hash of all of them, so that no table has to be learnt or sent around; only the words of one of the CLASSES * BUCKETS
+buckets are told apart by counts alone. What goes in is the embedding of the last word's class plus that of its bucket.
+
+The network (one layer of gated units) is trained in numpy by backpropagation truncated to WINDOW tokens. The training
+documents are dealt to shards by a hash of their ids and texts, about SHARD_BYTES each, and are in order within a shard; so
+neither the shards nor their models depend on how the table is partitioned. The shards' parameters are averaged by tokens, as
+fixed-point numbers, whose sums have no order, in two rounds that together pass every training document once. As shards do not
+shrink, more input means more models of the same training in the average. A document is scored whole, with the state carried
+from window to window.
 
 Word counts travel as packed messages between batches of documents and ranges of word hashes (64 bits), so that a word in
 every document is one entry per batch. Documents of like length share a batch, as they step through their words together.
 
 Defined cases: a null text is empty and has the end token alone; a null doc_id counts as the empty text in the split, hence is
-learnt from; without training documents the counts are zero and the network is untrained; repeated rows have a row each;
-words match by their bytes with A-Z lower-cased; an empty table gives no rows; further columns are ignored.
+learnt from; without training documents the counts are zero and the network is untrained; repeated rows have a row each (and
+share a shard and a batch); words match by their bytes with A-Z lower-cased; an empty table gives no rows; further columns are
+ignored; ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -26,11 +33,17 @@ from pyspark.sql import functions as F
 
 from caretrail.llm.common import crc_mod, materialize, table, text_of
 
-HIDDEN, CLASSES, SUFFIX = 16, 64, 2
+HIDDEN, CLASSES, BUCKETS, SUFFIX = 16, 64, 32, 2
 WINDOW, LANES, STRETCH, RATE = 16, 256, 256, 0.02
-BATCH_BYTES, RANGE_BYTES, LEAST_PARTS = 8 << 20, 16 << 20, 16
-SHAPES = {"e": (CLASSES, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "o": (HIDDEN, CLASSES), "b": (CLASSES,)}
-END = 0  # class of the end token, and its key
+SHARD_BYTES, BATCH_BYTES, RANGE_BYTES, LEAST_PARTS = 8 << 20, 8 << 20, 16 << 20, 16
+#: Embeddings of classes and buckets, recurrent weights, weights and bias of the classes and of the buckets of each class.
+SHAPES = {
+    "e": (CLASSES, 3 * HIDDEN), "w": (CLASSES * BUCKETS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN),
+    "o": (HIDDEN, CLASSES), "b": (CLASSES,), "v": (CLASSES, HIDDEN, BUCKETS), "c": (CLASSES, BUCKETS),
+}
+POINT, STEP = float(1 << 20), 4096  # fixed point of averaged parameters; tokens for each unit of weight
+MANY = 1 << 15  # states whose outputs are worked out at once
+END = 0  # bucket and class of the end token, and its key; the class has no words
 
 
 def _vocabulary() -> defaultdict:
@@ -39,10 +52,11 @@ def _vocabulary() -> defaultdict:
     return words
 
 
-def classes_of(words) -> np.ndarray:
+def buckets_of(words) -> np.ndarray:
+    """class * BUCKETS + bucket of each word."""
     from xxhash import xxh32_intdigest
 
-    return np.fromiter((1 + xxh32_intdigest(w[-SUFFIX:]) % (CLASSES - 1) for w in words), np.int64)
+    return np.fromiter(((1 + xxh32_intdigest(w[-SUFFIX:]) % (CLASSES - 1)) * BUCKETS + xxh32_intdigest(w, 1) % BUCKETS for w in words), np.int64)
 
 
 def tokens_of(texts: list[bytes], words: defaultdict) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +75,8 @@ def tokens_of(texts: list[bytes], words: defaultdict) -> tuple[np.ndarray, np.nd
 def start_parameters() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     out = {k: (rng.standard_normal(s) * 0.2).astype(np.float32) for k, s in SHAPES.items()}
-    out["b"][:] = 0
+    for k in "wbvc":
+        out[k][:] = 0
     return out
 
 
@@ -78,22 +93,75 @@ def unpack(flat) -> dict[str, np.ndarray]:
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def inputs(p: dict[str, np.ndarray]) -> np.ndarray:
+    """The embedding of each bucket, its class's included."""
+    return p["w"] + np.repeat(p["e"], BUCKETS, axis=0)
 
 
-def _step(p, x, h):
-    g, u = p["e"][x], h @ p["u"]
-    zr = _sigmoid(g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
+def _step(table: np.ndarray, weights: np.ndarray, x: np.ndarray, h: np.ndarray):
+    """The state after the words x; the gates too."""
+    g, u = table[x], h @ weights
+    zr = np.tanh((g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]) * np.float32(0.5))
+    zr += 1
+    zr *= np.float32(0.5)
     z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
-    n = 2 * _sigmoid(2 * (g[:, 2 * HIDDEN :] + r * un)) - 1
+    n = np.tanh(g[:, 2 * HIDDEN :] + r * un)
     return n + z * (h - n), z, r, un, n
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-    return logits
+def _odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the logits, which are cut off far above what training gives, and their sums."""
+    e = np.exp(np.minimum(logits, np.float32(60), out=logits))
+    return e, e @ np.ones(e.shape[1], e.dtype)
+
+
+class Outputs:
+    """The two factors of the softmax for states and the buckets that follow them; states are grouped by class."""
+
+    def __init__(self, p: dict[str, np.ndarray], top: np.ndarray, y: np.ndarray):
+        self.p, self.top, self.of = p, top, y // BUCKETS
+        self.every = np.arange(len(y))
+        self.logits = top @ p["o"] + p["b"]
+        self.e, self.sum = _odds(self.logits)
+        self.order = np.argsort(self.of.astype(np.int16), kind="stable")
+        self.edges = np.searchsorted(self.of[self.order], np.arange(CLASSES + 1)).tolist()
+        self.grouped, self.bucket = top[self.order], (y - self.of * BUCKETS)[self.order]
+        self.inner = p["c"][self.of[self.order]]
+        for c, at in self.classes():
+            self.inner[at] += self.grouped[at] @ p["v"][c]
+        self.inner_e, self.inner_sum = _odds(self.inner)
+
+    def classes(self) -> Iterator[tuple[int, slice]]:
+        """The classes that follow, but that of the end token, each with its grouped states."""
+        for c in range(1, CLASSES):
+            if self.edges[c] < self.edges[c + 1]:
+                yield c, slice(self.edges[c], self.edges[c + 1])
+
+    def logs(self) -> np.ndarray:
+        """Natural log of P(bucket | state)."""
+        out = self.logits[self.every, self.of] - np.log(self.sum)
+        inner = self.inner[self.every, self.bucket] - np.log(self.inner_sum)
+        inner[: self.edges[1]] = 0  # the end token is alone in its class
+        out[self.order] += inner
+        return out
+
+    def gradients(self, share: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of the loss, each state weighing its share: by parameter, and by state."""
+        p = self.p
+        d = self.e / self.sum[:, None]
+        d[self.every, self.of] -= 1
+        d *= share[:, None]
+        grad = {"o": self.top.T @ d, "b": d.sum(axis=0), "v": np.zeros_like(p["v"]), "c": np.zeros_like(p["c"])}
+        out = d @ p["o"].T
+        d = self.inner_e / self.inner_sum[:, None]
+        d[self.every, self.bucket] -= 1
+        d *= share[self.order][:, None]
+        back = np.zeros_like(self.grouped)
+        for c, at in self.classes():
+            grad["v"][c], grad["c"][c] = self.grouped[at].T @ d[at], d[at].sum(axis=0)
+            back[at] = d[at] @ p["v"][c].T
+        out[self.order] += back
+        return grad, out
 
 
 class Trainer:
@@ -106,19 +174,16 @@ class Trainer:
         self.t = 0
 
     def window(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """x, y, on: steps x lanes. Learns from one window and gives the state after it."""
-        p, steps, states = self.p, [], []
+        """x, y: buckets, on: steps x lanes. Learns from one window and gives the state after it."""
+        p, steps, states, table = self.p, [], [], inputs(self.p)
         for t in range(len(x)):
-            h_new, z, r, un, n = _step(p, x[t], h)
+            h_new, z, r, un, n = _step(table, p["u"], x[t], h)
             steps.append((h, z, r, un, n))
             states.append(h_new)
             h = h_new
         top, flat_on = np.concatenate(states), on.ravel()
-        d = np.exp(_log_softmax(top @ p["o"] + p["b"]))
-        d[np.arange(len(d)), y.ravel()] -= 1
-        d *= (flat_on / max(1, flat_on.sum()))[:, None].astype(np.float32)
-        grad = {"o": top.T @ d, "b": d.sum(axis=0), "u": np.zeros_like(p["u"])}
-        d_top = (d @ p["o"].T).reshape(len(x), -1, HIDDEN)
+        grad, d_top = Outputs(p, top, y.ravel()).gradients((flat_on / max(1, flat_on.sum())).astype(top.dtype))
+        grad["u"], d_top = np.zeros_like(p["u"]), d_top.reshape(len(x), -1, HIDDEN)
         dh, d_in = np.zeros_like(h), [None] * len(x)
         for t in reversed(range(len(x))):
             before, z, r, un, n = steps[t]
@@ -131,10 +196,11 @@ class Trainer:
             grad["u"] += before.T @ du
             dh = dh * z + du @ p["u"].T
         flat_x, flat_d = x.ravel(), np.concatenate(d_in)
-        by = np.argsort(flat_x, kind="stable")
+        by = np.argsort(flat_x.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(flat_x[by]) > 0))
-        grad["e"] = np.zeros_like(p["e"])
-        grad["e"][flat_x[by][first]] = np.add.reduceat(flat_d[by], first, axis=0)
+        grad["w"] = np.zeros_like(p["w"])
+        grad["w"][flat_x[by][first]] = np.add.reduceat(flat_d[by], first, axis=0)
+        grad["e"] = grad["w"].reshape(CLASSES, BUCKETS, -1).sum(axis=1)
         self._update(grad)
         return h
 
@@ -142,20 +208,28 @@ class Trainer:
         self.t += 1
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
+        rate, ease = RATE / (1 - 0.9**self.t), 1 / np.sqrt(1 - 0.98**self.t)
         for k, g in grad.items():
-            g = g * scale
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.98 * self.v[k] + 0.02 * g * g
-            self.p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.98**self.t)) + 1e-8)
-
-
-def train_on(trainer: Trainer, classes: np.ndarray, sizes: np.ndarray) -> None:
-    """One pass over texts given by the classes of their words, in stretches of STRETCH tokens in LANES lanes."""
+            g *= np.float32(scale)
+            m, v = self.m[k], self.v[k]
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.98)
+            g *= g
+            v += np.float32(0.02) * g
+            root = np.sqrt(v)
+            root *= np.float32(ease)
+            root += np.float32(1e-8)
+            self.p[k] -= np.float32(rate) * m / root
+
+
+def train_on(trainer: Trainer, buckets: np.ndarray, sizes: np.ndarray) -> None:
+    """One pass over texts given by the buckets of their words, in stretches of STRETCH tokens in LANES lanes."""
     ends = np.cumsum(sizes + 1)
     line = np.full(int(ends[-1]), END, np.int64)  # words and end of each text
     word = np.ones(len(line), bool)
     word[ends - 1] = False
-    line[word] = classes
+    line[word] = buckets
     before = np.concatenate([[END], line[:-1]])
     begin = np.concatenate([np.arange(a, e, STRETCH) for a, e in zip(ends - sizes - 1, ends, strict=True)])
     length = np.minimum(STRETCH, np.repeat(ends, -(-(sizes + 1) // STRETCH)) - begin)
@@ -173,61 +247,80 @@ def train_on(trainer: Trainer, classes: np.ndarray, sizes: np.ndarray) -> None:
             h = trainer.window(before[where], line[where], on, h[:alive])
 
 
-def train_task(flat: np.ndarray):
-    def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trainer, total = Trainer(unpack(flat)), 0
-        for frame in frames:
-            words = _vocabulary()
-            ids, sizes = tokens_of(list(frame["text"]), words)
-            if not len(sizes):
-                continue
-            classes = classes_of(words)[ids] if len(ids) else np.empty(0, np.int64)
-            if not trainer.p["b"].any():
-                count = np.bincount(classes, minlength=CLASSES) + 1.0
-                count[END] += len(sizes)
-                trainer.p["b"][:] = np.log(count / count.sum())
-            train_on(trainer, classes, sizes)
-            total += int(sizes.sum()) + len(sizes)
-        if total:
-            yield pd.DataFrame({"p": [pack(trainer.p).tolist()], "tokens": [total]})
+def _logs(count: np.ndarray) -> np.ndarray:
+    return np.log(count / count.sum(axis=-1, keepdims=True)).astype(np.float32)
+
+
+def train_shard(flat: np.ndarray, fresh: bool):
+    """Parameters, in fixed point times the weight, and weight of a model trained on one shard from `flat` on."""
+
+    def train(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["ord", "text"], kind="stable")
+        trainer, words = Trainer(unpack(flat)), _vocabulary()
+        ids, sizes = tokens_of(list(frame["text"]), words)
+        buckets = buckets_of(words)[ids] if len(ids) else np.empty(0, np.int64)
+        if fresh:  # the outputs start from the shard's own frequencies
+            count = np.bincount(buckets, minlength=CLASSES * BUCKETS).reshape(CLASSES, BUCKETS)
+            trainer.p["b"][:] = _logs(count.sum(axis=1) + np.where(np.arange(CLASSES) == END, len(sizes), 0) + 1.0)
+            trainer.p["c"][:] = _logs(count + 1.0)
+        train_on(trainer, buckets, sizes)
+        weight = -(-(len(ids) + len(sizes)) // STEP)
+        return pd.DataFrame({"p": [np.rint(pack(trainer.p) * POINT).astype(np.int64) * weight], "weight": [weight]})
 
     return train
 
 
+def add_models(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sums of a task's models, which are exact."""
+    total, weight = None, 0
+    for frame in frames:
+        for p, w in zip(frame["p"], frame["weight"], strict=True):
+            total, weight = (p.copy() if total is None else total + p), weight + int(w)
+    if total is not None:
+        yield pd.DataFrame({"p": [total], "weight": [weight]})
+
+
 def train_network(docs: DataFrame) -> np.ndarray:
-    """docs (text binary, part) -> averaged parameters: a first round over an eighth of the texts, a second over the others."""
-    flat = pack(start_parameters())
-    for part in (F.col("part") == 0, F.col("part") != 0):
-        models = docs.where(part).select("text").mapInPandas(train_task(flat), "p array<double>, tokens long")
-        mean = models.select(F.posexplode("p").alias("i", "x"), "tokens").groupBy("i").agg((F.sum(F.col("x") * F.col("tokens")) / F.sum("tokens")).alias("x"))
-        rows = mean.collect()  # as many as the network has parameters
-        for r in rows:
-            flat[r["i"]] = r["x"]
+    """docs (ord, text binary) -> averaged parameters: a first round over an eighth of the texts, a second over the others."""
+    flat, part = pack(start_parameters()), F.pmod(F.xxhash64("ord", "text"), F.lit(8))
+    sizes = docs.groupBy((part == 0).alias("first")).agg(F.sum(F.octet_length("text")).alias("n")).collect()  # two rows
+    sizes = {r["first"]: r["n"] or 0 for r in sizes}
+    fresh = True
+    for first in (True, False):
+        if first not in sizes:
+            continue
+        shards = sizes[first] // SHARD_BYTES + 1
+        dealt = docs.where((part == 0) if first else (part != 0)).withColumn("shard", F.pmod(F.xxhash64("text", "ord"), F.lit(shards)))
+        models = dealt.groupBy("shard").applyInPandas(train_shard(flat, fresh), "p array<long>, weight long").mapInPandas(add_models, "p array<long>, weight long")
+        mean = models.select(F.posexplode("p").alias("i", "x"), "weight").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"), F.sum("weight").alias("weight"))
+        rows = mean.select("i", (F.col("x").cast("double") / F.col("weight") / POINT).alias("x")).toPandas()  # as many as the network has parameters
+        flat[rows["i"].to_numpy()] = rows["x"].to_numpy()
+        fresh = False
     return flat
 
 
-def log_likelihoods(p: dict[str, np.ndarray], classes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log of the network's P(classes and end) for each text; all texts step together, the longest first."""
+def log_likelihoods(p: dict[str, np.ndarray], buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log of the network's P(buckets and end) for each text; all texts step together, the longest first."""
     begin = np.cumsum(sizes) - sizes
     by = np.argsort(-sizes, kind="stable")
     begin, n = begin[by], sizes[by]
-    out = np.zeros(len(sizes))
+    out, table, weights = np.zeros(len(sizes)), inputs(p), p["u"]
     h = np.zeros((len(sizes), HIDDEN), np.float32)
-    line = np.append(classes, END)
+    line = np.append(buckets, END)
     x = np.full(len(sizes), END, np.int64)
     longest = int(n[0]) + 1 if len(n) else 0
     alive_at = np.searchsorted(-n, -np.arange(longest), side="right")  # texts with at least t words
-    for t0 in range(0, longest, WINDOW):
-        tops, ys, rows = [], [], []
-        for t in range(t0, min(t0 + WINDOW, longest)):
-            alive = int(alive_at[t])
-            y = np.where(n[:alive] > t, line[np.minimum(begin[:alive] + t, len(line) - 1)], END)
-            h = _step(p, x[:alive], h[:alive])[0]
-            tops.append(h), ys.append(y), rows.append(np.arange(alive))
-            x = y
-        logs = _log_softmax(np.concatenate(tops) @ p["o"] + p["b"])
-        y, row = np.concatenate(ys), np.concatenate(rows)
-        out += np.bincount(row, logs[np.arange(len(y)), y], len(out))
+    tops, ys, rows, held = [], [], [], 0
+    for t in range(longest):
+        alive = int(alive_at[t])
+        y = np.where(n[:alive] > t, line[np.minimum(begin[:alive] + t, len(line) - 1)], END)
+        h = _step(table, weights, x[:alive], h[:alive])[0]
+        tops.append(h), ys.append(y), rows.append(np.arange(alive))
+        x, held = y, held + alive
+        if held >= MANY or t == longest - 1:
+            y, row = np.concatenate(ys), np.concatenate(rows)
+            out += np.bincount(row, Outputs(p, np.concatenate(tops), y).logs(), len(out))
+            tops, ys, rows, held = [], [], [], 0
     back = np.empty(len(out))
     back[by] = out
     return back
@@ -246,7 +339,7 @@ class Words:
         self.ids, self.sizes = tokens_of(list(frame["text"]), words)
         self.train = ~frame["held_out"].to_numpy(bool)
         hashes = np.fromiter((xxh64_intdigest(w) or 1 for w in words), np.uint64, len(words))
-        self.classes = classes_of(words)
+        self.buckets = buckets_of(words)
         # entries: the end token (key 0), then the words by hash
         self.order = np.argsort(hashes, kind="stable")
         self.keys = np.append(np.uint64(END), hashes[self.order])
@@ -266,28 +359,28 @@ class Words:
 def send_counts(n_ranges: int):
     def send(key, frame: pd.DataFrame) -> pd.DataFrame:
         w = Words(frame)
-        counts, classes = w.counts().astype(np.int64), np.append(END, w.classes[w.order]).astype(np.uint8)
-        rows = [(r, int(key[0]), w.keys[at].tobytes(), counts[at].tobytes(), classes[at].tobytes()) for r, at in w.ranges(n_ranges)]
-        return pd.DataFrame(rows, columns=["rng", "batch", "keys", "counts", "classes"])
+        counts, buckets = w.counts().astype(np.int64), np.append(END, w.buckets[w.order]).astype(np.uint16)
+        rows = [(r, int(key[0]), w.keys[at].tobytes(), counts[at].tobytes(), buckets[at].tobytes()) for r, at in w.ranges(n_ranges)]
+        return pd.DataFrame(rows, columns=["rng", "batch", "keys", "counts", "buckets"])
 
     return send
 
 
 def answer_counts(key, frame: pd.DataFrame) -> pd.DataFrame:
-    """To each batch the corpus counts of its entries; besides one row (batch -1) with tokens and distinct words by class."""
-    sizes = np.array([len(x) for x in frame["classes"]])
+    """To each batch the corpus counts of its entries; besides one row (batch -1) with tokens and distinct words by bucket."""
+    sizes = np.array([len(x) // 2 for x in frame["buckets"]])
     k = np.concatenate([np.frombuffer(x, np.uint64) for x in frame["keys"]])
     c = np.concatenate([np.frombuffer(x, np.int64) for x in frame["counts"]])
-    cls = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["classes"]])
+    every = np.concatenate([np.frombuffer(x, np.uint16) for x in frame["buckets"]])
     by = np.argsort(k, kind="stable")
     first = np.flatnonzero(np.append(True, k[by][1:] != k[by][:-1]))
     total = np.add.reduceat(c[by], first)
     back = np.empty(len(k), np.int64)
     back[by] = np.repeat(total, np.diff(np.append(first, len(k))))
-    of = cls[by][first]
+    of, n = every[by][first], CLASSES * BUCKETS
     ends = np.cumsum(sizes)
     rows = [(int(b), int(key[0]), back[e - n : e].tobytes(), None, None) for b, n, e in zip(frame["batch"], sizes, ends, strict=True)]
-    rows.append((-1, int(key[0]), None, np.bincount(of, total, CLASSES).astype(np.int64).tolist(), np.bincount(of[total > 0], minlength=CLASSES).tolist()))
+    rows.append((-1, int(key[0]), None, np.bincount(of, total, n).astype(np.int64).tolist(), np.bincount(of[total > 0], minlength=n).tolist()))
     return pd.DataFrame(rows, columns=["batch", "rng", "counts", "tokens", "distinct"])
 
 
@@ -306,8 +399,8 @@ def score_batch(n_ranges: int, flat: np.ndarray, tokens: np.ndarray, distinct: n
         per_text = lambda x: np.bincount(text, x[w.ids], len(w.sizes))
         n, v = tokens.sum(), distinct.sum()
         base = np.log10((of_word + 0.5) / (n + 0.5 * (v + 1)))
-        in_class = np.log10((of_word + 0.5) / (tokens[w.classes] + 0.5 * (distinct[w.classes] + 1)))
-        network = log_likelihoods(unpack(flat), w.classes[w.ids] if len(w.ids) else np.empty(0, np.int64), w.sizes) / np.log(10)
+        in_bucket = np.log10((of_word + 0.5) / (tokens[w.buckets] + 0.5 * (distinct[w.buckets] + 1)))
+        network = log_likelihoods(unpack(flat), w.buckets[w.ids] if len(w.ids) else np.empty(0, np.int64), w.sizes) / np.log(10)
         return pd.DataFrame(
             {
                 "ord": frame["ord"],
@@ -316,7 +409,7 @@ def score_batch(n_ranges: int, flat: np.ndarray, tokens: np.ndarray, distinct: n
                 "n_tokens": w.sizes + 1,
                 "n_known": per_text((of_word > 0).astype(np.float64)).astype(np.int64) + int(count[0] > 0),
                 "base": per_text(base) + np.log10((count[0] + 0.5) / (n + 0.5 * (v + 1))),
-                "score": per_text(in_class) + network,
+                "score": per_text(in_bucket) + network,
             }
         )
 
@@ -344,17 +437,17 @@ def score_texts(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str
     rows = docs.select(
         F.coalesce(doc_id, F.lit((1 << 63) - 1)).alias("ord"), doc_id.isNull().alias("no_id"), held_out.alias("held_out"), F.encode(text, "UTF-8").alias("text")
     )
-    flat = train_network(rows.where(~F.col("held_out")).select("text", F.pmod(F.xxhash64("ord"), F.lit(8)).alias("part")))
+    flat = train_network(rows.where(~F.col("held_out")).select("ord", "text"))
     rows, total = _batches(rows)
     n_ranges = max(LEAST_PARTS, total // RANGE_BYTES + 1)
     texts = rows.groupBy("batch")
-    asked = texts.applyInPandas(send_counts(n_ranges), "rng int, batch int, keys binary, counts binary, classes binary")
+    asked = texts.applyInPandas(send_counts(n_ranges), "rng int, batch int, keys binary, counts binary, buckets binary")
     answers = materialize(
         asked.groupBy("rng").applyInPandas(answer_counts, "batch int, rng int, counts binary, tokens array<long>, distinct array<long>"), "word-counts"
     )
     sums = answers.where("batch = -1").select(F.posexplode(F.arrays_zip("tokens", "distinct")).alias("i", "x")).groupBy("i").agg(F.sum("x.tokens").alias("tokens"), F.sum("x.distinct").alias("distinct"))
-    tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in sums.collect():  # one row per class
+    tokens, distinct = np.zeros(CLASSES * BUCKETS, np.int64), np.zeros(CLASSES * BUCKETS, np.int64)
+    for r in sums.collect():  # one row per bucket
         tokens[r["i"]], distinct[r["i"]] = r["tokens"], r["distinct"]
     replies = answers.where("batch >= 0").select("batch", "rng", "counts")
     out = texts.cogroup(replies.groupBy("batch")).applyInPandas(

@@ -355,28 +355,50 @@ def test_language_model(docs, empty, spark):
     assert language_model.score_texts(empty, F.lit(False))[0].count() == 0
 
 
+def plain_logs(p, x, y, h):
+    """ln P(y) step by step for one lane, and the state after it, from the parameters alone."""
+    lm, out = language_model, []
+    n = lm.HIDDEN
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    soft = lambda v: v - np.log(np.exp(v).sum())
+    for a, b in zip(x, y, strict=True):
+        g, u = p["e"][a // lm.BUCKETS] + p["w"][a], h @ p["u"]
+        z, r = sig(g[:n] + u[:n]), sig(g[n : 2 * n] + u[n : 2 * n])
+        h = (1 - z) * np.tanh(g[2 * n :] + r * u[2 * n :]) + z * h
+        c = b // lm.BUCKETS
+        inner = 0.0 if c == 0 else soft(h @ p["v"][c] + p["c"][c])[b % lm.BUCKETS]
+        out.append(soft(h @ p["o"] + p["b"])[c] + inner)
+    return out, h
+
+
+def random_buckets(r, size):
+    """Buckets with the end token among them, which is alone in its class."""
+    b = r.integers(0, language_model.CLASSES, size) * language_model.BUCKETS + r.integers(0, language_model.BUCKETS, size)
+    return np.where(b < language_model.BUCKETS, language_model.END, b)
+
+
 def test_network_gradient():
     """The window's backpropagation against finite differences."""
     r = np.random.default_rng(0)
     p = {k: r.standard_normal(s) * 0.3 for k, s in language_model.SHAPES.items()}
-    x, y = r.integers(0, language_model.CLASSES, (2, 5, 3))
+    x, y = random_buckets(r, (2, 5, 3))
     on = r.random((5, 3)) < 0.8
     h = r.standard_normal((3, language_model.HIDDEN))
 
     def loss(q):
-        s, total = h, 0.0
-        for t in range(5):
-            s = language_model._step(q, x[t], s)[0]
-            logs = language_model._log_softmax(s @ q["o"] + q["b"])
-            total -= (logs[np.arange(3), y[t]] * on[t]).sum()
-        return total / on.sum()
+        return -sum(sum(v * o for v, o in zip(plain_logs(q, x[:, k], y[:, k], h[k])[0], on[:, k], strict=True)) for k in range(3)) / on.sum()
 
     trainer = language_model.Trainer(p)
     grads = {}
     trainer._update = grads.update
     trainer.window(x, y, on, h)
+    assert set(grads) == set(p)
     for k in p:
-        for at in [tuple(r.integers(0, n) for n in p[k].shape) for _ in range(4)]:
+        places = np.argwhere(np.abs(grads[k]) > 1e-4)
+        assert len(places)
+        for at in [tuple(places[r.integers(len(places))]) for _ in range(4)] + [tuple(r.integers(0, n) for n in p[k].shape) for _ in range(2)]:
+            if k == "e" and at[0] == 0 or k == "w" and 0 < at[0] < language_model.BUCKETS:
+                continue
             up = {**p, k: p[k].copy()}
             down = {**p, k: p[k].copy()}
             up[k][at] += 1e-5
@@ -386,19 +408,66 @@ def test_network_gradient():
 
 def test_state_is_carried_across_windows():
     """A text's likelihood is that of one unbroken pass, however many windows it takes."""
-    p = language_model.unpack(language_model.pack(language_model.start_parameters()))
     r = np.random.default_rng(2)
+    p = {k: (r.standard_normal(s) * 0.3).astype(np.float32) for k, s in language_model.SHAPES.items()}
     sizes = np.array([70, 0, 5, 33])
-    classes = r.integers(1, language_model.CLASSES, sizes.sum())
-    got, at = language_model.log_likelihoods(p, classes, sizes), 0
+    buckets = random_buckets(r, sizes.sum())
+    buckets[buckets == 0] = language_model.BUCKETS
+    got, at = language_model.log_likelihoods(p, buckets, sizes), 0
     for n, value in zip(sizes, got, strict=True):
-        h, total, last = np.zeros((1, language_model.HIDDEN), np.float32), 0.0, language_model.END
-        for c in [*classes[at : at + n], language_model.END]:
-            h = language_model._step(p, np.array([last]), h)[0]
-            total += language_model._log_softmax(h @ p["o"] + p["b"])[0, c]
-            last = c
+        line = [*buckets[at : at + n], language_model.END]
+        logs, _ = plain_logs(p, [language_model.END, *line[:-1]], line, np.zeros(language_model.HIDDEN))
         at += n
-        assert math.isclose(total, value, rel_tol=1e-4)
+        assert math.isclose(sum(logs), value, rel_tol=1e-4)
+
+
+def test_scores_against_a_plain_pass(docs, spark):
+    """`score` of every text from the trained parameters, word by word, with shares counted over the whole table."""
+    lm = language_model
+    held = lambda i: i is not None and i % 4 == 1
+    rows = spark.createDataFrame([(i, t) for i, t in TEXTS], "doc_id long, text string")
+    out, _ = lm.score_texts(rows, F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False)))
+    train = rows.where(~F.coalesce(F.col("doc_id") % 4 == 1, F.lit(False)))
+    p = lm.unpack(lm.train_network(train.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("ord"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text"))))
+    cut = lambda t: (t or "").encode().lower().split()
+    count = Counter(w for i, t in TEXTS if not held(i) for w in cut(t))
+    bucket = lambda w: int(lm.buckets_of([w])[0])
+    tokens, distinct = Counter(), Counter()
+    for w, n in count.items():
+        tokens[bucket(w)] += n
+        distinct[bucket(w)] += 1
+    plain = Counter()
+    for i, t in TEXTS:
+        w = cut(t)[:400]  # the plain pass is slow; the long text is checked by its n_tokens alone
+        if len(cut(t)) > 400:
+            continue
+        line = [*map(bucket, w), lm.END]
+        logs, _ = plain_logs(p, [lm.END, *line[:-1]], line, np.zeros(lm.HIDDEN))
+        share = sum(math.log10((count[x] + 0.5) / (tokens[bucket(x)] + 0.5 * (distinct[bucket(x)] + 1))) for x in w)
+        plain[i, round(sum(logs) / math.log(10) + share, 2)] += 1
+    got = Counter((r.doc_id, round(r.score, 2)) for r in out.collect() if r.n_tokens <= 401)
+    assert sum(got.values()) == sum(plain.values())
+    assert all(any(abs(v - u) <= 0.011 + 1e-4 * abs(v) for j, u in plain if j == i) for i, v in got)
+
+
+def test_one_model_however_the_table_is_split(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    scores = []
+    for n in (1, 4, 16):
+        out, _ = language_model.score_texts(docs.repartition(n), F.col("doc_id") % 5 == 1)
+        scores.append({r.doc_id: (r.score, r.base_score) for r in out.collect()})
+    for other in scores[1:]:
+        assert set(other) == set(scores[0])
+        assert all(math.isclose(a, b, rel_tol=1e-6) for i in other for a, b in zip(other[i], scores[0][i], strict=True))
+
+
+def test_network_tells_words_apart(spark):
+    """A word's score depends on the words before it, beyond its class: after training on two fixed orders, the learnt one is likelier."""
+    rows = [(i, " ".join(("red apple blue stone " if i % 2 else "blue stone red apple ") * 60)) for i in range(60)]
+    test = [(1000, "red apple " * 40), (1001, "red stone " * 40), (1002, "blue stone " * 40), (1003, "blue apple " * 40)]
+    out, _ = language_model.score_texts(spark.createDataFrame(rows + test, "doc_id long, text string"), F.col("doc_id") >= 1000)
+    got = {r.doc_id: r.score for r in out.where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001] and got[1002] > got[1003]
 
 
 def test_quality_classifier(spark, docs, empty):
