@@ -1,9 +1,11 @@
-"""Quality rules: Tukey fences from mergeable quantile sketches per language and source, in place of fixed cutoffs.
+"""Quality rules: fences from mergeable quantile sketches per language and source, in place of fixed cutoffs.
 
-The figures of each text are built-in functions over its words and lines. Quantile sketches (percentile_approx: partial
-sketches per task, merged by group) give each (lang, source) its quartiles; a document fails where a figure lies beyond
-its group's fence. A fence reaches at least FENCE times a least spread, so that groups without any spread keep their
-ordinary documents.
+The figures of each text are built-in functions over its words and lines. KLL sketches (partial ones per task, merged by
+group) give each (lang, source) the quartiles of its figures and the median of what they are shares of; the groups' sketches
+merge once more into one per language. A document fails where a figure lies more than FENCE spreads beyond its group's quartile.
+The spread is the larger of the group's and the language's distance between quartiles, so that a group of equal documents
+takes its language's; shorter texts than the group's median vary more, by the root of the ratio, and a share cannot vary by
+less than one event of the text's own size (a repeat, a line, a mark). No cutoff is fixed.
 
 Defined cases: a null text has no words and fails the base rule; null lang or source are groups of their own; a group whose
 documents all fail the base rule has no sketch and rejects nothing more; repeated rows count each; an empty table gives no
@@ -18,10 +20,17 @@ from pyspark.sql import functions as F
 from caretrail.llm.common import materialize, table, text_of, words
 
 WINDOW = 5
-FENCE = 3.0
-ACCURACY = 1000
-#: figure, least spread, whether low values fail too
-FIGURES = [("symbols", 0.01, False), ("marks", 0.05, False), ("capitals", 0.05, False), ("word_length", 1.5, True), ("line_repeats", 0.2, False), ("repeats", 0.1, False)]
+FENCE = 4.0
+SKETCH = 2048  # k of the sketches: groups of about so many documents are exact, larger ones to 0.2 % of ranks
+#: figure, what it is a share of, the least event as a part of that, whether low values fail too
+FIGURES = [
+    ("symbols", "word_chars", 1, False),
+    ("marks", "word_chars", 1, False),
+    ("capitals", "word_chars", 1, False),
+    ("word_length", "n_words", 0, True),
+    ("line_repeats", "n_lines", 1, False),
+    ("repeats", "n_words", 2 * WINDOW, False),
+]
 
 
 def window_hashes(w: Column, width: int = WINDOW) -> Column:
@@ -78,26 +87,35 @@ def quality_rules(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="l
         _ratio("n_dup_lines", "n_lines").alias("line_repeats"),
         _ratio("n_repeat_words", "n_words").alias("repeats"),
     )
-    sketches = (
-        figures.where(~F.col("base_failed"))
-        .groupBy("lang", "source")
-        .agg(*[F.percentile_approx(name, [0.25, 0.75], ACCURACY).alias(name) for name, _, _ in FIGURES])
-    )
-    fences = materialize(
-        sketches.select(
-            F.struct("lang", "source").alias("_of"),
-            *[(F.get(n, F.lit(1)) + FENCE * F.greatest(F.get(n, F.lit(1)) - F.get(n, F.lit(0)), F.lit(s))).alias(f"_high_{n}") for n, s, _ in FIGURES],
-            *[(F.get(n, F.lit(0)) - FENCE * F.greatest(F.get(n, F.lit(1)) - F.get(n, F.lit(0)), F.lit(s))).alias(f"_low_{n}") for n, s, low in FIGURES if low],
-        ),
-        "quality-fences",
-    )
+    fences = materialize(group_quartiles(figures.where(~F.col("base_failed"))), "quality-fences")
     joined = figures.join(fences, figures["lang"].eqNullSafe(F.col("_of.lang")) & figures["source"].eqNullSafe(F.col("_of.source")), "left")
     beyond = F.lit(False)
-    for name, _, low in FIGURES:
-        beyond = beyond | F.coalesce(F.col(name) > F.col(f"_high_{name}"), F.lit(False))
-        if low:
-            beyond = beyond | F.coalesce(F.col(name) < F.col(f"_low_{name}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_of", *[c for c in fences.columns if c != "_of"])
+    for name, _, _, _ in FIGURES:
+        beyond = beyond | fails(name)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~beyond).drop("_of", "_q")
+
+
+def group_quartiles(figures: DataFrame) -> DataFrame:
+    """(_of, _q): of each lang and source, per figure its quartiles, the language's spread and the median size."""
+    sizes = sorted({size for _, size, _, _ in FIGURES})
+    values = [name for name, _, _, _ in FIGURES] + sizes
+    sketches = figures.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(F.col(v).cast("double"), F.lit(SKETCH)).alias(v) for v in values])
+    sketches = materialize(sketches, "quality-sketches")
+    at = lambda v, rank: F.kll_sketch_get_quantile_double(v, F.lit(rank))
+    whole = sketches.groupBy("lang").agg(*[F.kll_merge_agg_double(name).alias(name) for name, _, _, _ in FIGURES])
+    whole = whole.select(F.col("lang").alias("_lang"), F.struct(*[(at(name, 0.75) - at(name, 0.25)).alias(name) for name, _, _, _ in FIGURES]).alias("_all"))
+    of = lambda name, size: F.struct(at(name, 0.25).alias("low"), at(name, 0.75).alias("high"), F.col(f"_all.{name}").alias("spread"), at(size, 0.5).alias("size")).alias(name)
+    joined = sketches.join(whole, F.col("lang").eqNullSafe(F.col("_lang")))
+    return joined.select(F.struct("lang", "source").alias("_of"), F.struct(*[of(name, size) for name, size, _, _ in FIGURES]).alias("_q"))
+
+
+def fails(name: str) -> Column:
+    """Whether the figure is beyond its group's fence (_q)."""
+    (size, event, low), q = next(f[1:] for f in FIGURES if f[0] == name), F.col("_q")[name]
+    n = F.greatest(F.col(size), F.lit(1))
+    spread = F.greatest(q["high"] - q["low"], q["spread"]) * F.sqrt(F.greatest(q["size"] / n, F.lit(1.0))) + event / n
+    out = F.col(name) > q["high"] + FENCE * spread
+    return F.coalesce(out | (F.col(name) < q["low"] - FENCE * spread) if low else out, F.lit(False))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:

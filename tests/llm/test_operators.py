@@ -141,6 +141,34 @@ def test_fences_keep_the_ordinary(spark):
     assert not kept.pop(999) and all(kept.values())
 
 
+def test_fences_against_plain_quartiles(spark):
+    """`kept` from the figures, with exact quartiles (the sketches are exact for groups of this size)."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("source", F.concat(F.lit("s"), (F.col("doc_id") % 2).cast("string")))
+    junk = docs.where("doc_id % 40 = 0").select((F.col("doc_id") + 100000).alias("doc_id"), F.concat("text", F.lit("\n#|#|# * $$ % | "), F.repeat(F.lit("|# "), 60)).alias("text"), "lang", "source", "n_chars")
+    rows = quality_rules.quality_rules(docs.unionByName(junk)).toPandas()
+    good = rows[~rows.base_failed]
+
+    def quantile(values, rank):
+        v = sorted(values)
+        return v[min(len(v) - 1, max(0, math.ceil(rank * len(v)) - 1))]
+
+    groups, langs = dict(list(good.groupby(["lang", "source"]))), dict(list(good.groupby("lang")))
+    wrong = []
+    for r in rows.itertuples():
+        kept, near = not r.base_failed, False
+        g = groups.get((r.lang, r.source))
+        for name, size, event, low in quality_rules.FIGURES if kept and g is not None else []:
+            q1, q3, n = quantile(g[name], 0.25), quantile(g[name], 0.75), max(getattr(r, size), 1)
+            all_ = langs[r.lang][name]
+            spread = max(q3 - q1, quantile(all_, 0.75) - quantile(all_, 0.25)) * math.sqrt(max(quantile(g[size], 0.5) / n, 1)) + event / n
+            x, edge = getattr(r, name), quality_rules.FENCE * spread
+            kept &= x <= q3 + edge and not (low and x < q1 - edge)
+            near |= abs(x - q3 - edge) < 1e-9
+        if kept != r.kept and not near:
+            wrong.append(r.doc_id)
+    assert not wrong and not rows[rows.doc_id >= 100000].kept.any() and rows[rows.doc_id < 100000].kept.mean() > 0.8
+
+
 def test_substrings(docs, empty):
     plain = brute.substring_dedup({math.inf if i is None else i: t for i, t in TEXTS})
     out = suffix_dedup.suffix_dedup(docs)
