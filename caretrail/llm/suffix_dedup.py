@@ -4,20 +4,24 @@ A byte goes if a window of WIDTH bytes around it also starts in a document with
 smallest gram (a content-defined key: equal windows have equal keys wherever they are), as runs of neighbouring windows with
 the same key. Documents are grouped into batches by a hash; keys into ranges. Batches and ranges exchange packed messages:
 
-1. a batch sends the keys of its distinct runs; a range answers which keys occur in more than one text, and under how many
-   different runs;
-2. a batch sends the repeated runs, with their smallest document, and their bytes where a key has several runs. A range sorts
-   the suffixes of those bytes in two stages (direct sort of the suffixes smaller than their successors, bucket scans for the
-   others), takes the common prefixes of neighbours, and answers each run with the smallest document of each window;
+1. a batch sends the keys of its distinct runs; a range answers which keys occur in more than one text, and which are crowded;
+2. a batch sends the runs of repeated keys with their bytes and their smallest document. A range takes runs with equal bytes
+   together. Where a key has several different runs, it sorts the suffixes of their bytes in two stages (direct sort of the
+   suffixes smaller than their successors, bucket scans for the others) and takes the common prefixes of neighbours. It answers
+   each run with the smallest document of each window;
 3. a batch marks the windows that a smaller document has, and removes their bytes.
 
-A batch sends each distinct run once, so a passage in a third of all documents is one run of each batch. A key with more than
-CROWDED different runs (a frequent phrase in ever new surroundings) is given up: its windows are dealt out one by one, by the
-hash of all their bytes. So no range sorts more than that for one key, and nothing passes the driver but the size of the texts.
+Hashes only choose what is compared, and bytes decide, but within a batch: there two runs of one key are taken for equal by a
+48-bit hash (wrongly with probability 4e-15 a pair). A batch sends each distinct run once, so a passage in a third of all documents is one run of each batch. A key with
+more than CROWDED different runs (a frequent phrase in ever new surroundings) is given up: its windows are dealt out one by
+one, by the hash of all their bytes. So no range sorts more than that for one key, and nothing passes the driver but the size
+of the texts. Batches and ranges that have nothing in common send nothing, so messages are never more than runs (one in 16
+bytes or so); up to some 100 GB they are far fewer, as a message packs many.
 
 Defined cases: null texts are empty; texts shorter than a window keep all; rows with the same doc_id do not count against each
-other; a null doc_id counts as larger than all others; repeated rows have a row each; an empty table gives no rows; further
-columns are ignored. What is left of a text is binary, as a removal may cut a UTF-8 character.
+other; a null doc_id counts as larger than all others; repeated rows have a row each (and share a batch); an empty table gives
+no rows; further columns are ignored; ids are whole numbers. What is left of a text is binary, as a removal may cut a UTF-8
+character.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ WIDTH = 50
 GRAM = 20
 BLOCK = 1 << 20
 LONGEST_RUN = 64
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 RANGE_BYTES = 16 << 20
 LEAST_PARTS = 64
 SORT_BYTES = 1 << 21
@@ -336,21 +340,21 @@ def answer_keys(crowded: int):
         entries = np.add.reduceat(np.ones(len(k), np.int64), at)
         again = (entries > 1) | np.logical_or.reduceat(many[by], at)
         runs = np.add.reduceat(_firsts(k[by], s[by]).astype(np.int64), at)
-        planes = np.empty((3, len(k)), bool)
-        planes[:, by] = np.stack([again, again & (runs > 1), again & (runs > crowded)])[:, group]
+        planes = np.empty((2, len(k)), bool)
+        planes[:, by] = np.stack([again, again & (runs > crowded)])[:, group]
         ends = np.cumsum(sizes)
         rows = [(b, int(key[0]), *[np.packbits(p[e - n : e]).tobytes() for p in planes]) for b, n, e in zip(frame["batch"], sizes, ends, strict=True)]
-        return pd.DataFrame(rows, columns=["batch", "rng", "repeated", "multi", "crowded"])
+        return pd.DataFrame(rows, columns=["batch", "rng", "repeated", "crowded"])
 
     return answer
 
 
 def _flags(batch: Entries, answers: pd.DataFrame, n_ranges: int) -> np.ndarray:
-    """Of each entry: whether its key is repeated, has several runs, is crowded."""
-    by_range = {r: planes for r, *planes in zip(answers["rng"], answers["repeated"], answers["multi"], answers["crowded"], strict=True) if planes[0] is not None}
-    out = np.zeros((3, len(batch.first)), bool)
+    """Of each entry: whether its key is repeated, and whether it is crowded."""
+    by_range = {r: planes for r, *planes in zip(answers["rng"], answers["repeated"], answers["crowded"], strict=True) if planes[0] is not None}
+    out = np.zeros((2, len(batch.first)), bool)
     for r, at in batch.ranges(n_ranges):
-        for i in range(3):
+        for i in range(2):
             out[i, at] = np.unpackbits(np.frombuffer(by_range[r][i], np.uint8), count=at.stop - at.start)
     return out
 
@@ -360,39 +364,46 @@ def send_runs(n_ranges: int):
         rows = []
         if len(frame):
             batch = runs_of(frame)
-            repeated, multi, crowded = _flags(batch, answers, n_ranges)
+            repeated, crowded = _flags(batch, answers, n_ranges)
             number = int(frame["batch"].iloc[0])
             windows = batch.windows(crowded)
-            every = np.ones(len(windows.first), bool)
-            for level, part, chosen, bodies in ((0, batch, repeated & ~crowded, multi), (1, windows, every, every)):
+            for level, part, chosen in ((0, batch, repeated & ~crowded), (1, windows, np.ones(len(windows.first), bool))):
                 for r, at in part.ranges(n_ranges):
                     e = np.arange(at.start, at.stop)[chosen[at]]
                     if len(e):
-                        n = np.where(bodies[e], part.n[part.first[e]], 0).astype(np.uint8)
-                        rows.append((r, number, level, _pack6(part.key[part.first[e]]), _pack6(part.seg[part.first[e]]), n.tobytes(), part.least[e].tobytes(), part.bytes_of(e[bodies[e]])))
-        return pd.DataFrame(rows, columns=["rng", "batch", "level", "keys", "segs", "n", "least", "body"])
+                        n = part.n[part.first[e]].astype(np.uint8)
+                        rows.append((r, number, level, _pack6(part.key[part.first[e]]), n.tobytes(), part.least[e].tobytes(), part.bytes_of(e)))
+        return pd.DataFrame(rows, columns=["rng", "batch", "level", "keys", "n", "least", "body"])
 
     return send
 
 
 def answer_runs(key, frame: pd.DataFrame) -> pd.DataFrame:
     """For each run that a batch has sent, the smallest document of each of its windows, as stretches of equal documents."""
-    k, s = np.concatenate([_unpack6(x) for x in frame["keys"]]), np.concatenate([_unpack6(x) for x in frame["segs"]])
+    k = np.concatenate([_unpack6(x) for x in frame["keys"]])
     n = np.concatenate([np.frombuffer(x, np.uint8) for x in frame["n"]]).astype(np.int64)
     least = np.concatenate([np.frombuffer(x, np.int64) for x in frame["least"]])
     body = b"".join(frame["body"])
-    size = np.where(n > 0, n + WIDTH - 1, 0)
-    offset = np.cumsum(size) - size
-    by = np.lexsort((s, k))
-    fresh = np.flatnonzero(_firsts(k[by], s[by]))
-    run = np.empty(len(k), np.int64)  # the distinct run of each entry
-    run[by] = np.repeat(np.arange(len(fresh)), np.diff(np.append(fresh, len(k))))
-    r_least, one = np.minimum.reduceat(least[by], fresh), by[fresh]
-    r_n, r_key = n[one], k[one]
+    size = n + WIDTH - 1
+    end = np.cumsum(size)
+    number: dict[bytes, int] = {}  # of each different run, in order of appearance
+    run = np.fromiter((number.setdefault(body[a:b], len(number)) for a, b in zip((end - size).tolist(), end.tolist(), strict=True)), np.int64, len(k))
+    one = np.zeros(len(number), np.int64)
+    one[run[::-1]] = np.arange(len(run))[::-1]  # an entry of each run; equal bytes have equal keys
+    by = np.argsort(k[one], kind="stable")
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    run, one = place[run], one[by]  # runs by key
+    r_least = np.full(len(one), np.iinfo(np.int64).max)
+    np.minimum.at(r_least, run, least)
+    r_n, r_key, bodies = n[one], k[one], list(number)
+    edges = np.flatnonzero(_firsts(r_key)) if len(one) else np.empty(0, np.int64)
+    of_key = np.diff(np.append(edges, len(one)))
+    several = np.repeat(of_key > 1, of_key)
     piece_run, piece_len, piece_doc = [], [], []
-    alone = np.flatnonzero(r_n == 0)
+    alone = np.flatnonzero(~several)
     piece_run.append(alone), piece_len.append(np.zeros(len(alone), np.int64)), piece_doc.append(r_least[alone])
-    many = np.flatnonzero(r_n > 0)
+    many = np.flatnonzero(several)
     edges = np.flatnonzero(_firsts(r_key[many])) if len(many) else np.empty(0, np.int64)
     total = np.cumsum(np.append(0, r_n[many] + WIDTH - 1))
     a = 0
@@ -401,7 +412,7 @@ def answer_runs(key, frame: pd.DataFrame) -> pd.DataFrame:
         i = int(np.searchsorted(edges, min(b, len(many)), side="left"))
         b = int(edges[i]) if i < len(edges) and edges[i] > a else len(many)
         part = many[a:b]
-        text = np.frombuffer(b"".join([body[o : o + z] for o, z in zip(offset[one[part]].tolist(), size[one[part]].tolist(), strict=True)]), np.uint8)
+        text = np.frombuffer(b"".join([bodies[j] for j in by[part].tolist()]), np.uint8)
         docs = least_of_windows(text, r_n[part], r_least[part])
         of = np.repeat(part, r_n[part])
         at = np.flatnonzero(_firsts(of, docs))
@@ -410,7 +421,7 @@ def answer_runs(key, frame: pd.DataFrame) -> pd.DataFrame:
     p_run, p_len, p_doc = np.concatenate(piece_run), np.concatenate(piece_len), np.concatenate(piece_doc)
     by = np.argsort(p_run, kind="stable")
     p_run, p_len, p_doc = p_run[by], p_len[by], p_doc[by]
-    stretch = np.bincount(p_run, minlength=len(fresh))
+    stretch = np.bincount(p_run, minlength=len(one))
     begin = np.cumsum(stretch) - stretch
     rows, at = [], 0
     for batch, level, x in zip(frame["batch"], frame["level"], frame["n"], strict=True):
@@ -429,7 +440,7 @@ def remove(n_ranges: int):
         gone = np.zeros(int(sizes.sum()), bool)
         if len(answers):
             batch = runs_of(frame)
-            repeated, _, crowded = _flags(batch, answers, n_ranges)
+            repeated, crowded = _flags(batch, answers, n_ranges)
             windows = batch.windows(crowded)
             found = answers[answers["count"].notna()]
             gone = _gone(batch, repeated & ~crowded, found[found["level"] == 0], n_ranges, base, len(gone))
@@ -485,10 +496,10 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (16 * BATCH_BYTES)), "batch")
     texts = rows.groupBy("batch")
     asked = texts.applyInPandas(send_keys(n_ranges), "rng int, batch int, keys binary, segs binary, many binary")
-    known = asked.groupBy("rng").applyInPandas(answer_keys(crowded), "batch int, rng int, repeated binary, multi binary, crowded binary")
+    known = asked.groupBy("rng").applyInPandas(answer_keys(crowded), "batch int, rng int, repeated binary, crowded binary")
     known = known.repartition("batch")
     sent = texts.cogroup(known.groupBy("batch")).applyInPandas(
-        send_runs(n_ranges), "rng int, batch int, level int, keys binary, segs binary, n binary, least binary, body binary"
+        send_runs(n_ranges), "rng int, batch int, level int, keys binary, n binary, least binary, body binary"
     )
     found = sent.groupBy("rng").applyInPandas(answer_runs, "batch int, rng int, level int, count binary, len binary, doc binary")
     answers = known.unionByName(found, allowMissingColumns=True)
