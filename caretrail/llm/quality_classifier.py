@@ -5,7 +5,8 @@ a conjunctive rule over the statistics. Lasso logistic regression weighs the rul
 to one Spark column expression, so scoring is a single pass over the texts without Python.
 
 Defined cases: null texts count as empty; empty texts get the score of their (zero) statistics; labels without a text, without
-a quality or with a null doc_id are not learnt from; a doc_id labelled twice takes the larger label; without labels of both
+a quality or with a null doc_id are not learnt from; a doc_id labelled twice takes the larger label, and of several texts of one
+doc_id the one with the least statistics is learnt from; without labels of both
 kinds every text gets the share of label 1 (0.5 without labels) as its score; repeated rows get a row each; an empty table
 gives no rows; further columns are ignored.
 """
@@ -21,7 +22,14 @@ from caretrail.llm.common import crc_mod, table, text_of, words
 #: At most so many labelled rows are learnt from (those with the smallest hashes of their ids).
 SAMPLE = 20_000
 TREES, DEPTH, BINS, SHRINK, LASSO = 16, 3, 48, 0.4, 3e-4
-STATISTICS = ["words", "word_length", "variety", "symbols", "capitals", "bangs", "bars", "digits", "marks", "lines", "word_runs"]
+STATISTICS = ["words", "word_length", "length_spread", "variety", "function_words", "symbols", "capitals", "digits", "marks", "lines", "line_spread", "word_runs"]
+#: Short words that prose of the languages at hand is full of (fixed values: English, French, German, Spanish).
+FUNCTION_WORDS = (
+    "a an and are as at be but by for from has have he her his i in is it its my not of on or our she so that the their they this to was we were what which who will with you your "
+    "au aux avec ce ces dans de des du elle en est et il ils je la le les leur mais ne nous ou par pas pour que qui sa se ses son sur un une vous "
+    "aber als am auch auf aus bei das dem den der die ein eine einen er es hat ich im ist mit nach nicht oder sich sie sind und von war wie wir zu zum zur "
+    "al como con del el ella ellos eran esta este ha han las lo los mas me mi no nos para pero por se si sin su sus una y yo"
+).split()
 
 
 def text_statistics(docs: DataFrame, keep: list[Column], text: Column) -> DataFrame:
@@ -30,34 +38,43 @@ def text_statistics(docs: DataFrame, keep: list[Column], text: Column) -> DataFr
     names = [c for c in out.columns if c != "_text"]
     out = out.withColumn("_words", words(F.col("_text")))
     count = lambda pattern: F.regexp_count("_text", F.lit(pattern))
+    spread = lambda lengths: F.aggregate(lengths, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, n: F.struct((a["s"] + n).alias("s"), (a["q"] + n * n).alias("q")))
     out = out.select(
         *names,
         F.size("_words").alias("words"),
         F.size(F.array_distinct("_words")).alias("_distinct"),
         F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).alias("_chars"),
-        count("[#$%&*<>]").alias("_symbols"),
+        F.size(F.filter("_words", lambda w: F.lower(w).isin(FUNCTION_WORDS))).alias("_function"),
+        spread(F.transform("_words", lambda w: F.length(w).cast("double"))).alias("_of_words"),
+        spread(F.transform(F.split("_text", "\n", -1), lambda x: F.length(x).cast("double"))).alias("_of_lines"),
+        count("[#$%&*<>|~^=+@_{}\\[\\]\\\\/]").alias("_symbols"),
         count("[A-Z]").alias("_capitals"),
-        count("!").alias("_bangs"),
-        count("\\|").alias("_bars"),
         count("[0-9]").alias("_digits"),
-        count("[.,;:?()'\"-]").alias("_marks"),
+        count("[.,;:?!()'\"-]").alias("_marks"),
         count("\\n").alias("_lines"),
         count("(?<![^\\x20\\x09-\\x0D])([^\\x20\\x09-\\x0D]+)(?:\\x20\\1){2}(?![^\\x20\\x09-\\x0D])").alias("_runs"),
     )
     per = lambda a, b: F.coalesce(F.col(a) / F.greatest(F.col(b), F.lit(1)), F.lit(0.0))
+
+    def relative_spread(of: str, n: Column) -> Column:
+        """Standard deviation by mean."""
+        mean = F.col(f"{of}.s") / n
+        return F.coalesce(F.sqrt(F.greatest(F.col(f"{of}.q") / n - mean * mean, F.lit(0.0))) / F.nullif(mean, F.lit(0.0)), F.lit(0.0))
+
     return out.select(
         *names,
         F.col("words").cast("double").alias("words"),
         per("_chars", "words").alias("word_length"),
+        relative_spread("_of_words", F.greatest(F.col("words"), F.lit(1))).alias("length_spread"),
         # log distinct / log words: unlike the plain share it hardly falls with the length
         F.coalesce(F.log(F.col("_distinct") + 1.0) / F.log(F.greatest(F.col("words"), F.lit(1)) + 1.0), F.lit(0.0)).alias("variety"),
+        per("_function", "words").alias("function_words"),
         per("_symbols", "_chars").alias("symbols"),
         per("_capitals", "_chars").alias("capitals"),
-        per("_bangs", "words").alias("bangs"),
-        per("_bars", "words").alias("bars"),
         per("_digits", "_chars").alias("digits"),
         per("_marks", "words").alias("marks"),
         per("_lines", "words").alias("lines"),
+        relative_spread("_of_lines", F.col("_lines") + 1).alias("line_spread"),
         per("_runs", "words").alias("word_runs"),
     )
 
@@ -149,17 +166,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col="doc_
     known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y"))
     chosen = docs.select(F.col(id_col).alias("_doc"), text_of(text_col).alias("_t")).join(F.broadcast(known), F.col("_doc") == F.col("_id"))
-    rows = text_statistics(chosen, [F.col("_doc").alias("id"), F.col("_y").alias("y")], F.col("_t")).orderBy("id", *STATISTICS).toPandas()
+    rows = text_statistics(chosen, [F.col("_doc").alias("id"), F.col("_y").alias("y")], F.col("_t"))
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct(*STATISTICS)).alias("s"))  # one text for each id: `sample` rows at most
+    rows = rows.orderBy("id").select("y", "s.*").toPandas()
     return fit_rules(rows[STATISTICS].to_numpy(float), (rows["y"].to_numpy(float) > 0).astype(float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """(row, score): every input row as a struct, with its score."""
     bias, rules = learn(docs, labels, id_col=id_col, text_col=text_col)
-    scored = text_statistics(docs, [F.struct("*").alias("row")], text_of(text_col))
-    # adding 0 x a row number keeps Catalyst from pushing a filter on the score below the statistics, which it would then work
+    scored = text_statistics(docs, [F.struct("*").alias("row")], text_of(text_col)).select("row", compile_rules(bias, rules).alias("score"))
+    # as the fields of a generated row: a filter on the score then stays above the statistics, which it would otherwise work
     # out once for every rule that names them
-    return scored.select("row", (compile_rules(bias, rules) + F.monotonically_increasing_id() * 0.0).alias("score"))
+    return scored.select(F.inline(F.array(F.struct("row", "score"))))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:

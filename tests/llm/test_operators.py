@@ -510,6 +510,48 @@ def test_quality_classifier(spark, docs, empty):
     assert quality_classifier.score_quality(empty, labels).count() == 0
 
 
+def plain_statistics(t):
+    import re
+
+    t = t or ""
+    w, n = brute.WORD.findall(t), max(len(brute.WORD.findall(t)), 1)
+    chars = len(re.sub(r"[ \t\n\x0b\x0c\r]", "", t))
+    spread = lambda v: (math.sqrt(max(sum(x * x for x in v) / max(len(v), 1) - (sum(v) / max(len(v), 1)) ** 2, 0)) / (sum(v) / len(v)) if sum(v) else 0.0)
+    return [
+        len(w), chars / n, spread([len(x) for x in w]), math.log(len(set(w)) + 1) / math.log(n + 1), sum(x.lower() in quality_classifier.FUNCTION_WORDS for x in w) / n,
+        len(re.findall(r"[#$%&*<>|~^=+@_{}\[\]\\/]", t)) / max(chars, 1), len(re.findall("[A-Z]", t)) / max(chars, 1), len(re.findall("[0-9]", t)) / max(chars, 1),
+        len(re.findall(r"[.,;:?!()'\"-]", t)) / n, t.count("\n") / n, spread([len(x) for x in t.split("\n")]), len(re.findall(r"(?<!\S)(\S+)(?: \1){2}(?!\S)", t)) / n,
+    ]
+
+
+def test_statistics_and_compiled_rules_against_numpy(spark):
+    """The columns of statistics, and the compiled score, against plain forms for every document of the smallest table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n "), (-4, "a a a a b b b")], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    bias, rules = quality_classifier.learn(docs, labels)
+    assert rules
+    texts, scores = {r.doc_id: r.text for r in docs.collect()}, {r.row.doc_id: r.score for r in quality_classifier.score_quality(docs, labels).collect()}
+    plain = {i: plain_statistics(t) for i, t in texts.items()}
+    got = quality_classifier.text_statistics(docs, [F.col("doc_id")], F.coalesce("text", F.lit(""))).collect()
+    for r in got:
+        assert np.allclose(r[1:], plain[r.doc_id], rtol=1e-9, atol=1e-7), (r, plain[r.doc_id])
+    at = {r.doc_id: r[1:] for r in got}
+    for i, x in at.items():
+        z = bias + sum(weight for weight, path in rules if all((x[f] <= edge) == low for f, edge, low in path))
+        assert math.isclose(scores[i], 1 / (1 + math.exp(-z)), rel_tol=1e-9)
+
+
+def test_no_more_rows_are_learnt_from_than_the_sample(spark):
+    docs = spark.createDataFrame([(1, sentences(1, 50))] * 500 + [(i, sentences(i, 50)) for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    import unittest.mock as mock
+
+    with mock.patch.object(quality_classifier, "fit_rules", side_effect=quality_classifier.fit_rules) as fit:
+        quality_classifier.learn(docs, labels, sample=10)
+    assert len(fit.call_args[0][1]) == 10
+
+
 def test_classifier_on_held_out(spark):
     out = queries.QUERIES["op8_quality_classifier"](spark, SF)
     right = out.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("quality")).cast("int"))).first()[0]
