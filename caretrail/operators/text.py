@@ -31,6 +31,7 @@ REDACTION_RULES = [
     ("[NATIONAL ID]", r"身份證(?:字號|號碼)?\s*[：:]\s*[A-Z][0-9]{9}"),
     ("[NATIONAL ID]", r"マイナンバー\s*[：:]\s*[0-9]{12}"),
 ]
+# Fixed values as well: where a patient's name stands, what a clinician's line says, and how an address or number looks.
 NAME_FIELDS = [
     r"(?ai:\b(?:Patient|Patient Name|Name)\s*[:#]\s*([^\n\r]{1,60}))",
     rf"姓名\s*[：:]\s*([{CJK}]{{1,20}})",
@@ -39,8 +40,10 @@ NAME_FIELDS = [
 CLINICIAN = "doctor|physician|provider|attending|ordering|referring|author"
 EMAIL = "[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,}"
 PHONE = "\\+?[0-9][0-9\\s().\\-]{6,}[0-9]"
+CONTACT = f"(?i)(?:{CLINICIAN})\\s*[:\\-]?\\s*(?:Dr\\.\\s*)?([^,;|]+?)(?:\\s+(?:email|phone|tel|fax)(?![0-9A-Za-z_])|$)"
 
 EDIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("replacement", T.StringType())]))
+REDACTED = T.StructType([T.StructField("edits", EDIT), T.StructField("text", T.StringType())])
 
 
 def _name_pattern(name: str) -> re.Pattern | None:
@@ -78,24 +81,26 @@ def redact(docs: DataFrame, rules=None, text_col: str = "text") -> DataFrame:
     """Replaces personal data; adds `edits` (code-point spans of the original text). Matches come from the original text."""
     rules = REDACTION_RULES if rules is None else rules
 
-    @F.pandas_udf(EDIT)
-    def edits_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(REDACTED)
+    def redacted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         compiled = [(r, re.compile(p)) for r, p in rules]
         for part in texts:
-            yield pd.Series([[{"start": a, "end": b, "replacement": r} for a, b, r in find_edits(t, compiled)] for t in part])
+            edits = [find_edits(t, compiled) for t in part]
+            named = [[{"start": a, "end": b, "replacement": r} for a, b, r in e] for e in edits]
+            yield pd.DataFrame({"edits": named, "text": [apply_edits(t, e) for t, e in zip(part, edits, strict=True)]})
 
-    out = docs.withColumn("edits", edits_of(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.withColumn(text_col, apply_edits(F.col(text_col), F.col("edits")))
+    out = docs.withColumn("_redacted", redacted(F.coalesce(F.col(text_col), F.lit(""))))
+    text = F.when(F.col(text_col).isNotNull(), F.col("_redacted.text"))
+    return out.withColumn("edits", F.col("_redacted.edits")).withColumn(text_col, text).drop("_redacted")
 
 
-def apply_edits(text: Column, edits: Column) -> Column:
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(
-        edits,
-        state,
-        lambda a, e: F.struct(e["end"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, e["start"] - a["at"]), e["replacement"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))),
-    )
+def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
+    """The text with its spans replaced; the edits follow each other."""
+    at, out = 0, []
+    for start, end, replacement in edits:
+        out += [text[at:start], replacement]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def remap_offsets(offsets: Column, edits: Column) -> Column:
@@ -114,9 +119,8 @@ def provider_contacts(docs: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("line_no")
     lines = lines.select(*by, "line_no", "line", F.concat_ws(" ", "line", F.lead("line", 1).over(w), F.lead("line", 2).over(w)).alias("near"))
     lines = lines.where(F.col("line").rlike(f"(?i)(?<![0-9A-Za-z_])(?:{CLINICIAN})(?![0-9A-Za-z_])"))
-    label = f"(?i)(?:{CLINICIAN})\\s*[:\\-]?\\s*(?:Dr\\.\\s*)?([^,;|]+?)(?:\\s+(?:email|phone|tel|fax)(?![0-9A-Za-z_])|$)"
     found = lambda c, p, g=0: F.nullif(F.trim(F.regexp_extract(c, p, g)), F.lit(""))
-    out = lines.select(*by, "line_no", found("line", label, 1).alias("name"), found("near", EMAIL).alias("email"), found("near", PHONE).alias("phone"), F.trim("line").alias("evidence"))
+    out = lines.select(*by, "line_no", found("line", CONTACT, 1).alias("name"), found("near", EMAIL).alias("email"), found("near", PHONE).alias("phone"), F.trim("line").alias("evidence"))
     return out.where("email IS NOT NULL OR phone IS NOT NULL")
 
 

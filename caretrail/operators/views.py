@@ -143,14 +143,25 @@ def rail_range(conditions: DataFrame, patients: DataFrame) -> DataFrame:
 
 
 def snap_to_nearest(probes: DataFrame, conditions: DataFrame, rails: DataFrame, threshold: float = 0.01) -> DataFrame:
-    """Each probe's nearest condition year on the rail; beyond the threshold the probe's own year, within the rail's range."""
-    c = conditions.join(rails, "patient_id").select("patient_id", F.col("year_frac").alias("_year"), F.col("id").alias("_id"), S.rail_pos(F.col("year_frac"), F.col("low"), F.col("high")).alias("_pos"))
-    p = probes.join(rails, "patient_id").withColumn("pos", S.rail_pos(F.col("year"), F.col("low"), F.col("high")))
-    met = p.join(c, "patient_id").withColumn("_d", F.round(F.abs(F.col("pos") - F.col("_pos")), 12))
-    near = met.groupBy("probe_id").agg(F.min_by("_year", F.struct("_d", "_year", "_id")).alias("_near"), F.min("_d").alias("_d"))
-    out = p.join(near, "probe_id", "left")
-    snapped = F.when(F.col("_d") <= threshold, F.col("_near")).otherwise(F.col("year"))
-    return out.select("probe_id", "patient_id", F.greatest("low", F.least("high", snapped)).alias("snapped"))
+    """Each probe's nearest condition year on the rail; beyond the threshold the probe's own year, within the rail's range.
+
+    Conditions and probes of a patient are sorted by place once in each direction; only the neighbours are compared.
+    """
+    on_rail = lambda year: S.rail_pos(F.col(year), F.col("low"), F.col("high"))
+    c = conditions.join(rails, "patient_id").select("patient_id", on_rail("year_frac").alias("pos"), F.struct(F.col("year_frac").alias("year"), "id").alias("c"))
+    c = c.groupBy("patient_id", "pos").agg(F.min("c").alias("c")).select("patient_id", "pos", F.struct("pos", "c.year", "c.id").alias("c"))
+    p = probes.join(rails, "patient_id").withColumn("pos", on_rail("year")).select("patient_id", "pos", F.struct("probe_id", "year", "low", "high").alias("p"))
+    both = c.unionByName(p, allowMissingColumns=True)
+
+    def neighbour(order):
+        # conditions before the probes of the same place
+        return F.last("c", ignorenulls=True).over(Window.partitionBy("patient_id").orderBy(order, F.col("p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+
+    both = both.withColumn("before", neighbour(F.asc("pos"))).withColumn("after", neighbour(F.desc("pos"))).where("p IS NOT NULL")
+    off = lambda x: F.when(x.isNotNull(), F.struct(F.round(F.abs(F.col("pos") - x["pos"]), 12).alias("d"), x["year"].alias("year"), x["id"].alias("id")))
+    near = F.least(off(F.col("before")), off(F.col("after")))
+    snapped = F.when(near["d"] <= threshold, near["year"]).otherwise(F.col("p.year"))
+    return both.select("p.probe_id", "patient_id", F.greatest("p.low", F.least("p.high", snapped)).alias("snapped"))
 
 
 # ---- call log ----
@@ -167,11 +178,23 @@ def call_outcome(calls: DataFrame) -> DataFrame:
     return g.select("call_id", outcome.alias("outcome"), "model", "n_attempts")
 
 
-def cooldown_blocked(calls: DataFrame, cooldown: float = COOLDOWN) -> DataFrame:
-    """Attempts that fall into the cooldown set by the model's latest earlier rate-limit failure."""
-    before = Window.partitionBy("model").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    until = F.when(F.col("http_status") == 429, F.unix_micros(F.col("ts").cast("timestamp")) + int(cooldown * 1_000_000))
-    return calls.withColumn("until", F.last(until, ignorenulls=True).over(before)).where(F.unix_micros(F.col("ts").cast("timestamp")) < F.col("until"))
+def cooldown_blocked(calls: DataFrame, cooldown: float = COOLDOWN, span: str = "1 hour") -> DataFrame:
+    """Attempts that fall into the cooldown set by the model's latest earlier rate-limit failure: its retry_after seconds
+    where the calls have and give them, else `cooldown`.
+
+    Each model's calls are looked at in stretches of `span`; the last failure of the stretches before is carried in, so that
+    a model with most of the calls is many tasks.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    wait = F.coalesce(F.col("retry_after").cast("double"), F.lit(float(cooldown))) if "retry_after" in calls.columns else F.lit(float(cooldown))
+    until = F.when(F.col("http_status") == 429, micros("ts") + (wait * 1_000_000).cast("long"))
+    calls = calls.withColumn("_until", until).withColumn("_part", F.window(F.col("ts").cast("timestamp"), span)["start"])
+    ends = calls.groupBy("model", "_part").agg(F.max_by("_until", F.when(F.col("_until").isNotNull(), F.struct("ts", "seq"))).alias("_carry"))
+    ends = ends.withColumn("_carry", F.last("_carry", ignorenulls=True).over(Window.partitionBy("model").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
+    before = Window.partitionBy("model", "_part").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    out = calls.withColumn("_own", F.last("_until", ignorenulls=True).over(before)).join(ends, ["model", "_part"])
+    out = out.withColumn("until", F.coalesce("_own", "_carry")).where(micros("ts") < F.col("until"))
+    return out.drop("_until", "_part", "_own", "_carry")
 
 
 def model_leaderboard(models: DataFrame, n: int = 5) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from caretrail.functions import scalars as S
@@ -15,15 +12,14 @@ from caretrail.plans.view_queries import _BASE, _LOC_SQL, _conditions, _location
 from caretrail.sources import backup as B
 from caretrail.sources import documents as D
 from caretrail.sources import store as ST
+from caretrail.sources.shared import fresh_path, written
 from caretrail.streaming import jobs
 
 C = F.col
 
 
 def _folder(spark) -> str:
-    """A fresh folder that driver and executors share."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="spark-store-") if not shared else f"{shared}/store-{uuid.uuid4().hex}"
+    return fresh_path(spark, "store")
 
 
 def _pages(spark, sf):
@@ -114,7 +110,7 @@ def _enriched(spark, sf):
 
 def normalize_enriched(spark, sf):
     """All child rows of the enriched conditions, with their ids."""
-    e = _enriched(spark, sf)
+    e = written(_enriched(spark, sf), "enriched")
     t = ST.normalize(e, e.select("condition_id", "cx", "cy"), "2024-01-01")
     out = t["conditions"].select(F.lit("conditions").alias("store"), "id", C("date").alias("a"))
     for store, value in (("condition_locations", "condition_id"), ("providers", "name"), ("facilities", "name"), ("condition_care_events", "provider_name")):

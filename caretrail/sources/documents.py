@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caretrail import reference_data as R
@@ -10,11 +10,11 @@ from caretrail import reference_data as R
 
 def assemble_document(pages: DataFrame, by: list[str]) -> DataFrame:
     """(by, page_no, text) -> text joined by line breaks, start offset of each page, number of pages."""
-    p = pages.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page_no", F.coalesce("text", F.lit("")).alias("text")))).alias("p"))
+    start = F.sum(F.length("text") + 1).over(Window.partitionBy(*by).orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1))
+    p = pages.select(*by, "page_no", F.coalesce("text", F.lit("")).alias("text")).withColumn("start", F.coalesce(start, F.lit(0)).cast("int"))
+    p = p.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("page_no", "text", "start"))).alias("p"))
     texts = F.transform("p", lambda x: x["text"])
-    lengths = F.transform("p", lambda x: F.length(x["text"]) + 1)
-    starts = F.aggregate(lengths, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
-    return p.select(*by, F.array_join(texts, "\n").alias("text"), F.slice(starts, 1, F.size("p")).alias("page_breaks"), F.size("p").alias("page_count"), texts.alias("pages"))
+    return p.select(*by, F.array_join(texts, "\n").alias("text"), F.transform("p", lambda x: x["start"]).alias("page_breaks"), F.size("p").alias("page_count"), texts.alias("pages"))
 
 
 def classify_scanned(docs: DataFrame, min_chars: int = R.SCANNED_CHARS) -> DataFrame:
