@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caretrail.functions import scalars as S
 from caretrail.operators import placement as P
 from caretrail.plans.bindings import base, bind, view_sql
-from caretrail.plans.scalar_queries import _SYSTEM
+from caretrail.plans.scalar_queries import _ANCHOR, _HASH, _SYSTEM
 from caretrail.plans.view_queries import _BASE, _LOC_SQL, _conditions, _locations
 from caretrail.sources import backup as B
 from caretrail.sources import documents as D
@@ -84,12 +84,12 @@ def pending_outbox(spark, sf):
 
 
 def persist_counts(spark, sf):
-    c = bind(spark, sf, "condition_mentions").where("seq % 2 = 0").select((C("record_id") % 500).alias("record_id"))
-    return ST.persist_counts(c, bind(spark, sf, "measurements"))
+    """Mentions and measurements per record; the measurements' records are the events' users, so a record may have one kind only."""
+    return ST.persist_counts(bind(spark, sf, "condition_mentions").select("record_id"), bind(spark, sf, "measurements"))
 
 
 def persist_counts_all(spark, sf):
-    """Over all mentions; persist_counts has those that its SQL has."""
+    """The same over few, large records: mentions by their record's last digits."""
     return ST.persist_counts(bind(spark, sf, "condition_mentions").select((C("record_id") % 500).alias("record_id")), bind(spark, sf, "measurements"))
 
 
@@ -120,11 +120,11 @@ def normalize_enriched(spark, sf):
 
 def secondary_locations(spark, sf):
     e = _enriched(spark, sf).withColumn("_x", C("cx")).withColumn("_y", C("cy"))
-    return ST.secondary_locations(e.where("seq % 4 > 0")).where("id LIKE '%-loc-0' OR id LIKE '%-loc-2'").select("id", "condition_id", "cx", "cy")
+    return ST.secondary_locations(e).select("id", "condition_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 def secondary_locations_all(spark, sf):
-    """Those with a default point too; secondary_locations has those that its SQL has."""
+    """The same without rounding."""
     e = _enriched(spark, sf).withColumn("_x", C("cx")).withColumn("_y", C("cy"))
     return ST.secondary_locations(e).select("id", "condition_id", "cx", "cy")
 
@@ -180,11 +180,15 @@ def validate_backup(spark, sf):
     return B.validate_backup(s)
 
 
+#: Systems that have a mask in the query, by the nation's key.
+_MASKED = ("renal", "digestive", "nervous", "muscular", "skeletal", "cardiovascular", "endocrine", "lymphatic", "respiratory", "reproductive", "integumentary")
+
+
 def _masks(spark, sf):
     """A mask for each system with suppliers' columns of pixels, from the nations' keys."""
     pixels = F.transform(F.sequence(F.lit(0), F.lit(12 * 9 - 1)), lambda i: F.when((i * 7 + C("k") * 5) % 23 < 2, "FF").otherwise("00"))
     systems = base(spark, sf, "nation").where("n_nationkey < 11").select(C("n_nationkey").alias("k"))
-    return systems.select(F.get(F.array(*[F.lit(s) for s in ("renal", "digestive", "nervous", "muscular", "skeletal", "cardiovascular", "endocrine", "lymphatic", "respiratory", "reproductive", "integumentary")]), C("k")).alias("system"), F.lit(12).alias("width"), F.lit(9).alias("height"), F.unhex(F.array_join(F.when(C("k") == 3, F.transform(pixels, lambda x: F.lit("00"))).otherwise(pixels), "")).alias("alpha"))
+    return systems.select(F.get(F.array(*[F.lit(s) for s in _MASKED]), C("k")).alias("system"), F.lit(12).alias("width"), F.lit(9).alias("height"), F.unhex(F.array_join(F.when(C("k") == 3, F.transform(pixels, lambda x: F.lit("00"))).otherwise(pixels), "")).alias("alpha"))
 
 
 def repair_coordinates(spark, sf):
@@ -237,7 +241,7 @@ ev AS (SELECT *, concat('P', (seq + k) % 3) AS pn, row_number() OVER (PARTITION
 SQL = {
     "assemble_document": _PAGES_SQL + "SELECT doc_id, md5(string_agg(text, chr(10) ORDER BY page_no)) AS text_md5, string_agg(off::VARCHAR, ',' ORDER BY page_no) AS breaks, count(*)::BIGINT AS pages FROM o GROUP BY 1",
     "classify_scanned": _PAGES_SQL + "SELECT doc_id, CASE WHEN (sum(length(text)) + count(*) - 1) / count(*)::DOUBLE < 400 THEN 'ocr' ELSE 'text' END AS method, coalesce(string_agg((page_no + 1)::VARCHAR, ',' ORDER BY page_no) FILTER (length(trim(text, ' ')) < 400), '') AS image_only FROM o GROUP BY 1",
-    "read_store": _BASE + _LOC_SQL + "SELECT loc.patient_id::VARCHAR AS patient_id, loc.id, condition_id, loc.cx, loc.cy, is_primary FROM loc JOIN cond ON cond.id = condition_id WHERE seq % 2 = 0",
+    "read_store": _BASE + _LOC_SQL + "SELECT loc.patient_id::VARCHAR AS patient_id, loc.id, condition_id, loc.cx, loc.cy, is_primary FROM loc WHERE split_part(condition_id, ':', 2)::BIGINT % 2 = 0",
     "upsert_store": view_sql("health_records") + _CHANGES_SQL + """, l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS r FROM ch) WHERE r = 1)
  SELECT patient_id, id, filename, record_type, n FROM l UNION ALL SELECT patient_id, id, filename, record_type, n FROM s WHERE id NOT IN (SELECT id FROM ch)""",
     "delete_rows": view_sql("health_records") + _CHANGES_SQL + "SELECT patient_id, id, filename, record_type, n FROM s WHERE id NOT IN (SELECT id FROM ch)",
@@ -246,20 +250,30 @@ SQL = {
  UNION ALL SELECT 'location', f.id, CASE WHEN seq % 5 = 0 AND r = 1 THEN 1.5 ELSE f.cx END, CASE WHEN seq % 5 = 0 AND r = 1 THEN 2.5 ELSE f.cy END FROM f JOIN cond ON cond.id = f.condition_id
  UNION ALL SELECT 'location', concat(id, '-primary'), 1.5, 2.5 FROM cond WHERE seq % 5 = 0 AND seq % 4 = 0""",
     "pending_outbox": "SELECT o_orderkey * 2 AS id, concat('f', o_orderkey) AS filename FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)",
-    "persist_counts": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id % 500 AS record_id, count(*) AS n FROM condition_mentions WHERE seq % 2 = 0 GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
+    "persist_counts": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id, count(*) AS n FROM condition_mentions GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
     "persist_counts_all": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id % 500 AS record_id, count(*) AS n FROM condition_mentions GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
     "normalize_enriched": _ENR + """SELECT 'conditions' AS store, id, date AS a FROM e UNION ALL SELECT DISTINCT 'health_records', record_id::VARCHAR, concat('record-', record_id, '.pdf') FROM e
  UNION ALL SELECT 'condition_locations', concat(id, '-primary'), id FROM e UNION ALL SELECT 'condition_locations', concat(id, '-loc-', k), id FROM k WHERE k > 0
  UNION ALL SELECT 'condition_care_events', concat(id, '-care-', n), pn FROM ev UNION ALL SELECT 'providers', concat(id, '-care-', n, '-provider'), pn FROM ev
  UNION ALL SELECT 'providers', concat(id, '-provider-extra-', k), concat('P', k) FROM k WHERE (id, concat('P', k)) NOT IN (SELECT (id, pn) FROM ev)
  UNION ALL SELECT 'facilities', concat(id, '-facility-', k), facility_name FROM k WHERE k <> 1""",
-    "secondary_locations": _ENR + "SELECT concat(id, '-loc-', k) AS id, id AS condition_id, cx + k AS cx, cy FROM k WHERE k = 2",
+    "secondary_locations": _ENR + f""", s AS (SELECT * EXCLUDE (name_medical), concat(nm, ':Left::', k) AS name, {_SYSTEM} AS system_id FROM k WHERE k > 0),
+ q AS (SELECT id, k, cx AS px, cy AS py, CASE WHEN k = 1 THEN greatest(12, least(88, {_ANCHOR[0]} + ({_HASH.format(17)} % 900) / 100.0::DOUBLE - 4.5)) ELSE cx + k END::DOUBLE AS cx,
+  CASE WHEN k = 1 THEN greatest(8, least(88, {_ANCHOR[1]} + ({_HASH.format(53)} % 900) / 100.0::DOUBLE - 4.5)) ELSE cy END::DOUBLE AS cy FROM s)
+ SELECT concat(id, '-loc-', k) AS id, id AS condition_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM q WHERE NOT (abs(cx - px) < 0.01 AND abs(cy - py) < 0.01)""",
     "export_backup": _BASE + ", h AS (SELECT patient_id, count(*)::BIGINT AS n FROM health_records GROUP BY 1), c AS (SELECT patient_id, count(*)::BIGINT AS n FROM cond GROUP BY 1) SELECT patient_id, 'caretrail' AS app, coalesce(h.n, 0) AS n_records, coalesce(c.n, 0) AS n_conditions FROM h FULL JOIN c USING (patient_id)",
     "import_backup": _BASE + "SELECT 'conditions' AS store, patient_id, id, record_id::VARCHAR AS a, cx FROM cond UNION ALL SELECT 'health_records', patient_id, id::VARCHAR, record_type, NULL FROM health_records",
     "blob_round_trip": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::INT AS bad_blobs, CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 > 0 THEN md5(text) END AS md5 FROM documents",
     "encode_blobs": "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN md5(base64(encode(text))) END AS data_md5, CASE WHEN doc_id % 5 > 0 THEN true END AS tagged FROM documents",
     "decode_blobs": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END::INT AS bad_blobs, CASE WHEN doc_id % 7 <> 0 THEN octet_length(encode(text)) END::BIGINT AS n_bytes FROM documents",
     "validate_backup": _BASE + "SELECT 'conditions' AS store, 'record_id' AS field, id, 'missing' AS rule FROM cond WHERE cx % 30 = 0 UNION ALL SELECT 'conditions', 'status', id, 'value' FROM cond WHERE cx % 31 = 0",
+    "repair_coordinates": _BASE + f""", o AS (SELECT k, i % 12 AS x, i // 12 AS y FROM range(11) t(k), range(108) u(i) WHERE k <> 3 AND (i * 7 + k * 5) % 23 < 2),
+ g AS (SELECT * FROM (SELECT k, px, py, x, y, row_number() OVER (PARTITION BY k, px, py ORDER BY greatest(abs(x - px), abs(y - py)), (x - px) * (x - px) + (y - py) * (y - py), y, x) AS r FROM o, range(12) a(px), range(9) b(py)) WHERE r = 1),
+ p AS (SELECT *, list_position({list(_MASKED)}, system) - 1 AS k, greatest(0.0::DOUBLE, least(100.0::DOUBLE, cx)) AS ax, greatest(0.0::DOUBLE, least(100.0::DOUBLE, cy)) AS ay FROM (SELECT id, {_SYSTEM} AS system, cx * 1.3::DOUBLE - 10 AS cx, cy * 1.7::DOUBLE - 5 AS cy FROM cond)),
+ q AS (SELECT *, floor(ax / 100 * 11 + 0.5::DOUBLE)::INT AS px, floor(ay / 100 * 8 + 0.5::DOUBLE)::INT AS py FROM p)
+ SELECT id, system, round(CASE WHEN coalesce(q.k, -1) < 0 THEN cx WHEN x IS NULL THEN NULL WHEN x = q.px AND y = q.py THEN ax ELSE x / 11.0::DOUBLE * 100 END, 6)::DOUBLE AS cx,
+  round(CASE WHEN coalesce(q.k, -1) < 0 THEN cy WHEN x IS NULL THEN NULL WHEN x = q.px AND y = q.py THEN ay ELSE y / 8.0::DOUBLE * 100 END, 6)::DOUBLE AS cy
+ FROM q LEFT JOIN g ON g.k = q.k AND g.px = q.px AND g.py = q.py""",
     "place_first": _BASE + f", x AS (SELECT id AS condition_id, seq, row_number() OVER (PARTITION BY patient_id, {_SYSTEM} ORDER BY seq) AS r FROM cond) SELECT condition_id, (seq % 3)::DOUBLE AS cx, 10.0::DOUBLE AS cy FROM x WHERE r = 1",
     "stream_ingest": "SELECT o_orderkey AS id, o_custkey AS patient_id, round(year(o_orderdate) + ((month(o_orderdate) - 1) * 30.44::DOUBLE + day(o_orderdate)) / 365.25::DOUBLE, 6) AS year_frac FROM orders",
     "stream_call_health": view_sql("call_log") + "SELECT model, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*)::BIGINT AS n_attempts, count(*) FILTER (http_status = 200)::BIGINT AS n_ok, count(*) FILTER (http_status = 429)::BIGINT AS n_limited FROM call_log GROUP BY 1, 2",

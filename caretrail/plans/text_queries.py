@@ -169,7 +169,28 @@ _LINES = """, n AS (SELECT record_id, patient_id, o_orderdate, c_name, c_nationk
  FROM clinical_notes JOIN orders ON o_orderkey = record_id JOIN customer ON c_custkey = o_custkey)"""
 _RESP = view_sql("responses")
 _FLAGS = """, f AS (SELECT chunk_id, chunk_id % 5 <> 0 AND chunk_id % 7 <> 0 AS c, chunk_id % 4 <> 0 AS m, chunk_id % 2 = 0 AS p FROM responses)"""
+
+
+def _redacted_sql() -> tuple[str, str, str]:
+    """Steps that replace rule by rule, the count of matches, and the last step. The same as claims by precedence where no two
+    matches overlap and no labelled name occurs again, as in the documents table."""
+    plain = lambda p: p.replace("(?ai:", "(?i:").replace("(?a:", "(?:").replace("'", "''")
+    steps, counts = ["r0 AS (SELECT doc_id, text AS t FROM documents)"], []
+    for k, (name, pattern) in enumerate(X.REDACTION_RULES):
+        before = f"n{k - 1}" if k else "0"
+        steps.append(f"r{k + 1} AS (SELECT doc_id, regexp_replace(t, '{plain(pattern)}', '{name}', 'g') AS t, {before} + len(regexp_extract_all(t, '{plain(pattern)}')) AS n{k} FROM r{k})")
+        counts.append(f"n{k}")
+    return "WITH " + ", ".join(steps), counts[-1], f"r{len(counts)}"
+
+
+_STEPS, _COUNT, _LAST = _redacted_sql()
 SQL = {
+    "redact_documents": f"{_STEPS} SELECT doc_id, {_COUNT}::BIGINT AS n_edits, length(t)::BIGINT AS n_chars_left FROM {_LAST}",
+    "remap_offsets": _NOTES + """, n AS (SELECT record_id, text, length(text) AS n, c_name, concat('dr', c_nationkey, '@clinic.example.com') AS mail FROM clinical_notes JOIN customer ON c_custkey = patient_id),
+ e AS (SELECT *, [{'s': 0, 'e': 9 + length(c_name), 'r': 14}, {'s': strpos(text, 'DOB: ') - 1, 'e': strpos(text, 'DOB: ') + 14, 'r': 15}, {'s': strpos(text, 'MRN: ') - 1, 'e': strpos(text, 'MRN: ') + 4 + length(record_id::VARCHAR), 'r': 5},
+  {'s': strpos(text, mail) - 1, 'e': strpos(text, mail) - 1 + length(mail), 'r': 7}, {'s': strpos(text, 'Phone: ') - 1, 'e': strpos(text, 'Phone: ') + 20, 'r': 7}, {'s': strpos(text, 'Phone: ') + 20, 'e': strpos(text, 'Phone: ') + 20 + length(c_name), 'r': 14},
+  {'s': strpos(text, '123-45-') - 1, 'e': strpos(text, '123-45-') + 10, 'r': 5}] AS ed, [floor(n * i / 4.0::DOUBLE + 0.5::DOUBLE)::BIGINT FOR i IN [0, 1, 2, 3]] AS b FROM n)
+ SELECT record_id, array_to_string(b, ',') AS before, array_to_string([(x + list_sum([CASE WHEN d.e <= x THEN d.r - (d.e - d.s) ELSE 0 END FOR d IN ed]))::BIGINT FOR x IN b], ',') AS after FROM e""",
     "is_valid_provider": view_sql("dated") + "SELECT id, id % 3 <> 0 AS valid FROM dated",
     "is_valid_facility": view_sql("dated") + "SELECT id, id % 4 = 1 AS valid FROM dated",
     "is_valid_care_event": view_sql("dated") + "SELECT id, id % 5 <> 0 AND id % 7 <> 0 AND id % 3 <> 0 AND id % 4 < 2 AND id % 11 <> 0 AS valid FROM dated",
