@@ -2,15 +2,15 @@
 
 Candidates come in three steps; each candidate is decided by the exact similarity of the two texts' shingles.
 
-1. Fingerprints of the same shingles that are equal or differ in two bits at most meet at their anchors (see simhash).
-   Similarity 0.8 means about ten differing bits, so these are only some of the links.
-2. Texts that share a bucket: one of BANDS bands of ROWS minima of the shingles' hashes, so that a pair of similarity s shares
+1. Texts that share a bucket: one of BANDS bands of ROWS minima of the shingles' hashes, so that a pair of similarity s shares
    none with probability (1 - s ** ROWS) ** BANDS (2e-8 at 0.8). Each text of a bucket is compared with the bucket's hub (the
    text whose buckets hold most others), so a group of thousands costs a comparison a text.
-3. Where a bucket's texts are still in different components after that, the texts outside its largest component are compared
-   with all texts of the other components: in a bucket of CROWD texts or fewer pair by pair; in a larger one in blocks of
-   BLOCK texts, where pairs whose minima agree in too few places are left out (one of similarity 0.8 is lost with probability
-   2e-6). So no bucket is capped.
+2. Texts of different components whose fingerprints are equal or differ in two bits at most, which meet at their anchors (see
+   simhash). Similarity 0.8 means about ten differing bits, so these are only some of the links.
+3. Where a bucket's texts are in different components, the texts outside its largest component are compared with all texts of
+   the other components: in a bucket of CROWD texts or fewer pair by pair; in a larger one in blocks of BLOCK texts, where
+   pairs whose minima agree in too few places are left out (one of similarity 0.8 is lost with probability 2e-6). So no bucket
+   is capped.
 
 Defined cases: null and wordless texts are one text without words; fewer words than a shingle make one shingle; A-Z count as
 lower case; equal texts share a group; shingles and texts are compared by their 64-bit hashes.
@@ -77,13 +77,15 @@ def _pair(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def fingerprint_pairs(texts: DataFrame) -> DataFrame:
-    """(text_key, fp) -> pairs: each text with its fingerprint's first one, and those of fingerprints two bits apart at most."""
-    heads = materialize(texts.groupBy("fp").agg(F.min("text_key").alias("head")), "near-fingerprints")
-    same = texts.join(heads, "fp").where("text_key <> head").select(*_pair("text_key", "head"))
-    links = simhash.near_links(heads.select("fp"))
-    of = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_key"))
-    return same.unionByName(links.join(of("a"), "a").join(of("b"), "b").select(*_pair("a_key", "b_key")))
+def fingerprint_pairs(placed: DataFrame) -> DataFrame:
+    """(text_key, fp, component) -> pairs of texts of different components with fingerprints two bits apart at most: one for
+    each two components that a fingerprint, or two near ones, are in."""
+    heads = materialize(placed.groupBy("fp", F.col("component").alias("group")).agg(F.min("text_key").alias("head")), "near-fingerprints")
+    first = heads.groupBy("fp").agg(F.min("head").alias("first"))
+    same = heads.join(first, "fp").where("head <> first").select(*_pair("head", "first"))
+    links = simhash.near_links(heads.select("fp", "group"))
+    of = lambda c: heads.select(F.col("fp").alias(c), F.col("group").alias(f"{c}_group"), F.col("head").alias(f"{c}_key"))
+    return same.unionByName(links.join(of("a"), ["a", "a_group"]).join(of("b"), ["b", "b_group"]).select(*_pair("a_key", "b_key")))
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
@@ -106,9 +108,9 @@ def _agreeing(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame(found, dtype="int64")
 
 
-def other_pairs(shared: DataFrame, component: DataFrame, texts: DataFrame) -> DataFrame:
+def other_pairs(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs of buckets whose texts are in several components: those outside the largest one with all of other components."""
-    placed = shared.join(component, "text_key", "left").select("bucket", "n", "text_key", F.coalesce("component", "text_key").alias("component"))
+    placed = shared.join(texts.select("text_key", "component"), "text_key")
     of = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
     open_ = of.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("outside")).where("k > 1")
     rest = materialize(placed.join(open_.select("bucket", "main", "outside"), "bucket"), "near-rest")
@@ -149,9 +151,11 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "
     bands = texts.select("text_key", F.explode("buckets").alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(bands.join(sizes, "bucket"), "near-buckets")
-    first = similar(docs, fingerprint_pairs(texts.select("text_key", "fp")).unionByName(hub_pairs(shared)), percent, text_col)
+    first = similar(docs, hub_pairs(shared), percent, text_col)
     component = connected_components(first).withColumnRenamed("node", "text_key")
-    rest = similar(docs, other_pairs(shared, component, texts), percent, text_col)
+    placed = texts.join(component, "text_key", "left").select("text_key", "fp", "minima", F.coalesce("component", "text_key").alias("component"))
+    placed = materialize(placed, "near-placed")
+    rest = similar(docs, fingerprint_pairs(placed).unionByName(other_pairs(shared, placed)), percent, text_col)
     return first.unionByName(rest)
 
 

@@ -118,11 +118,11 @@ def _blocks(fp: np.ndarray) -> Iterator[tuple[Code, int, np.ndarray]]:
 
 
 def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """fp -> (b, anchor): every anchor within the covering radius plus the threshold."""
+    """fp, group -> (b, anchor, b_group): every anchor within the covering radius plus the threshold."""
     from itertools import product
 
     for frame in frames:
-        every = frame["fp"].to_numpy(np.int64)
+        every, groups = frame["fp"].to_numpy(np.int64), frame["group"].to_numpy(np.int64)
         parts = [(code, at, word, code.syndrome(word)) for code, at, word in _blocks(every)]
         for lo in range(0, len(every), 5_000):
             here = slice(lo, lo + 5_000)
@@ -135,8 +135,9 @@ def anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     d = code.rings[w][syndrome[here]]
                     keep = (keep[:, :, None] & (d >= 0)[:, None, :]).reshape(len(fp), -1)
                     anchor = (anchor[:, :, None] | ((word[here][:, None] ^ d) << at)[:, None, :]).reshape(len(fp), -1)
-                rows.append(np.broadcast_to(fp[:, None], keep.shape)[keep]), where.append(anchor[keep])
-            yield pd.DataFrame({"b": np.concatenate(rows), "anchor": np.concatenate(where)})
+                rows.append(np.repeat(np.arange(len(fp)), keep.sum(axis=1))), where.append(anchor[keep])
+            row = np.concatenate(rows)
+            yield pd.DataFrame({"b": fp[row], "anchor": np.concatenate(where), "b_group": groups[here][row]})
 
 
 def home_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -145,18 +146,27 @@ def home_anchors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchor = np.zeros(len(fp), np.int64)
         for code, at, word in _blocks(fp):
             anchor |= (word ^ code.home[code.syndrome(word)]) << at
-        yield pd.DataFrame({"a": fp, "anchor": anchor})
+        yield pd.DataFrame({"a": fp, "anchor": anchor, "a_group": frame["group"]})
 
 
 def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b), a < b, with at most `threshold` (2 or less) differing bits."""
+    """Distinct fingerprints (fp) -> links (a, b), a < b, with at most `threshold` (2 or less) differing bits.
+
+    Where prints have a column `group` (long; a fingerprint may be in several), only links between different groups count, and
+    come with them (a_group, b_group).
+    """
     if threshold > THRESHOLD:
         raise ValueError(f"the anchors cover {THRESHOLD} differing bits")
+    grouped = "group" in prints.columns
+    rows = prints.select("fp", F.col("group") if grouped else F.lit(0).cast("long").alias("group"))
     # tasks by number of fingerprints, as each becomes some 150 rows
-    spread = prints.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, prints.count() // FEW + 1))
-    homes = spread.mapInPandas(home_anchors, "a long, anchor long")
-    visits = spread.mapInPandas(anchors, "b long, anchor long")
-    return homes.join(visits, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)).select("a", "b")
+    spread = rows.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, rows.count() // FEW + 1))
+    homes = spread.mapInPandas(home_anchors, "a long, anchor long, a_group long")
+    visits = spread.mapInPandas(anchors, "b long, anchor long, b_group long")
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
+    if grouped:
+        return homes.join(visits, "anchor").where(near & (F.col("a_group") != F.col("b_group"))).select("a", "b", "a_group", "b_group")
+    return homes.drop("a_group").join(visits.drop("b_group"), "anchor").where(near).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
