@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caretrail.functions import scalars as S
 
-FIRST_KNOWN = ["id", "name_common", "organ", "anatomical_location", "severity", "certainty", "notes", "provider_name", "facility_name", "cx", "cy"]
+FIRST_KNOWN = ["id", "name_common", "organ", "anatomical_location", "severity", "certainty", "notes", "local_names", "provider", "provider_name", "facility_name", "cx", "cy"]
 
 
 def first_known(column: str | Column, seq: str = "seq") -> Column:
@@ -48,20 +48,28 @@ def dedupe_facilities(df: DataFrame, scope: list[str]) -> DataFrame:
 def merge_conditions(mentions: DataFrame, by: list[str] = ["patient_id"]) -> DataFrame:  # noqa: B006
     """One row per condition: first known values, the earliest date of the better tier, the latest status.
 
-    Explicit dates beat inherited ones in any order; within a tier the earliest counts. Arrays `care_events` are chained in
-    order; `evidence` texts are joined.
+    Explicit dates beat inherited ones in any order; within a tier the earliest counts. A date is inherited where the array
+    `inferred_from_structure` names its field, else where `date_inherited` is set. `evidence` texts are joined, arrays
+    `care_events` chained in order. Arrays `providers` and `facilities` are united with those of the care events, one per
+    identity; `locations` are merged per place. The lists of a condition mentioned once stay as they are.
     """
     have = set(mentions.columns)
     location = F.col("anatomical_location") if "anatomical_location" in have else F.lit(None).cast("string")
     locations = F.col("locations") if "locations" in have else None
-    inherited = F.coalesce(F.col("date_inherited"), F.lit(False)) if "date_inherited" in have else F.lit(False)
-    keyed = mentions.withColumn("condition_key", S.condition_key(F.col("name_medical"), F.col("organ"), location, locations)).withColumn("_inherited", inherited)
+    keyed = mentions.withColumn("condition_key", S.condition_key(F.col("name_medical"), F.col("organ"), location, locations))
     dates = [c for c in ("date_onset", "date_diagnosed") if c in have]
+    listed = "inferred_from_structure" in have
+    flag = F.coalesce(F.col("date_inherited"), F.lit(False)) if "date_inherited" in have else F.lit(False)
+    keyed = keyed.withColumns({f"_inherited_{c}": F.coalesce(F.array_contains("inferred_from_structure", c), F.lit(False)) if listed else flag for c in dates})
     if "date_onset" in have and "date_diagnosed" in have:
         keyed = keyed.withColumn("_date", F.coalesce("date_diagnosed", "date_onset"))
     else:
         keyed = keyed.withColumn("_date", F.col(dates[0]))
-    tier = lambda c: F.coalesce(F.min(F.when(~F.col("_inherited"), F.nullif(F.col(c), F.lit("")))), F.min(F.when(F.col("_inherited"), F.nullif(F.col(c), F.lit("")))))
+
+    def earliest(c: str, inherited: bool):
+        mine = F.col(f"_inherited_{c}")
+        return F.min(F.when(mine if inherited else ~mine, F.nullif(F.col(c), F.lit(""))))
+
     aggs = [
         F.count("*").alias("n_mentions"),
         F.min("seq").alias("seq"),
@@ -69,14 +77,64 @@ def merge_conditions(mentions: DataFrame, by: list[str] = ["patient_id"]) -> Dat
         F.min_by("system", "seq").alias("system"),
         latest_status("_date").alias("status"),
         *[first_known(c).alias(c) for c in FIRST_KNOWN if c in have],
-        *[tier(c).alias(c) for c in dates],
+        *[F.coalesce(earliest(c, False), earliest(c, True)).alias(c) for c in dates],
     ]
     if "evidence" in have:
         aggs.append(joined("evidence", " | ").alias("evidence"))
     if "care_events" in have:
         chained = F.array_sort(F.collect_list(F.struct(F.col("seq").alias("s"), F.col("care_events").alias("e"))))
         aggs.append(F.flatten(F.transform(chained, lambda x: F.coalesce(x["e"], F.array()))).alias("care_events"))
-    return keyed.groupBy(*by, "condition_key").agg(*aggs)
+    if listed:
+        # a date is flagged by the tier it came from; without any date the last mention's flag stands
+        others = F.array_distinct(F.flatten(F.collect_list(F.filter("inferred_from_structure", lambda x: ~x.isin("date_onset", "date_diagnosed")))))
+        won = [F.when(earliest(c, False).isNull() & F.coalesce(earliest(c, True).isNotNull() | F.max_by(f"_inherited_{c}", "seq"), F.lit(False)), F.lit(c)) for c in dates]
+        aggs.append(F.array_sort(F.concat(others, F.array_compact(F.array(*won)))).alias("inferred_from_structure"))
+    out = keyed.groupBy(*by, "condition_key").agg(*aggs)
+    for lists in merged_lists(keyed, [*by, "condition_key"]):
+        out = out.join(lists, [*by, "condition_key"], "left")
+    return out
+
+
+#: What tells providers and facilities apart, letters in either case.
+IDENTITY = {"providers": ["name", "email", "phone"], "facilities": ["name", "address", "city", "state", "country"]}
+
+
+def merged_lists(keyed: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """keys and one merged array each, of those of providers, facilities and locations that the mentions have."""
+    mention = Window.partitionBy(*keys)
+    ranked = keyed.withColumn("_r", F.row_number().over(mention.orderBy("seq"))).withColumn("_m", F.count("*").over(mention))
+    events = {f.name: f.dataType for f in keyed.schema["care_events"].dataType.elementType.fields} if "care_events" in keyed.columns else {}
+    out = []
+    for name, one in (("providers", "provider"), ("facilities", "facility")):
+        if name not in keyed.columns:
+            continue
+        fields = keyed.schema[name].dataType.elementType.fields
+
+        def parts(values, kind: int, fields=fields):
+            # the lists of the first two mentions come before the events of both; from then on mention by mention
+            order = F.struct(F.when(F.col("_r") <= 2, 0).otherwise(F.col("_r")).alias("g"), F.when(F.col("_r") <= 2, kind).otherwise(0).alias("k"), F.col("_r").alias("r"), F.lit(kind).alias("kind"))
+            rows = ranked.select(*keys, "_m", order.alias("_o"), F.posexplode(values).alias("_i", "_v")).where("_v IS NOT NULL")
+            there = set(rows.schema["_v"].dataType.names)
+            v = F.struct(*[(F.col("_v")[f.name] if f.name in there else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+            return rows.select(*keys, "_m", F.struct("_o", "_i").alias("_o"), v.alias("v"))
+
+        rows = parts(F.col(name), 0)
+        if hasattr(events.get(one), "names"):
+            rows = rows.unionByName(parts(F.when(F.col("_m") > 1, F.col(f"care_events.{one}")), 1))
+        ident = F.concat_ws("|", *[F.lower(F.coalesce(F.col(f"v.{c}"), F.lit(""))) for c in IDENTITY[name] if c in [f.name for f in fields]])
+        first = F.row_number().over(Window.partitionBy(*keys, "_k").orderBy("_o"))
+        rows = rows.withColumn("_k", ident).withColumn("_n", first).where("_n = 1 OR _m = 1")
+        out.append(rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_o", "v"))), lambda x: x["v"]).alias(name)))
+    if "locations" in keyed.columns:
+        rows = ranked.select(*keys, "_m", "_r", F.posexplode("locations").alias("_i", "_v")).select(*keys, "_m", F.struct("_r", "_i").alias("seq"), "_v.*")
+        for c in ("anatomical_location", "laterality", "cx", "cy", "evidence"):
+            if c not in rows.columns:
+                rows = rows.withColumn(c, F.lit(None).cast("double" if c in ("cx", "cy") else "string"))
+        # the places of a condition mentioned once are told apart by their order alone
+        places = merge_locations(rows.withColumn("_alone", F.when(F.col("_m") == 1, F.col("seq"))), [*keys, "_alone"])
+        value = F.struct("anatomical_location", "laterality", "cx", "cy", "evidence")
+        out.append(places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value.alias("v")))), lambda x: x["v"]).alias("locations")))
+    return out
 
 
 def merge_longitudinal_located(mentions: DataFrame, by: list[str]) -> DataFrame:
@@ -125,7 +183,7 @@ def merge_summaries(summaries: DataFrame, groups: DataFrame, by: list[str]) -> D
 
 def merge_locations(locations: DataFrame, scope: list[str]) -> DataFrame:
     """One row per place and side (else per point): the first one, with missing point and evidence filled from later ones."""
-    named = F.concat_ws("|", F.lower(F.trim(F.coalesce("anatomical_location", F.lit("")))), F.lower(F.trim(F.coalesce("laterality", F.lit("")))))
+    named = F.concat_ws("|", *[S.normalized_key(F.coalesce(c, F.lit(""))) for c in ("anatomical_location", "laterality")])
     point = F.concat_ws(",", F.coalesce(F.col("cx").cast("string"), F.lit("")), F.coalesce(F.col("cy").cast("string"), F.lit("")))
     keyed = locations.withColumn("k", F.when(named != "|", named).otherwise(point))
     return keyed.groupBy(*scope, "k").agg(

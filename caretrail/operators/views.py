@@ -167,13 +167,13 @@ def snap_to_nearest(probes: DataFrame, conditions: DataFrame, rails: DataFrame,
 # ---- call log ----
 
 
-def call_outcome(calls: DataFrame) -> DataFrame:
+def call_outcome(calls: DataFrame, by: list | None = None) -> DataFrame:
     """ok, degraded (a rate limit or quota failure came first) or exhausted, and the tries of the model that answered."""
     ok = F.col("http_status") == 200
     won = F.min_by("model", F.when(ok, F.col("seq")))
     first_ok = F.min(F.when(ok, F.col("seq")))
     limited = F.min(F.when(F.col("http_status").isin(402, 429), F.col("seq")))
-    g = calls.groupBy("call_id").agg(first_ok.alias("_ok"), limited.alias("_limited"), won.alias("model"), F.count("*").alias("n_attempts"))
+    g = calls.groupBy(*(by or ["call_id"])).agg(first_ok.alias("_ok"), limited.alias("_limited"), won.alias("model"), F.count("*").alias("n_attempts"))
     outcome = F.when(F.col("_ok").isNull(), "exhausted").when(F.col("_limited") < F.col("_ok"), "degraded").otherwise("ok")
     return g.select("call_id", outcome.alias("outcome"), "model", "n_attempts")
 

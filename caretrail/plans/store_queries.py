@@ -9,6 +9,7 @@ from caretrail.operators import placement as P
 from caretrail.plans.bindings import base, bind, view_sql
 from caretrail.plans.scalar_queries import _ANCHOR, _HASH, _SYSTEM
 from caretrail.plans.view_queries import _BASE, _LOC_SQL, _conditions, _locations
+from caretrail.plans.view_queries import SQL as VIEW_SQL
 from caretrail.sources import backup as B
 from caretrail.sources import documents as D
 from caretrail.sources import store as ST
@@ -215,9 +216,7 @@ def stream_ingest(spark, sf):
     job = lambda batch: batch.select(C("o_orderkey").alias("id"), C("o_custkey").alias("patient_id"), S.parse_date_frac(C("o_orderdate").cast("date").cast("string")).alias("year_frac"))
     q = jobs.stream_ingest(source, job, root, "records", ["id"], f"{root}/checkpoint")
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    done = spark.read.parquet(f"{root}/records/snapshot={last}")
-    return done.select("id", "patient_id", F.round("year_frac", 6).alias("year_frac"))
+    return jobs.read_snapshot(spark, root, "records").select("id", "patient_id", F.round("year_frac", 6).alias("year_frac"))
 
 
 def stream_call_health(spark, sf):
@@ -225,15 +224,38 @@ def stream_call_health(spark, sf):
     events = spark.readStream.schema(base(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
     status = F.expr("CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 500 WHEN 'signup' THEN 402 ELSE 200 END")
     calls = events.select(C("ts").cast("timestamp").alias("ts"), F.concat(F.lit("model-"), (C("user_id") % 7).cast("string")).alias("model"), status.alias("http_status"))
-    out = jobs.stream_call_health(calls, "365 days")
-    q = out.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{root}/health")).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    q = jobs.keep_current(jobs.stream_call_health(calls, "365 days"), root, "health", ["model", "since"], f"{root}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/health").select("model", C("since").cast("date").cast("string").alias("day"), "n_attempts", "n_ok", "n_limited")
+    return jobs.read_snapshot(spark, root, "health").select("model", C("since").cast("date").cast("string").alias("day"), "n_attempts", "n_ok", "n_limited")
+
+
+def stream_call_outcome(spark, sf):
+    """The call log as a stream: the outcome of each call, kept current."""
+    root = _folder(spark)
+    events = spark.readStream.schema(base(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+    status = F.expr("CASE event_type WHEN 'error' THEN 429 WHEN 'view' THEN 500 WHEN 'signup' THEN 402 ELSE 200 END")
+    ts = C("ts").cast("timestamp")
+    calls = events.select(C("event_id").alias("seq"), ts.alias("ts"), F.concat_ws(":", C("user_id").cast("string"), ts.cast("date").cast("string")).alias("call_id"), F.concat(F.lit("model-"), (C("user_id") % 7).cast("string")).alias("model"), status.alias("http_status"))
+    q = jobs.keep_current(jobs.stream_call_outcome(calls, "365 days"), root, "outcomes", ["call_id"], f"{root}/checkpoint")
+    q.awaitTermination()
+    return jobs.read_snapshot(spark, root, "outcomes").select("call_id", "outcome", "model", "n_attempts")
+
+
+def measurement_rows(spark, sf):
+    """The measurements' store rows; those without a date take the day of the run."""
+    return ST.measurement_rows(bind(spark, sf, "measurements"), "2024-01-01").select("id", "record_id", "name", "value_numeric", "unit", "date")
+
+
+def rejected_backups(spark, sf):
+    """Envelopes of which some are spoilt: another app, another version, no JSON."""
+    e = B.export_backup({"health_records": _stores(spark, sf)["health_records"]}, "2024-01-01T00:00:00Z")
+    spoilt = F.when(C("patient_id") % 5 == 0, F.replace("envelope", F.lit('"app":"caretrail"'), F.lit('"app":"other"'))).when(C("patient_id") % 7 == 0, F.replace("envelope", F.lit('"formatVersion":1'), F.lit('"formatVersion":2'))).when(C("patient_id") % 11 == 0, F.lit("not json"))
+    return B.rejected_backups(e.withColumn("envelope", F.coalesce(spoilt, "envelope")))
 
 
 QUERIES = {f.__name__: f for f in (
     assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, secondary_locations, secondary_locations_all, export_backup,
-    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health,
+    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health, stream_call_outcome, measurement_rows, rejected_backups,
 )}
 
 _ENR = _BASE + """, e AS (SELECT *, CASE WHEN seq % 9 = 0 THEN 'Nephrolithiasis' ELSE name_medical END AS nm FROM cond WHERE record_id IS NOT NULL), k AS (SELECT *, k FROM e, (SELECT unnest([0, 1, 2]) AS k) WHERE k < seq % 4),
@@ -275,6 +297,9 @@ SQL = {
   round(CASE WHEN coalesce(q.k, -1) < 0 THEN cy WHEN x IS NULL THEN NULL WHEN x = q.px AND y = q.py THEN ay ELSE y / 8.0::DOUBLE * 100 END, 6)::DOUBLE AS cy
  FROM q LEFT JOIN g ON g.k = q.k AND g.px = q.px AND g.py = q.py""",
     "place_first": _BASE + f", x AS (SELECT id AS condition_id, seq, row_number() OVER (PARTITION BY patient_id, {_SYSTEM} ORDER BY seq) AS r FROM cond) SELECT condition_id, (seq % 3)::DOUBLE AS cx, 10.0::DOUBLE AS cy FROM x WHERE r = 1",
+    "stream_call_outcome": VIEW_SQL["call_outcome"],
+    "measurement_rows": view_sql("measurements") + "SELECT concat(record_id, '-measurement-', row_number() OVER (PARTITION BY record_id ORDER BY seq) - 1) AS id, record_id, name, value_numeric, unit, coalesce(date, '2024-01-01') AS date FROM measurements",
+    "rejected_backups": "SELECT DISTINCT o_custkey AS patient_id, CASE WHEN o_custkey % 5 = 0 THEN 'app' WHEN o_custkey % 7 = 0 THEN 'version' ELSE 'no backup' END AS reason FROM orders WHERE o_custkey % 5 = 0 OR o_custkey % 7 = 0 OR o_custkey % 11 = 0",
     "stream_ingest": "SELECT o_orderkey AS id, o_custkey AS patient_id, round(year(o_orderdate) + ((month(o_orderdate) - 1) * 30.44::DOUBLE + day(o_orderdate)) / 365.25::DOUBLE, 6) AS year_frac FROM orders",
     "stream_call_health": view_sql("call_log") + "SELECT model, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*)::BIGINT AS n_attempts, count(*) FILTER (http_status = 200)::BIGINT AS n_ok, count(*) FILTER (http_status = 429)::BIGINT AS n_limited FROM call_log GROUP BY 1, 2",
 }

@@ -60,13 +60,17 @@ def _child(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def normalize(enriched: DataFrame, placed: DataFrame, today: str) -> dict[str, DataFrame]:
+def normalize(enriched: DataFrame, placed: DataFrame, today: str, measurements: DataFrame | None = None, record_providers: DataFrame | None = None, record_facilities: DataFrame | None = None) -> dict[str, DataFrame]:
     """Enriched conditions and measurements -> the linked tables, with ids that a rerun gives again.
 
     enriched: patient_id, record_id, condition_id, seq and the merged fields with providers, facilities, care_events, locations
-    (arrays of structs). placed: condition_id with its primary point.
+    (arrays of structs). placed: condition_id with its primary point. measurements: patient_id, record_id, seq, name,
+    value_numeric, unit, date (`today` where it has none) and, if known, inferred_from_structure. record_providers and
+    record_facilities (patient_id, record_id, seq, name...): those of the record itself; a provider that one of its conditions
+    is linked to is left out.
     """
-    from caretrail.operators.views import provider_key
+    from caretrail.operators.merge import record_facilities as named_facilities
+    from caretrail.operators.views import provider_key, unlinked_record_providers
 
     c = enriched.join(placed.select("condition_id", F.col("cx").alias("_x"), F.col("cy").alias("_y")), "condition_id")
     date = F.coalesce("date_diagnosed", "date_onset")
@@ -86,7 +90,30 @@ def normalize(enriched: DataFrame, placed: DataFrame, today: str) -> dict[str, D
     facilities = c.select("patient_id", "record_id", "condition_id", F.posexplode("facilities").alias("n", "f")).where(F.trim("f.name") != "")
     facilities = facilities.select("patient_id", _child(F.col("condition_id"), "-facility-", F.col("n").cast("string")).alias("id"), "record_id", "condition_id", "f.name")
     records = enriched.groupBy("patient_id", F.col("record_id").alias("id")).agg(F.concat(F.lit("record-"), F.first("record_id").cast("string"), F.lit(".pdf")).alias("filename"))
-    return {"health_records": records, "conditions": conditions, "condition_locations": locations, "providers": linked.unionByName(extra), "facilities": facilities, "condition_care_events": care}
+    providers = linked.unionByName(extra)
+    if record_providers is not None:
+        own = unlinked_record_providers(record_providers, providers)
+        n = F.row_number().over(Window.partitionBy("record_id").orderBy("seq")) - 1
+        own = own.withColumn("_n", n).withColumn("id", _child(F.col("record_id").cast("string"), "-provider-", F.col("_n").cast("string")))
+        providers = providers.unionByName(own.withColumn("condition_id", F.lit(None).cast(conditions.schema["id"].dataType)).select(*providers.columns))
+    if record_facilities is not None:
+        own = named_facilities(record_facilities).withColumn("condition_id", F.lit(None).cast(conditions.schema["id"].dataType))
+        facilities = facilities.unionByName(own.select(*facilities.columns))
+    out = {"health_records": records, "conditions": conditions, "condition_locations": locations, "providers": providers, "facilities": facilities, "condition_care_events": care}
+    if measurements is not None:
+        out["measurements"] = measurement_rows(measurements, today)
+    return out
+
+
+def measurement_rows(measurements: DataFrame, today: str) -> DataFrame:
+    """The measurements' store rows, numbered in order within their record."""
+    n = F.row_number().over(Window.partitionBy("record_id").orderBy("seq")) - 1
+    inferred = F.when(F.size("inferred_from_structure") > 0, F.col("inferred_from_structure")) if "inferred_from_structure" in measurements.columns else F.lit(None).cast("array<string>")
+    keep = ["patient_id"] if "patient_id" in measurements.columns else []
+    return measurements.withColumn("_n", n).select(
+        *keep, _child(F.col("record_id").cast("string"), "-measurement-", F.col("_n").cast("string")).alias("id"), "record_id", "name", "value_numeric", "unit",
+        F.coalesce("date", F.lit(today)).alias("date"), inferred.alias("inferred_fields"),
+    )
 
 
 def secondary_locations(c: DataFrame) -> DataFrame:

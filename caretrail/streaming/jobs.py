@@ -1,36 +1,70 @@
-"""Incremental forms of the batch jobs."""
+"""Incremental forms of the batch jobs. Stores are cut into buckets by a hash of their key; a batch writes the buckets it touches."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+BUCKETS = 64
 
-def stream_ingest(documents: DataFrame, job: Callable[[DataFrame], DataFrame], root: str, store: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Each batch of new documents goes through the batch job, and its rows are upserted into the store. Snapshots are written
-    side by side, so that a batch that is tried again starts from the one before it."""
+
+def _latest(spark: SparkSession, root: str, store: str, before: int | None = None) -> dict[int, int]:
+    """bucket -> the last batch that wrote it; at most as many as there are buckets."""
+    schema = "bucket int, batch bigint"
+    index = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/{store}-index")
+    index = index if before is None else index.where(F.col("batch") < before)
+    return {r["bucket"]: r["batch"] for r in index.groupBy("bucket").agg(F.max("batch").alias("batch")).collect()}
+
+
+def read_snapshot(spark: SparkSession, root: str, store: str) -> DataFrame:
+    """The store's rows after the last batch."""
+    paths = [f"{root}/{store}/batch={n}/bucket={b}" for b, n in sorted(_latest(spark, root, store).items())]
+    return spark.read.parquet(*paths)
+
+
+def upsert_batch(rows: DataFrame, n: int, root: str, store: str, key: list[str], buckets: int = BUCKETS) -> None:
+    """Writes batch n's rows into the store. Only the buckets they fall into are read and written again, beside their earlier
+    versions, so a batch that is tried again starts from what was there before it and gives the same."""
     from caretrail.sources.store import upsert
 
-    def apply(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        rows = job(batch).withColumn("seq", F.lit(n).cast("long"))
-        if n == 0:
-            out = upsert(rows.drop("seq").limit(0), rows, key)
-        else:
-            out = upsert(spark.read.parquet(f"{root}/{store}/snapshot={n - 1}"), rows, key)
-        out.write.mode("overwrite").parquet(f"{root}/{store}/snapshot={n}")
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    rows = rows.withColumn("seq", F.lit(n).cast("long"))
+    touched = [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
+    old = _latest(spark, root, store, n) if n else {}
+    paths = [f"{root}/{store}/batch={old[b]}/bucket={b}" for b in touched if b in old]
+    current = spark.read.schema(rows.drop("seq").schema).parquet(*paths) if paths else rows.drop("seq").limit(0)
+    upsert(current, rows, key).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{store}/batch={n}")
+    spark.createDataFrame([(b, n) for b in touched], "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/{store}-index/part-{n}")
+
 
+def stream_ingest(documents: DataFrame, job: Callable[[DataFrame], DataFrame], root: str, store: str, key: list[str], checkpoint: str) -> StreamingQuery:
+    """Each batch of new documents goes through the batch job, and its rows are upserted into the store."""
+    apply = lambda batch, n: upsert_batch(job(batch), n, root, store, key)
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def keep_current(groups: DataFrame, root: str, store: str, key: list[str], checkpoint: str) -> StreamingQuery:
+    """Upserts the groups that a batch changed; with a watermark, state of groups that can no longer change is dropped."""
+    apply = lambda batch, n: upsert_batch(batch, n, root, store, key)
+    return groups.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_call_health(calls: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
-    """Calls and failures per model and window, kept current; rows later than the watermark are left out."""
+    """Calls and failures per model and window; rows later than the watermark are left out."""
     return (
         calls.withWatermark("ts", late)
         .groupBy(F.window("ts", window).alias("w"), "model")
         .agg(F.count("*").alias("n_attempts"), F.sum(F.when(F.col("http_status") == 200, 1).otherwise(0)).alias("n_ok"), F.sum(F.when(F.col("http_status") == 429, 1).otherwise(0)).alias("n_limited"))
         .select("model", F.col("w.start").alias("since"), "n_attempts", "n_ok", "n_limited")
     )
+
+
+def stream_call_outcome(calls: DataFrame, late: str = "1 day", window: str = "1 day") -> DataFrame:
+    """The outcome of each call as its attempts come in; a call's attempts are within one window."""
+    from caretrail.operators.views import call_outcome
+
+    return call_outcome(calls.withWatermark("ts", late), [F.window("ts", window).alias("w"), "call_id"])

@@ -137,4 +137,97 @@ def test_secondary_locations_are_whole(spark):
             want[f"{r.condition_id}-loc-2"] = (r.cx + 2, r.cy)
     rows = store_queries.secondary_locations_all(spark, sf).collect()
     assert len(rows) == len(want) and {r.id: (r.cx, r.cy) for r in rows} == want
-    assert len(rows) > 2 * store_queries.secondary_locations(spark, sf).count()
+    assert len(rows) == store_queries.secondary_locations(spark, sf).count()
+
+
+def test_cooldown_across_stretches(spark):
+    """Against one pass over all calls; failures with a retry-after of their own."""
+    import random
+
+    r = random.Random(4)
+    calls = [(k, r.choice("ab"), 1_700_000_000 + r.randrange(40_000), r.choice([200, 200, 429, 500]), r.choice([None, None, 5, 9000])) for k in range(1500)]
+    df = spark.createDataFrame(calls, "seq long, model string, t long, http_status int, retry_after int").withColumn("ts", F.timestamp_seconds("t"))
+    want, until = set(), {}
+    for seq, model, t, status, retry in sorted(calls, key=lambda c: (c[2], c[0])):
+        if t < until.get(model, 0):
+            want.add(seq)
+        if status == 429:
+            until[model] = t + (60 if retry is None else retry)
+    for span in ("1 hour", "1 minute", "1 day"):
+        assert {x.seq for x in views.cooldown_blocked(df, 60.0, span).collect()} == want
+
+
+def test_snap_with_ties(spark):
+    rails = spark.createDataFrame([(1, 2000.0, 2010.0), (2, 2000.0, 2000.0)], "patient_id int, low double, high double")
+    conditions = spark.createDataFrame([(1, "b", 2001.0), (1, "a", 2001.0), (1, "c", 2005.0), (1, "d", 1990.0), (1, "e", 1995.0), (2, "x", 2000.0), (2, "y", 1999.0)], "patient_id int, id string, year_frac double")
+    probes = spark.createDataFrame([(0, 1, 2001.001), (1, 1, 2004.999), (2, 1, 2003.0), (3, 1, 1980.0), (4, 2, 2000.0), (5, 3, 2000.0)], "probe_id int, patient_id int, year double")
+    got = {r.probe_id: r.snapped for r in views.snap_to_nearest(probes, conditions, rails).collect()}
+    assert got == {0: 2001.0, 1: 2005.0, 2: 2003.0, 3: 2000.0, 4: 2000.0}  # clamped ends; no rail, no row
+
+
+def test_merged_lists(spark):
+    """Lists of three mentions are united with the events' people; a single mention's stay as they are."""
+    p = lambda name, email=None: (name, None, email)
+    mentions = [
+        (1, 1, "Asthma", None, "2020-01-01", [p("Ann"), p("ann")], [("Clinic", "Rome")], [("seen", p("Eve"), ("Lab", None))], [("Left lung", None, None, None, None)], ["notes", "date_diagnosed"], {"fr": "asthme"}),
+        (1, 2, "asthma", None, "2021-01-01", [p("ANN"), p("Bob")], [("CLINIC", "rome")], [("seen", p("Cy"), None)], [("left lung", "", 1.0, 2.0, "x")], [], None),
+        (1, 3, "asthma", None, None, [p("Dan")], None, [("seen", p("Bob"), ("Lab", None))], None, ["date_onset"], None),
+        (1, 4, "Gout", None, None, [p("Zed"), p("zed")], [], [("seen", p("Eve"), None)], [("Toe", None, None, None, None), ("toe", None, 1.0, None, None)], ["date_diagnosed"], None),
+    ]
+    provider, facility = "struct<name:string,specialty:string,email:string>", "struct<name:string,city:string>"
+    df = spark.createDataFrame(mentions, f"patient_id int, seq int, name_medical string, organ string, date_diagnosed string, providers array<{provider}>, facilities array<{facility}>, care_events array<struct<event_type:string,provider:{provider},facility:{facility}>>, locations array<struct<anatomical_location:string,laterality:string,cx:double,cy:double,evidence:string>>, inferred_from_structure array<string>, local_names map<string,string>")
+    out = {r.name_medical: r for r in merge.merge_conditions(df.withColumn("system", F.lit("other")).withColumn("status", F.lit("documented"))).collect()}
+    a, g = out["Asthma"], out["Gout"]
+    assert [x.name for x in a.providers] == ["Ann", "Bob", "Eve", "Cy", "Dan"] and [x.name for x in g.providers] == ["Zed", "zed"]
+    assert [(x.name, x.city) for x in a.facilities] == [("Clinic", "Rome"), ("Lab", None)]
+    assert [tuple(x) for x in a.locations] == [("Left lung", None, 1.0, 2.0, "x")] and [x.anatomical_location for x in g.locations] == ["Toe", "toe"]
+    assert a.date_diagnosed == "2021-01-01" and a.inferred_from_structure == ["notes"] and g.inferred_from_structure == ["date_diagnosed"] and a.local_names == {"fr": "asthme"}
+    assert len(a.care_events) == 3
+
+
+def test_normalized_records(spark):
+    """Measurements with the day of the run, and the record's own providers and facilities."""
+    from caretrail.sources import store
+
+    none = "array<struct<name:string,email:string,phone:string>>"
+    enriched = spark.sql(f"""SELECT 1 AS patient_id, 7 AS record_id, '1:1' AS condition_id, 1 AS seq, 'Gout' AS name_medical, 'other' AS system, 'documented' AS status, CAST(NULL AS STRING) AS date_diagnosed, CAST(NULL AS STRING) AS date_onset,
+      '' AS evidence, 1.0D AS cx, 2.0D AS cy, array(named_struct('event_type', 'treated', 'date', '2020', 'provider_name', 'Ann', 'facility_name', 'Lab')) AS care_events, CAST(array() AS {none}) AS providers,
+      array(named_struct('name', 'Clinic')) AS facilities, CAST(array() AS array<struct<anatomical_location:string,laterality:string,cx:double,cy:double>>) AS locations""")
+    measured = spark.createDataFrame([(1, 7, 1, "LDL", 170.0, "mg/dL", None, []), (1, 7, 0, "eGFR", 50.0, None, "2020-01-01", ["date"])], "patient_id int, record_id int, seq int, name string, value_numeric double, unit string, date string, inferred_from_structure array<string>")
+    people = spark.createDataFrame([(1, 7, 0, "Ann", None, None), (1, 7, 1, "Bob", None, "5"), (1, 7, 2, "Bob", None, "5")], "patient_id int, record_id int, seq int, name string, email string, phone string")
+    places = spark.createDataFrame([(1, 7, 0, " ", None, None, None, None), (1, 7, 1, "Lab", None, None, None, None)], "patient_id int, record_id int, seq int, name string, address string, city string, state string, country string")
+    t = store.normalize(enriched, enriched.select("condition_id", "cx", "cy"), "2024-05-05", measured, people, places)
+    assert sorted((r.id, r.name, r.date, r.inferred_fields) for r in t["measurements"].collect()) == [("7-measurement-0", "eGFR", "2020-01-01", ["date"]), ("7-measurement-1", "LDL", "2024-05-05", None)]
+    assert sorted((r.id, r.name, r.condition_id) for r in t["providers"].collect()) == [("1:1-care-0-provider", "Ann", "1:1"), ("7-provider-0", "Bob", None)]
+    assert sorted((r.id, r.condition_id) for r in t["facilities"].collect()) == [("1:1-facility-0", "1:1"), ("7-facility-0", None)]
+
+
+def test_store_batches(spark, tmp_path):
+    """Only touched buckets are written; a batch tried again changes nothing."""
+    from caretrail.streaming import jobs
+
+    df = lambda rows: spark.createDataFrame(rows, "id long, v string")
+    root, seen = str(tmp_path), lambda: {r.id: r.v for r in jobs.read_snapshot(spark, root, "s").collect()}
+    jobs.upsert_batch(df([(i, "a") for i in range(40)]), 0, root, "s", ["id"], 8)
+    jobs.upsert_batch(df([(1, "b"), (99, "b")]), 1, root, "s", ["id"], 8)
+    want = {i: "a" for i in range(40)} | {1: "b", 99: "b"}
+    assert seen() == want and len(list((tmp_path / "s" / "batch=1").glob("bucket=*"))) <= 2
+    jobs.upsert_batch(df([(1, "b"), (99, "b")]), 1, root, "s", ["id"], 8)
+    assert seen() == want
+
+
+def test_validation_checks_every_field(spark):
+    from caretrail.sources import backup
+
+    records = spark.createDataFrame([(1, "r", None)], "patient_id int, id string, filename string")
+    conditions = spark.createDataFrame([(1, "a", "r", "Gout", "documented", "1.5"), (1, "b", "r", None, "odd", "x")], "patient_id int, id string, record_id string, name_medical string, status string, cx string")
+    found = {(r.store, r.field, r.id, r.rule) for r in backup.validate_backup({"health_records": records, "conditions": conditions}).collect()}
+    assert found == {("health_records", "filename", "r", "value"), ("conditions", "name_medical", "b", "value"), ("conditions", "status", "b", "value"), ("conditions", "cx", "b", "number")}
+
+
+def test_evidence_dates(spark):
+    """Values that are parts of the evidence's numbers count; the first by seq wins."""
+    inferred = spark.createDataFrame([(1, 5, "LDL 170 mg/dL (≥160 threshold)"), (1, 6, "HbA1c 6.5% (≥6.5% threshold)"), (2, 1, "none")], "record_id int, seq int, evidence string")
+    m = spark.createDataFrame([(1, 1, 17.0, "mg/dL", "2001-01-01"), (1, 0, 70.0, "mmol", "1999-01-01"), (1, 2, 170.0, "mg/dL", "2002-01-01"), (1, 3, 6.5, "%", None), (1, 4, 5.0, "%", "2004-01-01"), (2, 1, None, "x", "2000-01-01")], "record_id int, seq int, value_numeric double, unit string, date string")
+    got = {(r.record_id, r.seq): r.date_diagnosed for r in rules.attach_measurement_date(inferred, m, ["record_id"]).collect()}
+    assert got == {(1, 5): "2001-01-01", (1, 6): None, (2, 1): None}
