@@ -98,15 +98,21 @@ def inputs(p: dict[str, np.ndarray]) -> np.ndarray:
     return p["w"] + np.repeat(p["e"], BUCKETS, axis=0)
 
 
-def _step(table: np.ndarray, weights: np.ndarray, x: np.ndarray, h: np.ndarray):
-    """The state after the words x; the gates too."""
-    g, u = table[x], h @ weights
-    zr = np.tanh((g[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN]) * np.float32(0.5))
-    zr += 1
+def _step(g: np.ndarray, weights: np.ndarray, h: np.ndarray, zr: np.ndarray, un: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """The state after words of embeddings g; fills the gates zr, the recurrent part un, the candidate n and the state out."""
+    u = h @ weights
+    np.add(g[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=zr)
     zr *= np.float32(0.5)
-    z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
-    n = np.tanh(g[:, 2 * HIDDEN :] + r * un)
-    return n + z * (h - n), z, r, un, n
+    np.tanh(zr, out=zr)
+    zr += np.float32(1)
+    zr *= np.float32(0.5)
+    un[:] = u[:, 2 * HIDDEN :]
+    np.multiply(zr[:, HIDDEN:], un, out=n)
+    n += g[:, 2 * HIDDEN :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= zr[:, :HIDDEN]
+    out += n
 
 
 def _odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,18 +154,19 @@ class Outputs:
     def gradients(self, share: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the loss, each state weighing its share: by parameter, and by state."""
         p = self.p
-        d = self.e / self.sum[:, None]
-        d[self.every, self.of] -= 1
-        d *= share[:, None]
+        d = self.e * (share / self.sum)[:, None]
+        d[self.every, self.of] -= share
         grad = {"o": self.top.T @ d, "b": d.sum(axis=0), "v": np.zeros_like(p["v"]), "c": np.zeros_like(p["c"])}
         out = d @ p["o"].T
-        d = self.inner_e / self.inner_sum[:, None]
-        d[self.every, self.bucket] -= 1
-        d *= share[self.order][:, None]
+        share = share[self.order]
+        d = self.inner_e * (share / self.inner_sum)[:, None]
+        d[self.every, self.bucket] -= share
         back = np.zeros_like(self.grouped)
         for c, at in self.classes():
-            grad["v"][c], grad["c"][c] = self.grouped[at].T @ d[at], d[at].sum(axis=0)
+            grad["v"][c] = self.grouped[at].T @ d[at]
             back[at] = d[at] @ p["v"][c].T
+        if some := [(c, at.start) for c, at in self.classes()]:
+            grad["c"][[c for c, _ in some]] = np.add.reduceat(d, [a for _, a in some], axis=0)
         out[self.order] += back
         return grad, out
 
@@ -175,27 +182,32 @@ class Trainer:
 
     def window(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, h: np.ndarray) -> np.ndarray:
         """x, y: buckets, on: steps x lanes. Learns from one window and gives the state after it."""
-        p, steps, states, table = self.p, [], [], inputs(self.p)
-        for t in range(len(x)):
-            h_new, z, r, un, n = _step(table, p["u"], x[t], h)
-            steps.append((h, z, r, un, n))
-            states.append(h_new)
-            h = h_new
-        top, flat_on = np.concatenate(states), on.ravel()
-        grad, d_top = Outputs(p, top, y.ravel()).gradients((flat_on / max(1, flat_on.sum())).astype(top.dtype))
-        grad["u"], d_top = np.zeros_like(p["u"]), d_top.reshape(len(x), -1, HIDDEN)
-        dh, d_in = np.zeros_like(h), [None] * len(x)
-        for t in reversed(range(len(x))):
-            before, z, r, un, n = steps[t]
-            dh = dh + d_top[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
-            du = np.concatenate([dz, dr, dn * r], axis=1)
-            d_in[t] = np.concatenate([dz, dr, dn], axis=1)
-            grad["u"] += before.T @ du
-            dh = dh * z + du @ p["u"].T
-        flat_x, flat_d = x.ravel(), np.concatenate(d_in)
+        p, (steps, lanes) = self.p, x.shape
+        kind, w = p["u"].dtype, p["u"]
+        g = inputs(p)[x]
+        states, zr = np.empty((steps + 1, lanes, HIDDEN), kind), np.empty((steps, lanes, 2 * HIDDEN), kind)
+        un, n = np.empty((steps, lanes, HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
+        states[0] = h
+        for t in range(steps):
+            _step(g[t], w, states[t], zr[t], un[t], n[t], states[t + 1])
+        top, flat_on = states[1:].reshape(-1, HIDDEN), on.ravel()
+        grad, d_top = Outputs(p, top, y.ravel()).gradients((flat_on / max(1, flat_on.sum())).astype(kind))
+        d_top = d_top.reshape(steps, lanes, HIDDEN)
+        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (states[:-1] - n) * z * (1 - z), un * r * (1 - r)
+        du, dn = np.empty((steps, lanes, 3 * HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
+        dh = np.zeros_like(states[0])
+        for t in reversed(range(steps)):
+            dh += d_top[t]
+            np.multiply(dh, by_n[t], out=dn[t])
+            np.multiply(dh, by_z[t], out=du[t, :, :HIDDEN])
+            np.multiply(dn[t], by_r[t], out=du[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(dn[t], r[t], out=du[t, :, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += du[t] @ w.T
+        grad["u"] = states[:-1].reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+        du[..., 2 * HIDDEN :] = dn
+        flat_x, flat_d, h = x.ravel(), du.reshape(-1, 3 * HIDDEN), states[-1]
         by = np.argsort(flat_x.astype(np.int16), kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(flat_x[by]) > 0))
         grad["w"] = np.zeros_like(p["w"])
@@ -310,11 +322,14 @@ def log_likelihoods(p: dict[str, np.ndarray], buckets: np.ndarray, sizes: np.nda
     x = np.full(len(sizes), END, np.int64)
     longest = int(n[0]) + 1 if len(n) else 0
     alive_at = np.searchsorted(-n, -np.arange(longest), side="right")  # texts with at least t words
+    zr, un, cand = (np.empty((len(sizes), k * HIDDEN), np.float32) for k in (2, 1, 1))
     tops, ys, rows, held = [], [], [], 0
     for t in range(longest):
         alive = int(alive_at[t])
         y = np.where(n[:alive] > t, line[np.minimum(begin[:alive] + t, len(line) - 1)], END)
-        h = _step(table, weights, x[:alive], h[:alive])[0]
+        new = np.empty((alive, HIDDEN), np.float32)
+        _step(table[x[:alive]], weights, h[:alive], zr[:alive], un[:alive], cand[:alive], new)
+        h = new
         tops.append(h), ys.append(y), rows.append(np.arange(alive))
         x, held = y, held + alive
         if held >= MANY or t == longest - 1:
