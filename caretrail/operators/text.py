@@ -343,3 +343,51 @@ def parse_longitudinal(responses: DataFrame, by: list[str]) -> DataFrame:
     attributed = provider.isNotNull() & rf.isNotNull() & date.isNotNull()
     notes = F.array_compact(F.array(F.when(own.isNull() & rp.isNotNull(), "provider:report_context"), F.when(attributed, "facility:report_context")))
     return r.select(*by, "index", text(c, "$.name_medical").alias("name_medical"), provider.alias("provider"), date.alias("date"), (F.size(events) + F.when(attributed & ~named, 1).otherwise(0)).cast("long").alias("n_care_events"), F.array_join(notes, ",").alias("provenance"))
+
+
+PERSON = {"name": "string", "specialty": "string", "email": "string", "phone": "string", "evidence": "string"}
+PLACE = {"name": "string", "address": "string", "city": "string", "state": "string", "country": "string"}
+_struct = lambda fields: "struct<" + ",".join(f"{n}:{t}" for n, t in fields.items()) + ">"
+LOCATION = {"anatomical_location": "string", "laterality": "string", "cx": "double", "cy": "double", "evidence": "string"}
+EVENT = {"event_type": "string", "date": "string", "provider": _struct(PERSON), "facility": _struct(PLACE), "evidence": "string"}
+#: The fields of a condition in a whole-document answer, with their types; a field of another type counts as absent.
+CONDITION = {
+    **{f: "string" for f in ("id", "name_medical", "name_common", "system", "organ", "anatomical_location", "status", "severity", "certainty", "date_onset", "date_diagnosed", "evidence", "notes")},
+    "local_names": "map<string,string>", "cx": "double", "cy": "double", "providers": f"array<{_struct(PERSON)}>", "facilities": f"array<{_struct(PLACE)}>",
+    "locations": f"array<{_struct(LOCATION)}>", "source_pages": "array<int>", "inferred_from_structure": "array<string>",
+}
+MEASUREMENT = {"name": "string", "value_numeric": "double", "unit": "string", "date": "string", "reference_low": "double", "reference_high": "double", "flag": "string"}
+
+
+def parse_longitudinal_full(responses: DataFrame, by: list[str]) -> dict[str, DataFrame]:
+    """Whole-document JSON, version 1, with every field: conditions (with `provider`, `care_events` and `provenance` as
+    parse_longitudinal counts them), measurements, and the report's own providers and facilities. `by` names no field of theirs."""
+    v = F.col("v")
+    r = responses.select(*by, F.try_parse_json("content").alias("v")).where(F.coalesce(F.try_variant_get(v, "$.schema_version", "int") == 1, F.lit(False)))
+    items = lambda path: F.try_variant_get(v, path, "array<variant>")
+    r = r.where(items("$.conditions").isNotNull() & items("$.measurements").isNotNull())
+    value = lambda x, f, kind: F.try_variant_get(x, f"$.{f}", kind).alias(f)
+    whole = lambda x, fields: F.when(x.isNotNull(), F.struct(*[value(x, f, t) for f, t in fields.items()])).cast(_struct(fields))
+    own = {"providers": (is_valid_provider, PERSON), "facilities": (is_valid_facility, PLACE)}
+    valid = {what: _valid(items(f"$.report_context.{what}"), ok, fields, whole) for what, (ok, fields) in own.items()}
+    x = F.col("x")
+    rows = r.select(*by, F.get(valid["providers"], F.lit(0)).alias("_rp"), F.get(valid["facilities"], F.lit(0)).alias("_rf"), F.posexplode(items("$.conditions")).alias("index", "x"))
+    mine = whole(F.when(~F.coalesce(F.is_variant_null(F.try_variant_get(x, "$.provider", "variant")), F.lit(True)), F.try_variant_get(x, "$.provider", "variant")), PERSON)
+    rows = rows.select(*by, "index", *[value(x, f, t) for f, t in CONDITION.items()], mine.alias("_own"), F.coalesce(F.try_variant_get(x, "$.care_events", f"array<{_struct(EVENT)}>"), F.array().cast(f"array<{_struct(EVENT)}>")).alias("_events"), F.try_variant_get(x, "$.provenance", "array<string>").alias("_said"), "_rp", "_rf")
+    provider, date = F.coalesce("_own", "_rp"), F.coalesce("date_diagnosed", "date_onset")
+    attributed = provider.isNotNull() & F.col("_rf").isNotNull() & date.isNotNull()
+    named = F.exists("_events", lambda e: F.coalesce(e["facility"]["name"] == F.col("_rf.name"), F.lit(False)))
+    added = F.struct(F.lit("other").alias("event_type"), date.alias("date"), provider.alias("provider"), F.col("_rf").alias("facility"), F.lit(None).cast("string").alias("evidence"))
+    notes = F.array_compact(F.array(F.when(F.col("_own").isNull() & F.col("_rp").isNotNull(), "provider:report_context"), F.when(attributed, "facility:report_context")))
+    conditions = rows.select(
+        *by, "index", *CONDITION, provider.alias("provider"), F.when(attributed & ~named, F.array_append("_events", added)).otherwise(F.col("_events")).alias("care_events"),
+        F.when(F.size(notes) > 0, F.array_distinct(F.concat(F.coalesce("_said", F.array().cast("array<string>")), notes))).otherwise(F.col("_said")).alias("provenance"),
+    )
+    measured = r.select(*by, F.posexplode(items("$.measurements")).alias("index", "x")).select(*by, "index", *[value(x, f, t) for f, t in MEASUREMENT.items()])
+    listed = {what: r.select(*by, F.posexplode(valid[what]).alias("index", "x")).select(*by, "index", "x.*") for what in own}
+    return {"conditions": conditions, "measurements": measured, **listed}
+
+
+def _valid(items: Column, ok, fields: dict[str, str], whole) -> Column:
+    """Those of a list of variants that are valid, as structs."""
+    return F.transform(F.filter(items, lambda x: ok(x)), lambda x: whole(x, fields))

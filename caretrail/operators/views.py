@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caretrail.functions import scalars as S
 
@@ -107,14 +108,43 @@ def rehydrate_contacts(providers: DataFrame, contacts: DataFrame) -> DataFrame:
     return out.select("record_id", "provider_no", F.trim("name").alias("name"), fill("email"), fill("phone"), fill("evidence"))
 
 
+#: What the model's anatomy may give, with its type.
+ANATOMY = {"name_common": "string", "system": "string", "status": "string", "organ": "string", "anatomical_location": "string", "laterality": "string", "local_names": "map<string,string>", "cx": "double", "cy": "double"}
+
+
 def join_anatomy(summaries: DataFrame, anatomy: DataFrame) -> DataFrame:
-    """Summaries with the model's anatomy by index; without it the keyword classifier places them, as documented."""
-    a = anatomy.select("patient_id", "index", F.struct("system", "status", "organ").alias("_a"))
-    out = summaries.join(a, ["patient_id", "index"], "left")
-    return out.select(
-        *summaries.columns, F.coalesce(F.col("_a.system"), S.classify_system(F.col("name_medical"), F.col("notes"))).alias("system"),
-        F.coalesce(F.col("_a.status"), F.lit("documented")).alias("status"), F.col("_a.organ").alias("organ"),
-    )
+    """Summaries with the model's anatomy by index, as conditions; without it the keyword classifier places them, as documented.
+
+    The summary's provider and facility (names or structs, if it has them) become lists of one, and with its earliest_date a care
+    event; a laterality becomes a location with the model's point; an inherited date is flagged.
+    """
+    fields = [f for f in ANATOMY if f in anatomy.columns]
+    a = anatomy.select("patient_id", "index", F.struct(*fields).alias("_a"))
+    out, have = summaries.join(a, ["patient_id", "index"], "left"), set(summaries.columns)
+    got = lambda f: F.col(f"_a.{f}") if f in fields else F.lit(None).cast(ANATOMY[f])
+    given = lambda c, kind="string": F.col(c) if c in have else F.lit(None).cast(kind)
+
+    def person(c: str):
+        """A name as a struct of that name; null stays null."""
+        named = c in have and isinstance(summaries.schema[c].dataType, T.StructType)
+        return F.col(c) if named else F.when(given(c).isNotNull(), F.struct(given(c).alias("name")))
+
+    only = lambda x, there: F.when(there, F.array(x)).otherwise(F.slice(F.array(x), 1, 0))
+    date = given("earliest_date")
+    event = F.struct(F.lit("other").alias("event_type"), date.alias("date"), person("provider").alias("provider"), person("facility").alias("facility"), F.lit(None).cast("string").alias("evidence"))
+    place = F.struct(got("anatomical_location").alias("anatomical_location"), got("laterality").alias("laterality"), got("cx").alias("cx"), got("cy").alias("cy"), F.lit(None).cast("string").alias("evidence"))
+    full = {
+        "system": F.coalesce(got("system"), S.classify_system(F.col("name_medical"), F.col("notes"))),
+        "status": F.coalesce(got("status"), F.lit("documented")),
+        **{f: got(f) for f in ("organ", "name_common", "anatomical_location", "local_names", "cx", "cy")},
+        "date_diagnosed": date,
+        "providers": only(person("provider"), person("provider").isNotNull()),
+        "facilities": only(person("facility"), person("facility").isNotNull()),
+        "care_events": only(event, person("provider").isNotNull() & date.isNotNull()),
+        "locations": only(place, got("laterality").isNotNull()),
+        "inferred_from_structure": only(F.lit("date_diagnosed"), F.coalesce(given("earliest_date_inherited", "boolean"), F.lit(False))),
+    }
+    return out.select(*[F.col(c) for c in summaries.columns if c not in full], *[v.alias(c) for c, v in full.items()])
 
 
 def apply_overrides(conditions: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -241,6 +241,17 @@ def stream_call_outcome(spark, sf):
     return jobs.read_snapshot(spark, root, "outcomes").select("call_id", "outcome", "model", "n_attempts")
 
 
+def stream_records(spark, sf):
+    """Notes as arriving documents through the whole batch job; a batch that comes again changes nothing."""
+    root = _folder(spark)
+    notes = bind(spark, sf, "clinical_notes").select("record_id", "text")
+    source = spark.readStream.schema(base(spark, sf, "orders").schema).parquet(f"{sf}/orders.parquet*").select(C("o_orderkey").alias("record_id"))
+    job = jobs.record_job(bind(spark, sf, "responses").select(C("chunk_id").alias("record_id"), F.lit(0).alias("chunk_no"), "content"))
+    q = jobs.stream_ingest(source, lambda batch: job(batch.join(notes, "record_id")), root, "conditions", ["record_id", "condition_key"], f"{root}/checkpoint")
+    q.awaitTermination()
+    return jobs.read_snapshot(spark, root, "conditions").select("record_id", "name_medical", "date_diagnosed", "provider_name", "n_mentions")
+
+
 def measurement_rows(spark, sf):
     """The measurements' store rows; those without a date take the day of the run."""
     return ST.measurement_rows(bind(spark, sf, "measurements"), "2024-01-01").select("id", "record_id", "name", "value_numeric", "unit", "date")
@@ -255,7 +266,7 @@ def rejected_backups(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, secondary_locations, secondary_locations_all, export_backup,
-    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health, stream_call_outcome, measurement_rows, rejected_backups,
+    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health, stream_call_outcome, stream_records, measurement_rows, rejected_backups,
 )}
 
 _ENR = _BASE + """, e AS (SELECT *, CASE WHEN seq % 9 = 0 THEN 'Nephrolithiasis' ELSE name_medical END AS nm FROM cond WHERE record_id IS NOT NULL), k AS (SELECT *, k FROM e, (SELECT unnest([0, 1, 2]) AS k) WHERE k < seq % 4),
@@ -298,6 +309,9 @@ SQL = {
  FROM q LEFT JOIN g ON g.k = q.k AND g.px = q.px AND g.py = q.py""",
     "place_first": _BASE + f", x AS (SELECT id AS condition_id, seq, row_number() OVER (PARTITION BY patient_id, {_SYSTEM} ORDER BY seq) AS r FROM cond) SELECT condition_id, (seq % 3)::DOUBLE AS cx, 10.0::DOUBLE AS cy FROM x WHERE r = 1",
     "stream_call_outcome": VIEW_SQL["call_outcome"],
+    "stream_records": view_sql("responses") + """, f AS (SELECT chunk_id, chunk_id % 5 <> 0 AND chunk_id % 7 <> 0 AS c, chunk_id % 2 = 0 AS p FROM responses)
+ SELECT chunk_id AS record_id, o_orderpriority AS name_medical, CASE WHEN chunk_id % 3 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_diagnosed, CASE WHEN p THEN concat('Dr. No', o_custkey % 9) END AS provider_name, 1::BIGINT AS n_mentions
+ FROM f JOIN orders ON o_orderkey = chunk_id WHERE c""",
     "measurement_rows": view_sql("measurements") + "SELECT concat(record_id, '-measurement-', row_number() OVER (PARTITION BY record_id ORDER BY seq) - 1) AS id, record_id, name, value_numeric, unit, coalesce(date, '2024-01-01') AS date FROM measurements",
     "rejected_backups": "SELECT DISTINCT o_custkey AS patient_id, CASE WHEN o_custkey % 5 = 0 THEN 'app' WHEN o_custkey % 7 = 0 THEN 'version' ELSE 'no backup' END AS reason FROM orders WHERE o_custkey % 5 = 0 OR o_custkey % 7 = 0 OR o_custkey % 11 = 0",
     "stream_ingest": "SELECT o_orderkey AS id, o_custkey AS patient_id, round(year(o_orderdate) + ((month(o_orderdate) - 1) * 30.44::DOUBLE + day(o_orderdate)) / 365.25::DOUBLE, 6) AS year_frac FROM orders",

@@ -47,6 +47,33 @@ def stream_ingest(documents: DataFrame, job: Callable[[DataFrame], DataFrame], r
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def record_job(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """The batch job of documents (record_id, text): redact, cut into chunks, read what the model said of each chunk (responses:
+    record_id, chunk_no, content), hand down the report's attribution, and merge the mentions into one row per condition."""
+    from caretrail.functions.scalars import classify_system
+    from caretrail.operators import merge, text
+
+    def job(documents: DataFrame) -> DataFrame:
+        chunks = text.chunk(text.redact(documents.select("record_id", "text", F.lit(None).cast(text.SECTION).alias("sections"))).drop("edits"))
+        by = ["record_id", "chunk_no"]
+        parsed = text.parse_extraction(chunks.select(*by).join(responses, by), by)
+        said = text.inherit_report_attribution(parsed, by).withColumns(
+            {
+                "seq": F.col("chunk_no").cast("long") * 1_000_000 + F.col("line_no"),
+                "organ": F.lit(None).cast("string"),
+                "system": classify_system(F.col("name_medical"), F.col("notes")),
+                "status": F.lit("documented"),
+                "date_diagnosed": F.col("earliest_date"),
+                "provider_name": F.col("provider"),
+                "facility_name": F.col("facility"),
+            }
+        )
+        merged = merge.merge_conditions(said.drop("provider", "facility"), ["record_id"])
+        return merged.select("record_id", "condition_key", "name_medical", "system", "status", "date_diagnosed", "provider_name", "facility_name", "n_mentions")
+
+    return job
+
+
 def keep_current(groups: DataFrame, root: str, store: str, key: list[str], checkpoint: str) -> StreamingQuery:
     """Upserts the groups that a batch changed; with a watermark, state of groups that can no longer change is dropped."""
     apply = lambda batch, n: upsert_batch(batch, n, root, store, key)

@@ -231,3 +231,30 @@ def test_evidence_dates(spark):
     m = spark.createDataFrame([(1, 1, 17.0, "mg/dL", "2001-01-01"), (1, 0, 70.0, "mmol", "1999-01-01"), (1, 2, 170.0, "mg/dL", "2002-01-01"), (1, 3, 6.5, "%", None), (1, 4, 5.0, "%", "2004-01-01"), (2, 1, None, "x", "2000-01-01")], "record_id int, seq int, value_numeric double, unit string, date string")
     got = {(r.record_id, r.seq): r.date_diagnosed for r in rules.attach_measurement_date(inferred, m, ["record_id"]).collect()}
     assert got == {(1, 5): "2001-01-01", (1, 6): None, (2, 1): None}
+
+
+def test_whole_document_answers(spark):
+    content = """{"schema_version":1,"report_context":{"providers":[{"name":1},{"name":"Dr. Report","specialty":null,"email":null,"phone":null,"evidence":null}],
+      "facilities":[{"name":"Clinic","address":null,"city":"Rome","state":null,"country":null}]},
+      "conditions":[{"name_medical":"Gout","system":"other","severity":"mild","date_diagnosed":"2020-01-01","cx":"bad","source_pages":[1,2],"provenance":["p"],"local_names":{"fr":"goutte"}},
+       {"name_medical":"Asthma","provider":{"name":"Dr. Own"},"care_events":[{"event_type":"treated","date":"2019","provider":{"name":"X"},"facility":{"name":"Clinic"}}],"date_onset":"2018","cx":3}],
+      "measurements":[{"name":"LDL","value_numeric":170,"unit":"mg/dL","reference_high":160.5,"flag":"H"}]}"""
+    rest = [(2, "no json"), (3, '{"schema_version":2,"conditions":[],"measurements":[]}'), (4, '{"schema_version":1,"conditions":[]}'), (5, None)]
+    out = text.parse_longitudinal_full(spark.createDataFrame([(1, content), *rest], "document int, content string"), ["document"])
+    gout, asthma = sorted(out["conditions"].collect(), key=lambda r: r["index"])
+    assert (gout.name_medical, gout.severity, gout.cx, gout.source_pages, gout.local_names) == ("Gout", "mild", None, [1, 2], {"fr": "goutte"})
+    assert gout.provider.name == "Dr. Report" and gout.provenance == ["p", "provider:report_context", "facility:report_context"]
+    assert [(e.event_type, e.date, e.provider.name, e.facility.name) for e in gout.care_events] == [("other", "2020-01-01", "Dr. Report", "Clinic")]
+    assert asthma.provider.name == "Dr. Own" and asthma.cx == 3.0 and len(asthma.care_events) == 1 and asthma.provenance == ["facility:report_context"]
+    assert [(r.name, r.value_numeric, r.reference_high, r.flag) for r in out["measurements"].collect()] == [("LDL", 170.0, 160.5, "H")]
+    assert [r.name for r in out["providers"].collect()] == ["Dr. Report"] and [r.city for r in out["facilities"].collect()] == ["Rome"]
+
+
+def test_conditions_from_summaries(spark):
+    s = spark.createDataFrame([(1, 0, "Gout", None, "2020", True, "Ann", "Lab"), (1, 1, "Asthma", None, None, False, "Bob", None)], "patient_id int, index int, name_medical string, notes string, earliest_date string, earliest_date_inherited boolean, provider string, facility string")
+    a = spark.createDataFrame([(1, 0, "musculoskeletal", "suspected", "toe", "Toe", "left", 5.0, 6.0)], "patient_id int, index int, system string, status string, organ string, anatomical_location string, laterality string, cx double, cy double")
+    gout, asthma = sorted(views.join_anatomy(s, a).collect(), key=lambda r: r["index"])
+    assert (gout.status, gout.organ, gout.date_diagnosed, gout.inferred_from_structure, gout.cx) == ("suspected", "toe", "2020", ["date_diagnosed"], 5.0)
+    assert [tuple(x) for x in gout.locations] == [("Toe", "left", 5.0, 6.0, None)] and [x.name for x in gout.facilities] == ["Lab"]
+    assert [(e.event_type, e.date, e.provider.name, e.facility.name) for e in gout.care_events] == [("other", "2020", "Ann", "Lab")]
+    assert (asthma.status, asthma.care_events, asthma.locations, asthma.inferred_from_structure, asthma.facilities) == ("documented", [], [], [], []) and [x.name for x in asthma.providers] == ["Bob"]
