@@ -1,5 +1,9 @@
 """Mixing sources to target weights: tokens per source, repetition rates, then floor(rate) copies plus a Bernoulli one.
 
+The Bernoulli draw is a hash of the document and of one of SEEDS seeds, of which each source takes the one whose draws come nearest
+to its target. So a document's extra copy has the stated probability over ids, but the copies of a source's documents are not
+quite independent. The table of sources, one row each, is sorted in one task.
+
 Defined cases: a null text has size 0; a null source is a source of its own, sorted last; an empty source gets target 0;
 a null doc_id takes part like any other; repeated rows draw the same number and so share their fate; an empty table
 gives an empty mix. Further columns of the input are kept and never looked at.
