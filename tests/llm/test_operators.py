@@ -277,6 +277,33 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_items(empty, bench).count() == 0
 
 
+def test_decontamination_with_a_large_benchmark(spark):
+    """Over 100,000 shingles: the filter lets some others through, the result is the same, and no texts are written."""
+    r = random.Random(17)
+    words = [f"w{k:04}" for k in range(5000)]
+    items = {f"i{k}": [r.choice(words) for _ in range(45)] for k in range(2600)}
+    docs, want = [], {}
+    for d in range(60):
+        text, found = [r.choice(words) for _ in range(r.randrange(5, 300))], {}
+        for _ in range(d % 3):
+            item = f"i{r.randrange(2600)}"
+            at, n = r.randrange(0, 45 - 14), r.randrange(9, 15)
+            text += [r.choice(words), *items[item][at : at + n], "stop"]
+            if n >= 10:
+                found[item] = max(found.get(item, 0), n)
+        docs.append((d, " ".join(text)))
+        want[d] = set(found)
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in items.items()], "item_id string, text string")
+    shingles = decontamination.shingles_of(decontamination.benchmark_windows(bench))
+    n = shingles.select("token").distinct().count()
+    assert n > 100_000
+    got = {x.doc_id: set(x["items"]) for x in decontamination.find_items(df, bench).collect()}
+    assert got == want
+    rows = df.select(decontamination.item_words(F.col("text")).alias("w"))
+    kept = decontamination.with_stretches(rows, shingles).select(F.size("w").alias("w"), F.size("tokens").alias("t"), F.aggregate("stretches", F.lit(0), lambda a, x: a + F.size(x["words"])).alias("s")).agg(F.sum("w"), F.sum("t"), F.sum("s")).first()
+    assert kept[2] < 0.1 * kept[0] and kept[1] < 0.2 * kept[0]
+
+
 def test_line_dedup(spark, empty):
     line, other = "a boilerplate line that many sites have", "another line on nearly as many sites"
     rows = [(i, f"own text of document number {i}\n {line}\t\n" + (other if i < 9 else "tail"), f"site{i}") for i in range(30)]
