@@ -3,8 +3,9 @@
 Candidates come in three steps; each candidate is decided by the exact similarity of the two texts' shingles.
 
 1. Texts that share a bucket: one of BANDS bands of ROWS minima of the shingles' hashes, so that a pair of similarity s shares
-   none with probability (1 - s ** ROWS) ** BANDS (2e-8 at 0.8). Each text of a bucket is compared with the bucket's hub (the
-   text whose buckets hold most others), so a group of thousands costs a comparison a text.
+   none with probability (1 - s ** ROWS) ** BANDS (2e-8 at 0.8). Each text is compared with the heaviest of its buckets' hubs (a
+   bucket's hub is the text whose buckets hold most others), then with the other hubs that are in another component still, so a
+   group of thousands costs about a comparison a text.
 2. Texts of different components whose fingerprints are equal or differ in two bits at most, which meet at their anchors (see
    simhash). Similarity 0.8 means about ten differing bits, so these are only some of the links.
 3. Where a bucket's texts are in different components, the texts outside its largest component are compared with all texts of
@@ -89,10 +90,23 @@ def fingerprint_pairs(placed: DataFrame) -> DataFrame:
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
-    """(text_key, bucket, n) -> each text with the hub of its bucket."""
+    """(text_key, bucket, n) -> each text with the hubs of its buckets; `best` marks the heaviest one."""
     weight = shared.groupBy("text_key").agg(F.sum("n").alias("weight"))
-    hubs = shared.join(weight, "text_key").groupBy("bucket").agg(F.max(F.struct("weight", "text_key"))["text_key"].alias("hub"))
-    return shared.join(hubs, "bucket").where("text_key <> hub").select(*_pair("text_key", "hub"))
+    hubs = shared.join(weight, "text_key").groupBy("bucket").agg(F.max(F.struct("weight", "text_key")).alias("hub"))
+    met = shared.join(hubs, "bucket").groupBy("text_key", "hub").count().where(F.col("text_key") != F.col("hub.text_key"))
+    best = met.groupBy("text_key").agg(F.max("hub").alias("best"))
+    return met.join(best, "text_key").select(*_pair("text_key", "hub.text_key"), (F.col("hub") == F.col("best")).alias("best"))
+
+
+def _components(links: DataFrame) -> DataFrame:
+    return connected_components(links).withColumnRenamed("node", "text_key")
+
+
+def across(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts are in different components."""
+    of = lambda c: component.select(F.col("text_key").alias(c), F.col("component").alias(f"{c}_component"))
+    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return placed.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
 
 def _agreeing(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
@@ -151,8 +165,11 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "
     bands = texts.select("text_key", F.explode("buckets").alias("bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(bands.join(sizes, "bucket"), "near-buckets")
-    first = similar(docs, hub_pairs(shared), percent, text_col)
-    component = connected_components(first).withColumnRenamed("node", "text_key")
+    hubs = materialize(hub_pairs(shared), "near-hubs")
+    first = similar(docs, hubs.where("best").select("a", "b"), percent, text_col)
+    more = similar(docs, across(hubs.where("NOT best").select("a", "b"), _components(first)), percent, text_col)
+    first = first.unionByName(more)
+    component = _components(first)
     placed = texts.join(component, "text_key", "left").select("text_key", "fp", "minima", F.coalesce("component", "text_key").alias("component"))
     placed = materialize(placed, "near-placed")
     rest = similar(docs, fingerprint_pairs(placed).unionByName(other_pairs(shared, placed)), percent, text_col)
