@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, suffix_dedup
+from caretrail.llm import chat, decontamination, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
 }
 
 SQL = {
@@ -22,4 +23,5 @@ SQL = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
+    "op12_spelling_variants": spelling.OP12_SQL,
 }
