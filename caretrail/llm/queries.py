@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, language_model, line_dedup, mixing, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup
+from caretrail.llm import chat, decontamination, language_model, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
     "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
@@ -24,4 +25,5 @@ SQL = {
     "op7_mixing": mixing.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,
     "op12_spelling_variants": spelling.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
