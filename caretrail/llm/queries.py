@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caretrail.llm import chat, decontamination, language_model, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup
+from caretrail.llm import chat, decontamination, html_extraction, language_model, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, secrets, simhash, spelling, suffix_dedup
 
 QUERIES = {
     "op1_secret_scans": secrets.op1_secret_scans,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_simhash_near_dedup": simhash.op9_simhash_near_dedup,
     "op10_benchmark_decontamination": decontamination.op10_benchmark_decontamination,
+    "op11_html_extraction": html_extraction.op11_html_extraction,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
