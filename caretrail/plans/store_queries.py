@@ -202,6 +202,20 @@ def place_conditions(spark, sf):
     return P.place_conditions(c, ["patient_id"]).select("condition_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
+def _unplaced(spark, sf):
+    """Conditions with and without points and locations, of systems as written."""
+    c = _enriched(spark, sf)
+    point = lambda c, k: F.when(C("seq") % k > 0, C(c) * 1.1)
+    return c.select("patient_id", "condition_id", "seq", "name_medical", "system", point("cx", 4).alias("cx"), point("cy", 5).alias("cy"), "locations")
+
+
+def place_masked(spark, sf):
+    """Points from locations, defaults and masks; the plain form is in the tests."""
+    out = P.place_conditions(_unplaced(spark, sf), ["patient_id"], _masks(spark, sf))
+    last = F.get("locations", F.size("locations") - 1)
+    return out.select("condition_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), F.round(last["cx"], 6).alias("last_cx"), F.round(last["cy"], 6).alias("last_cy"))
+
+
 def place_first(spark, sf):
     """The first conditions of each system keep their points, as nothing is there yet."""
     out = place_conditions(spark, sf)
@@ -266,7 +280,7 @@ def rejected_backups(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, secondary_locations, secondary_locations_all, export_backup,
-    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_first, stream_ingest, stream_call_health, stream_call_outcome, stream_records, measurement_rows, rejected_backups,
+    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_masked, place_first, stream_ingest, stream_call_health, stream_call_outcome, stream_records, measurement_rows, rejected_backups,
 )}
 
 _ENR = _BASE + """, e AS (SELECT *, CASE WHEN seq % 9 = 0 THEN 'Nephrolithiasis' ELSE name_medical END AS nm FROM cond WHERE record_id IS NOT NULL), k AS (SELECT *, k FROM e, (SELECT unnest([0, 1, 2]) AS k) WHERE k < seq % 4),

@@ -112,6 +112,18 @@ def test_placement_moves_collisions(spark):
     assert len({got[f"c{i}"] for i in range(4)}) == 4
 
 
+def test_placement_takes_missing_points(spark):
+    rows = [(1, "renal", "a", 1, None, None, "Nephrolithiasis", [(None, 7.0), (1.0, 2.0)]), (1, "kidney", "b", 2, float("nan"), 3.0, "x", []), (1, "odd", "c", 3, None, None, None, None)]
+    c = spark.createDataFrame(rows, "patient_id long, system string, condition_id string, seq long, cx double, cy double, name_medical string, locations array<struct<cx:double,cy:double>>")
+    got = {r.condition_id: r for r in placement.place_conditions(c, ["patient_id"]).collect()}
+    assert got["a"].cy == 7.0 and got["a"].cx == placement._default("renal", "Nephrolithiasis:renal")[0]
+    assert got["b"].cy == 3.0 and got["b"].cx == placement._default("renal", "x:kidney")[0]
+    assert (got["c"].cx, got["c"].cy) == placement._default("integumentary", ":odd") and got["c"].locations == []
+    assert [tuple(p) for p in got["a"].locations] == [(None, 7.0), (1.0, 2.0)]
+    empty = spark.createDataFrame([], "system string, width int, height int, alpha binary")
+    assert placement.place_conditions(c.limit(0), ["patient_id"], empty).count() == 0
+
+
 def test_visibility_keeps_null_records(spark):
     c = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", None), (2, "d", 3)], "patient_id long, id string, record_id long")
     h = spark.createDataFrame([(1, 1, "demo"), (1, 2, None), (2, 3, "demo")], "patient_id long, id long, record_type string")

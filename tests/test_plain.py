@@ -42,6 +42,55 @@ def test_place_conditions(spark):
     assert got == want and len(got) == len(c)
 
 
+def test_place_with_masks_and_without_points(spark):
+    """Nearest pixels by trying rings one after the other; points compared with all points before them."""
+    masks = {}
+    for r in store_queries._masks(spark, SF).collect():
+        masks[r.system] = (r.width, r.height, [[r.alpha[y * r.width + x] > 0 for x in range(r.width)] for y in range(r.height)])
+
+    def repair(system, x, y):
+        w, h, opaque = masks[system]
+        x, y = min(max(x, 0), 100), min(max(y, 0), 100)
+        i, j = int(x / 100 * (w - 1) + 0.5), int(y / 100 * (h - 1) + 0.5)
+        for ring in range(max(w, h)):
+            found = [((p - i) ** 2 + (q - j) ** 2, q, p) for q in range(h) for p in range(w) if max(abs(p - i), abs(q - j)) == ring and opaque[q][p]]
+            if found:
+                _, q, p = min(found)
+                return (x, y) if ring == 0 else (p / (w - 1) * 100, q / (h - 1) * 100)
+        return None
+
+    def spot(system, seed):
+        out = []
+        for salt, anchor, (low, high) in ((R.SALT_X, R.ANCHORS[system][0], R.PLACE_X), (R.SALT_Y, R.ANCHORS[system][1], R.PLACE_Y)):
+            h = salt
+            for c in seed:
+                h = (h * 31 + ord(c)) & 0xFFFFFFFF
+            out.append(min(max(anchor + h % 900 / 100 - 4.5, low), high))
+        return tuple(out)
+
+    rows = store_queries._unplaced(spark, SF).withColumn("norm", S.normalize_system(F.col("system"))).collect()
+    taken, want, moved = {}, {}, 0
+    for r in sorted(rows, key=lambda r: (r.patient_id, r.seq)):
+        masked = r.system in masks
+        x, y, spots = r.cx, r.cy, [[p.cx, p.cy] for p in r.locations]
+        if masked:
+            x, y = (None, None) if x is None or y is None else repair(r.system, x, y) or (None, None)
+            spots = [list(repair(r.system, *p) or (None, None)) if None not in p else p for p in spots]
+        head = spots[0] if spots and "nephrolith" in r.name_medical.lower() else (None, None)
+        base = spot(r.norm, f"{r.name_medical}:{r.system}")
+        p = tuple(next(v for v in options if v is not None) for options in zip(head, (x, y), base, strict=True))
+        mine, k = taken.setdefault((r.patient_id, r.norm), []), 0
+        while k < 8 and any(abs(a - p[0]) < 0.5 and abs(b - p[1]) < 0.5 for a, b in mine):
+            k, moved = k + 1, moved + 1
+            p = spot(r.norm, f"{r.condition_id}:collision{k}")
+            p = masked and repair(r.system, *p) or p
+        mine.append(p)
+        p = masked and repair(r.system, *p) or p
+        want[r.condition_id] = tuple(None if v is None else round(v, 6) for v in (*p, *(spots[-1] if spots else (None, None))))
+    got = {r.condition_id: tuple(r)[1:] for r in store_queries.place_masked(spark, SF).collect()}
+    assert got == want and moved > 10 and any(r.system in masks for r in rows) and any(r.cx is None for r in rows)
+
+
 def plain_chunks(text, sections, longest, shortest=200):
     """Chunks by the rules' wording: where sections start, short ones run on, long ones break at blank lines, then by length."""
     starts, at = [], 0
