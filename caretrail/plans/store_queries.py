@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caretrail.functions import scalars as S
 from caretrail.operators import placement as P
+from caretrail.operators import views as V
 from caretrail.plans.bindings import base, bind, view_sql
 from caretrail.plans.scalar_queries import _ANCHOR, _HASH, _SYSTEM
 from caretrail.plans.view_queries import _BASE, _LOC_SQL, _conditions, _locations
 from caretrail.plans.view_queries import SQL as VIEW_SQL
+from caretrail.schemas import STORES
 from caretrail.sources import backup as B
 from caretrail.sources import documents as D
 from caretrail.sources import store as ST
@@ -119,6 +122,43 @@ def normalize_enriched(spark, sf):
     return out.unionByName(t["health_records"].select(F.lit("health_records").alias("store"), C("id").cast("string"), C("filename").alias("a")))
 
 
+def _located(spark, sf):
+    """Mentions with the model's anatomy, with people and places nested, as join_anatomy gives them."""
+    m = bind(spark, sf, "condition_mentions")
+    n = C("seq")
+    person = F.struct(C("provider_name").alias("name"), F.when(n % 2 == 0, "Cardiology").alias("specialty"), F.concat(F.lit("p"), n.cast("string"), F.lit("@x.example")).alias("email"))
+    place = F.struct(C("facility_name").alias("name"), F.lit("Main St").alias("address"))
+    s = m.select("patient_id", "record_id", n.alias("index"), F.when(n % 7 == 0, "Nephrolithiasis").otherwise(C("name_medical")).alias("name_medical"), F.when(n % 3 == 0, "seen twice").alias("notes"), C("date_diagnosed").alias("earliest_date"), C("date_inherited").alias("earliest_date_inherited"), F.when(n % 5 > 0, person).alias("provider"), F.when(n % 4 > 0, place).alias("facility"))
+    a = m.select("patient_id", n.alias("index"), "system", "status", "organ", F.when(n % 3 > 0, "left").alias("laterality"), F.concat(F.lit("part "), (n % 9).cast("string")).alias("anatomical_location"), (n % 40).cast("double").alias("cx"), (n % 30).cast("double").alias("cy"))
+    return V.join_anatomy(s, a).withColumns({"condition_id": F.concat(C("patient_id").cast("string"), F.lit(":"), C("index").cast("string")), "seq": C("index")})
+
+
+def normalize_stores(spark, sf):
+    """All ten stores of the located mentions, written, read back and checked: their rows, and no violation."""
+    e = written(_located(spark, sf), "located")
+    placed = e.select("condition_id", (C("cx") + 50).alias("cx"), C("cy"))
+    m = bind(spark, sf, "measurements").withColumn("patient_id", C("record_id"))
+    records = e.select("patient_id", "record_id").unionByName(m.select("patient_id", "record_id")).distinct().withColumns({"filename": F.concat(C("record_id").cast("string"), F.lit(".pdf")), "page_count": F.lit(2)})
+    root = _folder(spark)
+    ST.write_stores(ST.normalize(e, placed, "2024-01-01", m, records=records), root)
+    stores = {name: ST.read_store(spark, root, name) for name in STORES}
+    shown = {
+        "health_records": ["filename", "page_count"], "conditions": ["name_common", "record_id", "system", "organ", "anatomical_location", "status", "cx", "date", "note", "inferred_fields"], "condition_locations": ["condition_id", "cx", "cy", "is_primary", "laterality"],
+        "providers": ["record_id", "condition_id", "name", "specialty", "email"], "facilities": ["condition_id", "name", "address"], "condition_care_events": ["condition_id", "event_type", "date", "provider_name", "provider_specialty", "facility_name", "facility_address"],
+        "measurements": ["record_id", "name", "unit", "date"],
+    }
+
+    def shot(name, rows):
+        text = lambda f: C(f.name).cast("int").cast("string") if isinstance(f.dataType, T.DoubleType) else F.array_join(f.name, ",") if isinstance(f.dataType, T.ArrayType) else C(f.name).cast("string")
+        said = [F.coalesce(text(rows.schema[c]), F.lit("-")) for c in shown.get(name, [])]
+        return rows.select(F.lit(name).alias("store"), "patient_id", "id", F.concat_ws("|", *said).alias("said"))
+
+    out = B.validate_backup(stores).where("rule <> 'loose'").select(F.lit("violation").alias("store"), C("store").alias("patient_id"), "id", C("rule").alias("said"))
+    for name, rows in stores.items():
+        out = out.unionByName(shot(name, rows))
+    return out
+
+
 def secondary_locations(spark, sf):
     e = _enriched(spark, sf).withColumn("_x", C("cx")).withColumn("_y", C("cy"))
     return ST.secondary_locations(e).select("id", "condition_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
@@ -279,7 +319,7 @@ def rejected_backups(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, secondary_locations, secondary_locations_all, export_backup,
+    assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, normalize_stores, secondary_locations, secondary_locations_all, export_backup,
     import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_masked, place_first, stream_ingest, stream_call_health, stream_call_outcome, stream_records, measurement_rows, rejected_backups,
 )}
 
@@ -299,6 +339,19 @@ SQL = {
     "pending_outbox": "SELECT o_orderkey * 2 AS id, concat('f', o_orderkey) AS filename FROM orders WHERE o_orderkey * 2 NOT IN (SELECT o_orderkey FROM orders)",
     "persist_counts": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id, count(*) AS n FROM condition_mentions GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
     "persist_counts_all": view_sql("condition_mentions", "measurements") + ", c AS (SELECT record_id % 500 AS record_id, count(*) AS n FROM condition_mentions GROUP BY 1), m AS (SELECT record_id, count(*) AS n FROM measurements GROUP BY 1) SELECT record_id, coalesce(c.n, 0)::BIGINT AS condition_count, coalesce(m.n, 0)::BIGINT AS measurement_count FROM c FULL JOIN m USING (record_id)",
+    "normalize_stores": view_sql("condition_mentions", "measurements") + """, m AS (SELECT *, concat(patient_id, ':', seq) AS cid, CASE WHEN seq % 7 = 0 THEN 'Nephrolithiasis' ELSE name_medical END AS nm, coalesce(date_diagnosed, '-') AS d,
+ seq % 3 > 0 AS lat, seq % 5 > 0 AND provider_name IS NOT NULL AS pr, seq % 4 > 0 AS fa, concat('part ', seq % 9) AS part FROM condition_mentions),
+ r AS (SELECT patient_id, record_id FROM m UNION SELECT record_id, record_id FROM measurements),
+ k AS (SELECT record_id, concat(record_id, '-measurement-', row_number() OVER (PARTITION BY record_id ORDER BY seq) - 1) AS id, concat_ws('|', record_id, name, unit, coalesce(date, '2024-01-01')) AS said FROM measurements)
+ SELECT 'health_records' AS store, patient_id::VARCHAR AS patient_id, record_id::VARCHAR AS id, concat(record_id, '.pdf|2') AS said FROM r
+ UNION ALL SELECT 'conditions', patient_id::VARCHAR, cid, concat_ws('|', nm, record_id, system, coalesce(organ, '-'), part, status, seq % 40 + 50, d, CASE WHEN seq % 3 = 0 THEN 'seen twice' ELSE '-' END, CASE WHEN date_inherited THEN 'date_diagnosed' ELSE '-' END) FROM m
+ UNION ALL SELECT 'condition_locations', patient_id::VARCHAR, concat(cid, '-primary'), concat_ws('|', cid, seq % 40 + 50, seq % 30, 'true', CASE WHEN lat AND seq % 7 = 0 THEN 'left' ELSE '-' END) FROM m
+ UNION ALL SELECT 'condition_locations', patient_id::VARCHAR, concat(cid, '-loc-0'), concat_ws('|', cid, seq % 40, seq % 30, 'false', 'left') FROM m WHERE lat AND seq % 7 > 0
+ UNION ALL SELECT 'condition_care_events', patient_id::VARCHAR, concat(cid, '-care-0'), concat_ws('|', cid, 'other', d, provider_name, CASE WHEN seq % 2 = 0 THEN 'Cardiology' ELSE '-' END, CASE WHEN fa THEN facility_name ELSE '-' END, CASE WHEN fa THEN 'Main St' ELSE '-' END) FROM m WHERE pr AND date_diagnosed IS NOT NULL
+ UNION ALL SELECT 'providers', patient_id::VARCHAR, x, concat_ws('|', record_id, cid, provider_name, CASE WHEN seq % 2 = 0 THEN 'Cardiology' ELSE '-' END, concat('p', seq, '@x.example'))
+  FROM (SELECT *, unnest(CASE WHEN date_diagnosed IS NOT NULL THEN [concat(cid, '-care-0-provider'), concat(cid, '-provider')] ELSE [concat(cid, '-provider')] END) AS x FROM m WHERE pr)
+ UNION ALL SELECT 'facilities', patient_id::VARCHAR, concat(cid, '-facility-0'), concat_ws('|', cid, facility_name, 'Main St') FROM m WHERE fa
+ UNION ALL SELECT 'measurements', record_id::VARCHAR, id, said FROM k""",
     "normalize_enriched": _ENR + """SELECT 'conditions' AS store, id, date AS a FROM e UNION ALL SELECT DISTINCT 'health_records', record_id::VARCHAR, concat('record-', record_id, '.pdf') FROM e
  UNION ALL SELECT 'condition_locations', concat(id, '-primary'), id FROM e UNION ALL SELECT 'condition_locations', concat(id, '-loc-', k), id FROM k WHERE k > 0
  UNION ALL SELECT 'condition_care_events', concat(id, '-care-', n), pn FROM ev UNION ALL SELECT 'providers', concat(id, '-care-', n, '-provider'), pn FROM ev
