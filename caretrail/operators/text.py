@@ -78,8 +78,15 @@ def find_edits(text: str, rules) -> list[tuple[int, int, str]]:
 
 
 def redact(docs: DataFrame, rules=None, text_col: str = "text") -> DataFrame:
-    """Replaces personal data; adds `edits` (code-point spans of the original text). Matches come from the original text."""
+    """Replaces personal data; adds `edits` (code-point spans of the original text). Matches come from the original text.
+
+    rules: (replacement, pattern) in order of precedence, or a table (rank, replacement, pattern) of rule_tables.PATTERNS at most.
+    """
     rules = REDACTION_RULES if rules is None else rules
+    if isinstance(rules, DataFrame):
+        from caretrail.operators.rule_tables import rows_of
+
+        rules = [(r.replacement, r.pattern) for r in rows_of(rules, ["rank", "replacement", "pattern"])]
 
     @F.pandas_udf(REDACTED)
     def redacted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
