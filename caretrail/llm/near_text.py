@@ -8,10 +8,16 @@ Candidates come in three steps; each candidate is decided by the exact similarit
    group of thousands costs about a comparison a text.
 2. Texts of different components whose fingerprints are equal or differ in two bits at most, which meet at their anchors (see
    simhash). Similarity 0.8 means about ten differing bits, so these are only some of the links.
-3. Where a bucket's texts are in different components, the texts outside its largest component are compared with all texts of
-   the other components: in a bucket of CROWD texts or fewer pair by pair; in a larger one in blocks of BLOCK texts, where
-   pairs whose minima agree in too few places are left out (one of similarity 0.8 is lost with probability 2e-6). So no bucket
-   is capped.
+3. Where a bucket's texts are in different components, they are open. Open texts of different components that agree in two
+   neighbouring minima are compared, unless more than COMMON open texts agree in those two: such keys come from what a template
+   gives to all its pages. Texts of which more than DOMINATED keys are that common have little of their own; they are compared
+   with each other within their buckets, in blocks of BLOCK texts, where the shingles that others of them have too are enough for
+   the similarity (exact: what a text has alone cannot count). Either way pairs whose minima agree in fewer than LEAST_AGREE
+   places are left out (one of similarity 0.8 is lost with probability 2e-6). The rule is the same at every size and no bucket
+   is capped. A pair of similarity 0.8 of which a template is two thirds shares no other key with probability 3e-6; one that is
+   similar by the template alone is lost with probability 1e-3 at most, if it is not linked by step 1, which compares such texts
+   with their hub. Comparisons are COMMON times the keys of the open texts at most, but for texts of which a template is more
+   than about four fifths.
 
 Defined cases: null and wordless texts are one text without words; fewer words than a shingle make one shingle; A-Z count as
 lower case; equal texts share a group; shingles and texts are compared by their 64-bit hashes.
@@ -33,7 +39,9 @@ from caretrail.llm.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 26, 3
-CROWD, BLOCK = 8, 1024
+BLOCK = 1024
+#: Keys that more open texts have are common; texts with more common keys, of BANDS * ROWS / 2, are compared within their buckets.
+COMMON, DOMINATED = 64, 24
 #: Of BANDS * ROWS minima, so many agree at least at similarity 0.8, but for 2 pairs in a million (binomial tail).
 LEAST_AGREE = 45
 SEED = 42
@@ -109,48 +117,106 @@ def across(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return placed.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
 
 
-def _agreeing(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block of queries and one of members that are in different components and whose minima agree often enough."""
+def _agreeing(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs of a block of queries and one of members that are in different components, whose minima agree often enough, and
+    whose shingles that other texts have are enough for the similarity."""
     found = {"a": [], "b": []}
     if len(queries) and len(members):
         m = np.frombuffer(b"".join(members["minima"]), "<u4").reshape(len(members), -1)
-        keys, comps = members["text_key"].to_numpy(), members["component"].to_numpy()
-        for k, c, x in zip(queries["text_key"], queries["component"], queries["minima"], strict=True):
-            hit = keys[(comps != c) & ((m == np.frombuffer(x, "<u4")).sum(axis=1) >= LEAST_AGREE)]
-            found["a"] += np.minimum(hit, k).tolist()
-            found["b"] += np.maximum(hit, k).tolist()
+        keys, comps, sizes, often, seldom = (members[c].to_numpy() for c in ("text_key", "component", "size", "often", "seldom"))
+        for k, c, x, size, most, few in queries[["text_key", "component", "minima", "size", "often", "seldom"]].itertuples(index=False):
+            common = np.minimum(often, most) + np.minimum(seldom, few)
+            at = np.flatnonzero((comps != c) & ((100 + percent) * common >= percent * (sizes + size)))
+            same = m[at] == np.frombuffer(x, "<u4")
+            # a pair counts in the first of its buckets only
+            at = at[(same.sum(axis=1) >= LEAST_AGREE) & (same.reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == queries["band"].iat[0])]
+            found["a"] += np.minimum(keys[at], k).tolist()
+            found["b"] += np.maximum(keys[at], k).tolist()
     return pd.DataFrame(found, dtype="int64")
 
 
-def other_pairs(shared: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of buckets whose texts are in several components: those outside the largest one with all of other components."""
-    placed = shared.join(texts.select("text_key", "component"), "text_key")
-    of = placed.groupBy("bucket", "component").agg(F.count("*").alias("m"))
-    open_ = of.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("k"), (F.sum("m") - F.max("m")).alias("outside")).where("k > 1")
-    rest = materialize(placed.join(open_.select("bucket", "main", "outside"), "bucket"), "near-rest")
-    few = rest.where(F.col("n") <= CROWD).groupBy("bucket").agg(F.collect_list(F.struct("text_key", "component")).alias("k"))
-    few = few.select(F.explode("k").alias("x"), "k").select(F.col("x.text_key").alias("a"), F.explode(F.filter("k", lambda y: (y["text_key"] > F.col("x.text_key")) & (y["component"] != F.col("x.component")))).alias("y"))
-    few = few.select("a", F.col("y.text_key").alias("b"))
-    many = rest.where(F.col("n") > CROWD).join(texts.select("text_key", "minima"), "text_key")
+@F.pandas_udf(T.IntegerType())
+def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
+    """In how many places the minima of two texts agree."""
+    if not len(a):
+        return pd.Series([], dtype="int32")
+    x, y = (np.frombuffer(b"".join(c), "<u4").reshape(len(c), -1) for c in (a, b))
+    return pd.Series((x == y).sum(axis=1).astype("int32"))
+
+
+def pair_keys(open_: DataFrame) -> DataFrame:
+    """(text_key, component, key, c): the hashes of each text's minima taken two by two that another open text has too."""
+    at = F.sequence(F.lit(0), F.lit(BANDS * ROWS // 2 - 1))
+    keys = open_.select("text_key", "component", F.explode(F.transform(at, lambda i: F.xxhash64(i, F.substr("minima", i * 8 + 1, F.lit(8))))).alias("key"))
+    counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    return materialize(keys.join(counts, "key"), "near-keys")
+
+
+def rare_pairs(keyed: DataFrame, open_: DataFrame) -> DataFrame:
+    """Pairs of different components that have a key in common which COMMON texts have at most, if their minima agree enough."""
+    few = keyed.where(F.col("c") <= COMMON).groupBy("key").agg(F.collect_list(F.struct("text_key", "component")).alias("k"))
+    few = few.where(F.size(F.array_distinct("k.component")) > 1).select(F.explode("k").alias("x"), "k")
+    few = few.select(F.col("x.text_key").alias("a"), F.explode(F.filter("k", lambda y: (y["text_key"] > F.col("x.text_key")) & (y["component"] != F.col("x.component")))["text_key"]).alias("b")).distinct()
+    of = lambda c: open_.select(F.col("text_key").alias(c), F.col("minima").alias(f"{c}_minima"))
+    return few.join(of("a"), "a").join(of("b"), "b").where(agreeing("a_minima", "b_minima") >= LEAST_AGREE).select("a", "b")
+
+
+def shared_sizes(docs: DataFrame, keys: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+    """(text_key, size, often, seldom): a text's shingles, and how many of them more than COMMON texts of `keys` have, or others
+    of them but fewer; texts that therefore cannot be similar to any of them are left out."""
+    needed = materialize(keys.select(F.col("text_key").alias("key")).distinct(), "near-plain")
+    sets = shingle_sets(docs, needed, text_col)
+    each = sets.select("key", F.explode("s").alias("shingle"))
+    met = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle", (F.col("n") > COMMON).cast("int").alias("often"))
+    held = each.join(met, "shingle").groupBy("key").agg(F.sum("often").cast("int").alias("often"), F.sum(1 - F.col("often")).cast("int").alias("seldom"))
+    out = sets.select("key", "size").join(held, "key").where(100 * (F.col("often") + F.col("seldom")) >= percent * F.col("size"))
+    return materialize(out.withColumnRenamed("key", "text_key"), "near-held")
+
+
+def common_pairs(docs: DataFrame, keyed: DataFrame, rest: DataFrame, open_: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+    """Pairs of different components in a bucket whose texts have little but what many texts have, by blocks."""
+    plain = keyed.where(F.col("c") > COMMON).groupBy("text_key").agg(F.count("*").alias("k")).where(F.col("k") > DOMINATED)
+    held = shared_sizes(docs, plain, percent, text_col)
+    left = rest.select("bucket", "band", "text_key", "component").join(held, "text_key")
+    of = left.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    sizes = of.groupBy("bucket").agg(F.max(F.struct("m", "component"))["component"].alias("main"), F.count("*").alias("k"), F.sum("m").alias("n"), (F.sum("m") - F.max("m")).alias("outside")).where("k > 1")
+    many = left.join(sizes, "bucket").join(open_.select("text_key", "minima"), "text_key")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     mine = lambda n: F.pmod(F.xxhash64("text_key"), blocks(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     side = ["bucket", "query_block", "member_block"]
-    fields = [F.col(c).alias(c) for c in (*side, "text_key", "component", "minima")]  # new columns, as both sides come from one table
+    fields = [F.col(c).alias(c) for c in (*side, "band", "text_key", "component", "minima", "size", "often", "seldom")]  # new columns, as both sides come from one table
     queries = many.where("component <> main").withColumn("query_block", mine("outside")).withColumn("member_block", each("n")).select(*fields)
     members = many.withColumn("member_block", mine("n")).withColumn("query_block", each("outside")).select(*fields)
-    blocked = queries.groupBy(*side).cogroup(members.groupBy(*side)).applyInPandas(_agreeing, "a long, b long")
-    return few.unionByName(blocked)
 
+    def compare(key, q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        return _agreeing(q, m, percent)
 
-def similar(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
-    """Of pairs (a, b) of text_keys those whose shingles' similarity is percent / 100 or more."""
-    pairs = materialize(pairs.distinct(), "near-pairs")
-    needed = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-needed")
+    return queries.groupBy(*side).cogroup(members.groupBy(*side)).applyInPandas(compare, "a long, b long")
+
+
+def other_pairs(docs: DataFrame, shared: DataFrame, texts: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+    """The pairs that are left in buckets whose texts are in several components."""
+    placed = shared.join(texts.select("text_key", "component"), "text_key")
+    several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    rest = materialize(placed.select("bucket", "band", "text_key", "component").join(several, "bucket"), "near-rest")
+    open_ = materialize(texts.select("text_key", "component", "minima").join(rest.select("text_key").distinct(), "text_key"), "near-open")
+    keyed = pair_keys(open_)
+    return rare_pairs(keyed, open_).unionByName(common_pairs(docs, keyed, rest, open_, percent, text_col))
+
+
+def shingle_sets(docs: DataFrame, needed: DataFrame, text_col: str = "text") -> DataFrame:
+    """(key, s, size): the distinct shingles of the texts whose keys are needed (key, written already)."""
     passes = bit_filter(needed)
     keyed = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
     texts = keyed.where(passes(F.col("key"))).join(needed, "key", "left_semi").dropDuplicates(["key"])
-    sets = materialize(texts.select("key", shingles("text").alias("s")).withColumn("size", F.size("s")), "near-shingles")
+    return materialize(texts.select("key", shingles("text").alias("s")).withColumn("size", F.size("s")), "near-shingles")
+
+
+def similar(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+    """Of pairs (a, b) of text_keys those whose shingles' similarity is percent / 100 or more."""
+    pairs = materialize(pairs.distinct(), "near-pairs")
+    sets = shingle_sets(docs, materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-needed"), text_col)
     # the sizes alone bound the similarity: the sets are joined only where it can be reached
     size = lambda c, n: sets.select(F.col("key").alias(c), F.col("size").alias(n))
     fit = pairs.join(size("a", "m"), "a").join(size("b", "n"), "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
@@ -162,7 +228,7 @@ def similar(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str = "te
 def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
     """Links (a, b) between text_keys: every two similar texts are in one component of them."""
     texts = materialize(rows.select("text_key", "fp", "buckets", "minima").dropDuplicates(["text_key"]), "near-texts")
-    bands = texts.select("text_key", F.explode("buckets").alias("bucket"))
+    bands = texts.select("text_key", F.posexplode("buckets").alias("band", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(bands.join(sizes, "bucket"), "near-buckets")
     hubs = materialize(hub_pairs(shared), "near-hubs")
@@ -172,7 +238,7 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "
     component = _components(first)
     placed = texts.join(component, "text_key", "left").select("text_key", "fp", "minima", F.coalesce("component", "text_key").alias("component"))
     placed = materialize(placed, "near-placed")
-    rest = similar(docs, fingerprint_pairs(placed).unionByName(other_pairs(shared, placed)), percent, text_col)
+    rest = similar(docs, fingerprint_pairs(placed).unionByName(other_pairs(docs, shared, placed, percent, text_col)), percent, text_col)
     return first.unionByName(rest)
 
 
