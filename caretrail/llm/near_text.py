@@ -4,8 +4,7 @@ Candidates come in three steps; each candidate is decided by the exact similarit
 
 1. Texts that share a bucket: one of BANDS bands of ROWS minima of the shingles' hashes, so that a pair of similarity s shares
    none with probability (1 - s ** ROWS) ** BANDS (2e-8 at 0.8). Each text is compared with the heaviest of its buckets' hubs (a
-   bucket's hub is the text whose buckets hold most others), then with the other hubs that are in another component still, so a
-   group of thousands costs about a comparison a text.
+   bucket's hub is the text whose buckets hold most others), so a group of thousands costs a comparison a text.
 2. Texts of different components whose fingerprints are equal or differ in two bits at most, which meet at their anchors (see
    simhash). Similarity 0.8 means about ten differing bits, so these are only some of the links.
 3. Where a bucket's texts are in different components, they are open. Open texts of different components that agree in two
@@ -98,25 +97,17 @@ def fingerprint_pairs(placed: DataFrame) -> DataFrame:
 
 
 def hub_pairs(shared: DataFrame) -> DataFrame:
-    """(text_key, bucket, n) -> each text with the hubs of its buckets; `best` marks the heaviest one."""
+    """(text_key, bucket, n) -> each text with the heaviest of its buckets' hubs."""
     weight = shared.groupBy("text_key").agg(F.sum("n").alias("weight"))
     hubs = shared.join(weight, "text_key").groupBy("bucket").agg(F.max(F.struct("weight", "text_key")).alias("hub"))
-    met = shared.join(hubs, "bucket").groupBy("text_key", "hub").count().where(F.col("text_key") != F.col("hub.text_key"))
-    best = met.groupBy("text_key").agg(F.max("hub").alias("best"))
-    return met.join(best, "text_key").select(*_pair("text_key", "hub.text_key"), (F.col("hub") == F.col("best")).alias("best"))
+    best = shared.join(hubs, "bucket").where(F.col("text_key") != F.col("hub.text_key")).groupBy("text_key").agg(F.max("hub").alias("best"))
+    return best.select(*_pair("text_key", "best.text_key"))
 
 
 def _components(links: DataFrame) -> DataFrame:
     return connected_components(links).withColumnRenamed("node", "text_key")
 
 
-def across(pairs: DataFrame, component: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are in different components."""
-    of = lambda c: component.select(F.col("text_key").alias(c), F.col("component").alias(f"{c}_component"))
-    placed = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return placed.where(F.coalesce("a_component", "a") != F.coalesce("b_component", "b")).select("a", "b")
-
-
 def _agreeing(queries: pd.DataFrame, members: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Pairs of a block of queries and one of members that are in different components, whose minima agree often enough, and
     whose shingles that other texts have are enough for the similarity."""
@@ -144,6 +135,12 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(axis=1).astype("int32"))
 
 
+def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose minima agree often enough; texts: text_key, minima."""
+    of = lambda c: texts.select(F.col("text_key").alias(c), F.col("minima").alias(f"{c}_minima"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(agreeing("a_minima", "b_minima") >= LEAST_AGREE).select("a", "b")
+
+
 def pair_keys(open_: DataFrame) -> DataFrame:
     """(text_key, component, key, c): the hashes of each text's minima taken two by two that another open text has too."""
     at = F.sequence(F.lit(0), F.lit(BANDS * ROWS // 2 - 1))
@@ -157,8 +154,7 @@ def rare_pairs(keyed: DataFrame, open_: DataFrame) -> DataFrame:
     few = keyed.where(F.col("c") <= COMMON).groupBy("key").agg(F.collect_list(F.struct("text_key", "component")).alias("k"))
     few = few.where(F.size(F.array_distinct("k.component")) > 1).select(F.explode("k").alias("x"), "k")
     few = few.select(F.col("x.text_key").alias("a"), F.explode(F.filter("k", lambda y: (y["text_key"] > F.col("x.text_key")) & (y["component"] != F.col("x.component")))["text_key"]).alias("b")).distinct()
-    of = lambda c: open_.select(F.col("text_key").alias(c), F.col("minima").alias(f"{c}_minima"))
-    return few.join(of("a"), "a").join(of("b"), "b").where(agreeing("a_minima", "b_minima") >= LEAST_AGREE).select("a", "b")
+    return likely(few, open_)
 
 
 def shared_sizes(docs: DataFrame, keys: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
@@ -195,12 +191,12 @@ def common_pairs(docs: DataFrame, keyed: DataFrame, rest: DataFrame, open_: Data
     return queries.groupBy(*side).cogroup(members.groupBy(*side)).applyInPandas(compare, "a long, b long")
 
 
-def other_pairs(docs: DataFrame, shared: DataFrame, texts: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
+def other_pairs(docs: DataFrame, shared: DataFrame, texts: DataFrame, met: DataFrame, percent: int, text_col: str = "text") -> DataFrame:
     """The pairs that are left in buckets whose texts are in several components."""
     placed = shared.join(texts.select("text_key", "component"), "text_key")
     several = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     rest = materialize(placed.select("bucket", "band", "text_key", "component").join(several, "bucket"), "near-rest")
-    open_ = materialize(texts.select("text_key", "component", "minima").join(rest.select("text_key").distinct(), "text_key"), "near-open")
+    open_ = materialize(met.join(rest.select("text_key", "component").distinct(), "text_key"), "near-open")
     keyed = pair_keys(open_)
     return rare_pairs(keyed, open_).unionByName(common_pairs(docs, keyed, rest, open_, percent, text_col))
 
@@ -231,14 +227,13 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "
     bands = texts.select("text_key", F.posexplode("buckets").alias("band", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = materialize(bands.join(sizes, "bucket"), "near-buckets")
-    hubs = materialize(hub_pairs(shared), "near-hubs")
-    first = similar(docs, hubs.where("best").select("a", "b"), percent, text_col)
-    more = similar(docs, across(hubs.where("NOT best").select("a", "b"), _components(first)), percent, text_col)
-    first = first.unionByName(more)
+    # only texts that share a bucket are compared by their minima
+    met = materialize(texts.select("text_key", "minima").join(shared.select("text_key").distinct(), "text_key"), "near-met")
+    first = similar(docs, likely(hub_pairs(shared).distinct(), met), percent, text_col)
     component = _components(first)
-    placed = texts.join(component, "text_key", "left").select("text_key", "fp", "minima", F.coalesce("component", "text_key").alias("component"))
+    placed = texts.join(component, "text_key", "left").select("text_key", "fp", F.coalesce("component", "text_key").alias("component"))
     placed = materialize(placed, "near-placed")
-    rest = similar(docs, fingerprint_pairs(placed).unionByName(other_pairs(docs, shared, placed, percent, text_col)), percent, text_col)
+    rest = similar(docs, fingerprint_pairs(placed).unionByName(other_pairs(docs, shared, placed, met, percent, text_col)), percent, text_col)
     return first.unionByName(rest)
 
 
