@@ -22,9 +22,10 @@ def write_store(rows: DataFrame, root: str, name: str) -> None:
 
 
 def upsert(current: DataFrame, changes: DataFrame, key: list[str], order: str = "seq") -> DataFrame:
-    """Insert or replace by key; the last change wins. current has no order column."""
+    """Insert or replace by key; the last change wins, and of changes with one order the one that is largest as JSON. current
+    has no order column; rows with a null order count as earlier than others, and as what is stored does."""
     old = current.withColumn(order, F.lit(None).cast(changes.schema[order].dataType))
-    latest = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last()))
+    latest = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc_nulls_last(), F.to_json(F.struct(*current.columns)).desc()))
     return old.unionByName(changes).withColumn("_n", latest).where("_n = 1").drop("_n", order)
 
 

@@ -25,25 +25,25 @@ def read_snapshot(spark: SparkSession, root: str, store: str) -> DataFrame:
     return spark.read.parquet(*paths)
 
 
-def upsert_batch(rows: DataFrame, n: int, root: str, store: str, key: list[str], buckets: int = BUCKETS) -> None:
-    """Writes batch n's rows into the store. Only the buckets they fall into are read and written again, beside their earlier
+def upsert_batch(rows: DataFrame, n: int, root: str, store: str, key: list[str], buckets: int = BUCKETS, order: str | None = None) -> None:
+    """Writes batch n's rows into the store; of a batch's rows with one key the one that is last by the column `order` stays. Only the buckets they fall into are read and written again, beside their earlier
     versions, so a batch that is tried again starts from what was there before it and gives the same."""
     from caretrail.sources.store import upsert
 
     spark = rows.sparkSession
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
-    rows = rows.withColumn("seq", F.lit(n).cast("long"))
+    rows = rows.withColumn("_seq", F.struct(F.lit(n).cast("long").alias("n"), *([F.col(order).alias("o")] if order else [])))
     touched = [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
     old = _latest(spark, root, store, n) if n else {}
     paths = [f"{root}/{store}/batch={old[b]}/bucket={b}" for b in touched if b in old]
-    current = spark.read.schema(rows.drop("seq").schema).parquet(*paths) if paths else rows.drop("seq").limit(0)
-    upsert(current, rows, key).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{store}/batch={n}")
+    current = spark.read.schema(rows.drop("_seq").schema).parquet(*paths) if paths else rows.drop("_seq").limit(0)
+    upsert(current, rows, key, "_seq").withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{store}/batch={n}")
     spark.createDataFrame([(b, n) for b in touched], "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/{store}-index/part-{n}")
 
 
-def stream_ingest(documents: DataFrame, job: Callable[[DataFrame], DataFrame], root: str, store: str, key: list[str], checkpoint: str) -> StreamingQuery:
-    """Each batch of new documents goes through the batch job, and its rows are upserted into the store."""
-    apply = lambda batch, n: upsert_batch(job(batch), n, root, store, key)
+def stream_ingest(documents: DataFrame, job: Callable[[DataFrame], DataFrame], root: str, store: str, key: list[str], checkpoint: str, order: str | None = None) -> StreamingQuery:
+    """Each batch of new documents goes through the batch job, and its rows are upserted into the store, the last by `order`."""
+    apply = lambda batch, n: upsert_batch(job(batch), n, root, store, key, order=order)
     return documents.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

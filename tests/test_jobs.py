@@ -228,6 +228,21 @@ def test_store_batches(spark, tmp_path):
     assert seen() == want
 
 
+def test_one_key_twice_in_a_batch(spark, tmp_path):
+    """The winner does not depend on the order of rows: the caller's order, else the larger row."""
+    from caretrail.streaming import jobs
+
+    root, seen = str(tmp_path), lambda s: {r.id: (r.v, r.seq) for r in jobs.read_snapshot(spark, root, s).collect()}
+    rows = [(1, "new", 5), (1, "old", 9), (2, "a", None), (2, "b", 0)]
+    for k, turned in enumerate((rows, rows[::-1])):
+        df = spark.createDataFrame(turned, "id long, v string, seq int").repartition(3)
+        jobs.upsert_batch(df, 0, root, f"plain{k}", ["id"], 4)
+        jobs.upsert_batch(df, 0, root, f"ordered{k}", ["id"], 4, order="seq")
+        assert seen(f"plain{k}") == {1: ("old", 9), 2: ("b", 0)} and seen(f"ordered{k}") == {1: ("old", 9), 2: ("b", 0)}
+    jobs.upsert_batch(spark.createDataFrame([(1, "late", 1)], "id long, v string, seq int"), 1, root, "ordered0", ["id"], 4, order="seq")
+    assert seen("ordered0")[1] == ("late", 1)
+
+
 def test_validation_checks_every_field(spark):
     from caretrail.sources import backup
 
