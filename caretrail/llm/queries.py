@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_chat_formatting": chat.op5_chat_formatting,
+    "op5_layouts": chat.op5_layouts,
     "op6_line_dedup": line_dedup.op6_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
@@ -22,6 +23,7 @@ QUERIES = {
 
 SQL = {
     "op5_chat_formatting": chat.OP5_SQL,
+    "op5_layouts": chat.OP5_LAYOUTS_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_benchmark_decontamination": decontamination.OP10_SQL,

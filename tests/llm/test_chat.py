@@ -48,6 +48,34 @@ def test_every_layout_in_one_table(spark, tmp_path, names):
     assert read(chat.canonical_turns(rows)) == {n: RECORDS[n][1] for n in names}
 
 
+def test_further_fields_and_mixed_contents(spark):
+    """Turns with more fields, contents of texts, parts and numbers, parts that are no text; what is unknown is counted."""
+    turn = lambda role, content, **more: {"role": role, "content": content, **more}
+    calls = [{"id": 1, "function": {"name": "f", "args": {"text": [1], "role": {"a": {}}}}}]
+    read_as = [
+        ({"messages": [turn("user", "a", name="n", text="t"), turn("assistant", "b", tool_calls=calls)]}, "messages", ["a", "b"]),
+        ({"messages": [turn("user", '["x"]'), turn("assistant", [{"type": "text", "text": "b"}, {"type": "image", "image": {"url": "u"}}, {"text": "c"}])]}, "messages", ['["x"]', "bc"]),
+        ({"messages": [turn("user", ["x", {"text": "y"}]), turn("assistant", [])]}, "messages", ["xy", ""]),
+        ({"messages": [turn("user", "x"), turn("assistant", 42), turn("user", None)]}, "messages", ["x", "42", ""]),
+        ({"messages": [turn("user", [{"text": "y", "image": {"url": "u"}}], weight=1)]}, "message-parts", ["y"]),
+        ({"data": {"messages": [turn("user", "x"), turn("user", ["y"])], "n": {"m": 1}}}, "data-messages", ["x", "y"]),
+        ({"prompt": {"text": "p", "tokens": [1]}, "response": {"text": "r"}}, "prompt-object", ["p", "r"]),
+        ({"conversations": [{"from": "human", "value": "q", "markdown": None}]}, "conversations", ["q"]),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(read_as)], "i int, record string")
+    got = {r.i: (r.layout, [t.text for t in r.turns]) for r in chat.canonical_turns(rows).select("row.i", "layout", "turns").collect()}
+    assert got == {i: (layout, texts) for i, (_, layout, texts) in enumerate(read_as)}
+    odd = ['{"stray":1}', '{"stray":2}', '{"prompt":"p","prompt":"q","completion":"c"}', "[1]", None, '{"prompt":"p","completion":"c"}']
+    left = chat.unmatched(chat.canonical_turns(spark.createDataFrame([(x,) for x in odd], "record string")))
+    assert {r.paths: r.n_records for r in left.collect()} == {"stray STRING": 2, None: 3}
+
+
+def test_further_fields_in_a_table(spark):
+    kind = "record struct<messages:array<struct<role:string,content:string,name:string>>,source:string>"
+    rows = spark.createDataFrame([(([("user", "a", "n"), ("assistant", None, None)], "s"),), ((None, "s"),), (None,)], kind)
+    assert [(r.layout, [tuple(t) for t in r.turns]) for r in chat.canonical_turns(rows).collect()] == [("messages", [("user", "a"), ("assistant", "")]), (None, []), (None, [])]
+
+
 def test_very_long_texts(spark):
     """Over 20 million characters in a table's text and in a JSON string."""
     n = 21_000_000
