@@ -111,9 +111,21 @@ def apply_edits(text: str, edits: list[tuple[int, int, str]]) -> str:
 
 
 def remap_offsets(offsets: Column, edits: Column) -> Column:
-    """Offsets of the original text as offsets of the redacted one."""
-    grown = lambda off: F.aggregate(F.filter(edits, lambda e: e["end"] <= off), F.lit(0), lambda a, e: a + F.length(e["replacement"]) - (e["end"] - e["start"]))
-    return F.transform(offsets, lambda off: off + grown(off))
+    """Offsets of the original text as offsets of the redacted one, in their order: offsets and ends of edits are sorted
+    together, and each offset moves by what the edits before it have grown. Null edits are none; a null offset stays null."""
+    from caretrail.functions.scalars import running_sums
+
+    points = "array<struct<at:int,kind:int,grown:bigint,place:int>>"
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  (value is worked out once)
+    ends = F.transform(edits, lambda e: F.struct(e["end"].alias("at"), F.lit(0).alias("kind"), (F.length(e["replacement"]) - (e["end"] - e["start"])).alias("grown"), F.lit(-1).alias("place")))
+    asked = F.transform(offsets, lambda off, i: F.struct(off.alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("grown"), i.alias("place")))
+
+    def moved(p: Column, sums: Column) -> Column:
+        at = F.transform(p, lambda x, i: F.struct(x["place"].alias("place"), x["kind"].alias("kind"), (x["at"] + F.get(sums, i)).cast("int").alias("off")))
+        return F.transform(F.array_sort(F.filter(at, lambda x: x["kind"] == 1)), lambda x: x["off"])
+
+    together = F.array_sort(F.concat(F.coalesce(ends.cast(points), F.array().cast(points)), asked.cast(points)))
+    return bound(together, lambda p: bound(running_sums(F.transform(p, lambda x: x["grown"])), lambda sums: moved(p, sums)))
 
 
 def pii_counts(redacted: DataFrame) -> DataFrame:
@@ -121,11 +133,11 @@ def pii_counts(redacted: DataFrame) -> DataFrame:
 
 
 def provider_contacts(docs: DataFrame, by: list[str]) -> DataFrame:
-    """Clinician lines with an email or phone number in them or in the next two lines."""
-    lines = docs.select(*by, F.posexplode(F.split("text", "\\r?\\n")).alias("line_no", "line"))
-    w = Window.partitionBy(*by).orderBy("line_no")
-    lines = lines.select(*by, "line_no", "line", F.concat_ws(" ", "line", F.lead("line", 1).over(w), F.lead("line", 2).over(w)).alias("near"))
-    lines = lines.where(F.col("line").rlike(f"(?i)(?<![0-9A-Za-z_])(?:{CLINICIAN})(?![0-9A-Za-z_])"))
+    """Clinician lines with an email or phone number in them or in the next two lines; each text is read within its row."""
+    clinician = f"(?i)(?<![0-9A-Za-z_])(?:{CLINICIAN})(?![0-9A-Za-z_])"
+    near = lambda lines, line, i: F.concat_ws(" ", line, F.get(lines, i + 1), F.get(lines, i + 2))
+    named = lambda lines: F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(clinician), F.struct(i.alias("line_no"), line.alias("line"), near(lines, line, i).alias("near")))), lambda x: x.isNotNull())
+    lines = docs.select(*by, F.inline(F.flatten(F.transform(F.array(F.split("text", "\\r?\\n")), named))))
     found = lambda c, p, g=0: F.nullif(F.trim(F.regexp_extract(c, p, g)), F.lit(""))
     out = lines.select(*by, "line_no", found("line", CONTACT, 1).alias("name"), found("near", EMAIL).alias("email"), found("near", PHONE).alias("phone"), F.trim("line").alias("evidence"))
     return out.where("email IS NOT NULL OR phone IS NOT NULL")

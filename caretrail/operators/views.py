@@ -93,13 +93,30 @@ def unlinked_record_providers(record_providers: DataFrame, linked: DataFrame) ->
     return left.withColumn("_n", F.row_number().over(Window.partitionBy("record_id", "_k").orderBy("seq"))).where("_n = 1").drop("_n", "_k")
 
 
+def _parts(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """rows (record_id, _k, ...) with _k replaced by each of its parts as long as some _k of the record's others."""
+    lengths = others.groupBy("record_id").agg(F.collect_set(F.length("_k")).alias("_lengths"))
+    size = F.length("_k")
+    of = lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substr(F.col("_k"), i, n))
+    parts = F.array_distinct(F.flatten(F.transform(F.filter("_lengths", lambda n: n <= size), of)))
+    return rows.join(lengths, "record_id").select(*[c for c in rows.columns if c != "_k"], F.explode(parts).alias("_k"))
+
+
 def rehydrate_contacts(providers: DataFrame, contacts: DataFrame) -> DataFrame:
     """Fills a provider's email, phone and evidence from the record's first contact whose name contains or is contained in
-    the provider's, else from its only contact, else from the contact at the provider's place in order."""
+    the provider's, else from its only contact, else from the contact at the provider's place in order.
+
+    One name contains another where a part of it of the other's length equals it: so names meet by equality, in both
+    directions, and of contacts that share a part of their names only the first is joined."""
     c = contacts.select("record_id", "contact_no", F.struct("email", "phone", "evidence").alias("_c"), S.contact_name_key(F.coalesce("name", F.lit(""))).alias("_ck"), F.col("name").isNotNull().alias("_named"))
     p = providers.withColumn("_pk", S.contact_name_key(F.col("name")))
-    met = p.select("record_id", "provider_no", "_pk").join(c.where("_named"), "record_id").where(F.col("_pk").contains(F.col("_ck")) | F.col("_ck").contains(F.col("_pk")))
-    by_name = met.groupBy("record_id", "provider_no").agg(F.min_by("_c", "contact_no").alias("_by_name"))
+    named = c.where("_named").select("record_id", F.struct("contact_no", "_c").alias("_first"), F.col("_ck").alias("_k"))
+    sought = p.select("record_id", "provider_no", F.col("_pk").alias("_k"))
+    first = lambda df, part: df.groupBy("record_id", part.alias("_k")).agg(F.min_by("_first", "_first.contact_no").alias("_first"))
+    within = _parts(sought, named).join(first(named, F.col("_k")), ["record_id", "_k"])
+    around = sought.join(first(_parts(named, sought), F.col("_k")), ["record_id", "_k"])
+    met = within.select("record_id", "provider_no", "_first").unionByName(around.select("record_id", "provider_no", "_first"))
+    by_name = met.groupBy("record_id", "provider_no").agg(F.min_by("_first._c", "_first.contact_no").alias("_by_name"))
     only = c.groupBy("record_id").agg(F.count("*").alias("_n"), F.min_by("_c", "contact_no").alias("_only")).where("_n = 1").drop("_n")
     at = c.select("record_id", F.col("contact_no").alias("provider_no"), F.col("_c").alias("_at"))
     out = p.join(by_name, ["record_id", "provider_no"], "left").join(only, "record_id", "left").join(at, ["record_id", "provider_no"], "left")
