@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +21,7 @@ from caretrail.sources import documents as D
 from caretrail.sources import store as ST
 from caretrail.sources.shared import fresh_path, written
 from caretrail.streaming import jobs
+from caretrail.streaming import records as RS
 
 C = F.col
 
@@ -306,6 +310,29 @@ def stream_records(spark, sf):
     return jobs.read_snapshot(spark, root, "conditions").select("record_id", "name_medical", "date_diagnosed", "provider_name", "n_mentions")
 
 
+def stream_stores(spark, sf):
+    """Notes as arriving documents into all linked stores at once: what each store holds of each record after the last batch."""
+    root = _folder(spark)
+    notes = bind(spark, sf, "clinical_notes").select("record_id", "text")
+    source = spark.readStream.schema(base(spark, sf, "orders").schema).parquet(f"{sf}/orders.parquet*").select(C("o_custkey").alias("patient_id"), C("o_orderkey").alias("record_id"))
+    job = RS.record_stores(bind(spark, sf, "responses").select(C("chunk_id").alias("record_id"), F.lit(0).alias("chunk_no"), "content"), "2024-01-01")
+    q = RS.stream_stores(source, lambda batch: job(batch.join(notes, "record_id")), root, f"{root}/checkpoint")
+    q.awaitTermination()
+    stores = {s: RS.read_records(spark, root, s) for s in RS.OWNED}
+    condition = stores["conditions"].select(C("id").alias("condition_id"), "record_id")
+    shown = {
+        "health_records": stores["health_records"].select(C("id").alias("record_id"), C("filename").alias("value")),
+        "pending_extraction_text": stores["pending_extraction_text"].select(C("id").alias("record_id"), C("filename").alias("value")),
+        "conditions": stores["conditions"].select("record_id", F.concat_ws("|", "name_medical", "status", "date").alias("value")),
+        "measurements": stores["measurements"].select("record_id", F.concat_ws("|", "name", C("value_numeric").cast("int").cast("string"), "date").alias("value")),
+        "providers": stores["providers"].select("record_id", F.concat_ws("|", "name", "email").alias("value")),
+        "facilities": stores["facilities"].select("record_id", C("name").alias("value")),
+        "condition_locations": stores["condition_locations"].join(condition, "condition_id").select("record_id", C("is_primary").cast("string").alias("value")),
+        "condition_care_events": stores["condition_care_events"].join(condition, "condition_id").select("record_id", F.concat_ws("|", "provider_name", "date").alias("value")),
+    }
+    return reduce(DataFrame.unionByName, [rows.select(F.lit(s).alias("store"), "record_id", "value") for s, rows in shown.items()])
+
+
 def measurement_rows(spark, sf):
     """The measurements' store rows; those without a date take the day of the run."""
     return ST.measurement_rows(bind(spark, sf, "measurements"), "2024-01-01").select("id", "record_id", "name", "value_numeric", "unit", "date")
@@ -320,7 +347,7 @@ def rejected_backups(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     assemble_document, classify_scanned, read_store, upsert_store, delete_rows, update_position, pending_outbox, persist_counts, persist_counts_all, normalize_enriched, normalize_stores, secondary_locations, secondary_locations_all, export_backup,
-    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_masked, place_first, stream_ingest, stream_call_health, stream_call_outcome, stream_records, measurement_rows, rejected_backups,
+    import_backup, encode_blobs, decode_blobs, blob_round_trip, validate_backup, repair_coordinates, place_conditions, place_masked, place_first, stream_ingest, stream_call_health, stream_call_outcome, stream_records, stream_stores, measurement_rows, rejected_backups,
 )}
 
 _ENR = _BASE + """, e AS (SELECT *, CASE WHEN seq % 9 = 0 THEN 'Nephrolithiasis' ELSE name_medical END AS nm FROM cond WHERE record_id IS NOT NULL), k AS (SELECT *, k FROM e, (SELECT unnest([0, 1, 2]) AS k) WHERE k < seq % 4),
@@ -379,6 +406,19 @@ SQL = {
     "stream_records": view_sql("responses") + """, f AS (SELECT chunk_id, chunk_id % 5 <> 0 AND chunk_id % 7 <> 0 AS c, chunk_id % 2 = 0 AS p FROM responses)
  SELECT chunk_id AS record_id, o_orderpriority AS name_medical, CASE WHEN chunk_id % 3 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_diagnosed, CASE WHEN p THEN concat('Dr. No', o_custkey % 9) END AS provider_name, 1::BIGINT AS n_mentions
  FROM f JOIN orders ON o_orderkey = chunk_id WHERE c""",
+    "stream_stores": view_sql("responses") + """, f AS (SELECT chunk_id AS k, CAST(chunk_id AS VARCHAR) AS record_id, chunk_id % 5 <> 0 AND chunk_id % 7 <> 0 AS c, chunk_id % 4 <> 0 AS m, chunk_id % 2 = 0 AS p,
+  concat('record-', chunk_id, '.pdf') AS file, o_orderpriority AS name, CASE WHEN chunk_id % 3 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS day, 100 + chunk_id % 100 AS ldl, concat('Dr. No', o_custkey % 9) AS who,
+  concat('dr', c_nationkey, '@clinic.example.com') AS mail FROM responses JOIN orders ON o_orderkey = chunk_id JOIN customer ON c_custkey = o_custkey)
+ SELECT 'health_records' AS store, record_id, file AS value FROM f WHERE c OR m
+ UNION ALL SELECT 'pending_extraction_text', record_id, file FROM f WHERE NOT (c OR m)
+ UNION ALL SELECT 'conditions', record_id, concat_ws('|', name, 'documented', day) FROM f WHERE c
+ UNION ALL SELECT 'conditions', record_id, 'Hyperlipidaemia|inferred' FROM f WHERE m AND ldl >= 160
+ UNION ALL SELECT 'condition_locations', record_id, 'true' FROM f WHERE c
+ UNION ALL SELECT 'condition_locations', record_id, 'true' FROM f WHERE m AND ldl >= 160
+ UNION ALL SELECT 'measurements', record_id, concat_ws('|', 'LDL', ldl, '2024-01-01') FROM f WHERE m
+ UNION ALL SELECT 'providers', record_id, who FROM f WHERE c AND p
+ UNION ALL SELECT 'providers', record_id, concat_ws('|', who, mail) FROM f WHERE (c OR m) AND p
+ UNION ALL SELECT 'condition_care_events', record_id, concat_ws('|', who, day) FROM f WHERE c AND p AND day IS NOT NULL""",
     "measurement_rows": view_sql("measurements") + "SELECT concat(record_id, '-measurement-', row_number() OVER (PARTITION BY record_id ORDER BY seq) - 1) AS id, record_id, name, value_numeric, unit, coalesce(date, '2024-01-01') AS date FROM measurements",
     "rejected_backups": "SELECT DISTINCT o_custkey AS patient_id, CASE WHEN o_custkey % 5 = 0 THEN 'app' WHEN o_custkey % 7 = 0 THEN 'version' ELSE 'no backup' END AS reason FROM orders WHERE o_custkey % 5 = 0 OR o_custkey % 7 = 0 OR o_custkey % 11 = 0",
     "stream_ingest": "SELECT o_orderkey AS id, o_custkey AS patient_id, round(year(o_orderdate) + ((month(o_orderdate) - 1) * 30.44::DOUBLE + day(o_orderdate)) / 365.25::DOUBLE, 6) AS year_frac FROM orders",
