@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretrail.llm.common import SPACE, WORD_RE, bit_filter, hex_digest, materialize, table, text_of
+from caretrail.llm.common import SPACE, WORD_RE, hex_digest, materialize, table, text_of, with_passes
 
 MIN_SITES = 10
 MIN_WORDS = 1
@@ -63,11 +63,11 @@ def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col="doc_id", te
     # `first` is the smallest id that has the line, so any other id is larger
     gone = lines.join(wide, "hash").where(~F.col("ord").eqNullSafe(F.col("first"))).groupBy("ord", "text_key").agg(F.collect_set("i").alias("gone"))
     gone = materialize(gone.select(F.struct("ord", "text_key").alias("_of"), "gone"), "line-removals")
-    passes = bit_filter(gone.select("_of.text_key"))
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(text_of(text_col)).alias("_key"))
+    rows = with_passes(rows, "_key", gone.select("_of.text_key").distinct())
     text = F.col(f"row.`{text_col}`")
-    whole = rows.where(~passes(F.col("_key"))).select("row", text.alias("text"), F.size(F.split(text_of(f"row.`{text_col}`"), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
-    joined = rows.where(passes(F.col("_key"))).join(gone, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_of.ord")) & (F.col("_key") == F.col("_of.text_key")), "left")
+    whole = rows.where("NOT _passes").select("row", text.alias("text"), F.size(F.split(text_of(f"row.`{text_col}`"), "\n", -1)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))
+    joined = rows.where("_passes").join(gone, F.col(f"row.`{id_col}`").eqNullSafe(F.col("_of.ord")) & (F.col("_key") == F.col("_of.text_key")), "left")
     joined = joined.withColumn("_lines", F.split(text_of(f"row.`{text_col}`"), "\n", -1))
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
     left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "\n"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caretrail.llm import simhash
-from caretrail.llm.common import bit_filter, materialize, text_of
+from caretrail.llm.common import materialize, text_of, with_passes
 from caretrail.llm.components import connected_components
 
 SHINGLE = 5
@@ -203,9 +203,8 @@ def other_pairs(docs: DataFrame, shared: DataFrame, texts: DataFrame, met: DataF
 
 def shingle_sets(docs: DataFrame, needed: DataFrame, text_col: str = "text") -> DataFrame:
     """(key, s, size): the distinct shingles of the texts whose keys are needed (key, written already)."""
-    passes = bit_filter(needed)
     keyed = docs.select(F.xxhash64(text_of(text_col)).alias("key"), text_of(text_col).alias("text"))
-    texts = keyed.where(passes(F.col("key"))).join(needed, "key", "left_semi").dropDuplicates(["key"])
+    texts = with_passes(keyed, "key", needed).where("_passes").drop("_passes").join(needed, "key", "left_semi").dropDuplicates(["key"])
     return materialize(texts.select("key", shingles("text").alias("s")).withColumn("size", F.size("s")), "near-shingles")
 
 

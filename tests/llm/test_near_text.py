@@ -7,6 +7,8 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
+from pyspark.sql import functions as F
+
 from caretrail.llm import near_text
 
 
@@ -53,3 +55,25 @@ def test_pages_that_are_nearly_all_template(spark, monkeypatch):
     texts = pages(150, 170, 30, 2) | {1000 + i: t for i, t in pages(60, 190, 14, 3).items()}
     got, _ = groups(spark, texts, monkeypatch)
     assert got == brute.jaccard_groups(texts)
+
+
+def test_few_strangers_pass_a_filter_of_many_keys(spark):
+    """More keys than a filter in an expression takes: all keys pass, and less than one of a hundred others."""
+    from caretrail.llm.common import MOST_BITS, with_passes
+
+    n = MOST_BITS + 800_000
+    hashed = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h"))
+    keys = hashed(0, n)
+    count = lambda rows: with_passes(rows, "h", keys).where("_passes").count()
+    assert count(hashed(0, 100_000)) == 100_000
+    assert count(hashed(n, n + 200_000)) < 2_000
+    assert with_passes(hashed(0, 9), "h", keys.limit(0)).where("_passes").count() == 0
+
+
+def test_rows_taken_out_reach_no_shuffle(spark):
+    """Only the rows that pass are joined; the others keep their columns, clashing names too."""
+    from caretrail.llm.common import without
+
+    docs = spark.createDataFrame([(1, "a", True), (2, "b", None), (None, "a", None), (1, None, None), (1, "a", False)], "doc_id long, text string, _passes boolean")
+    gone = spark.createDataFrame([(1, "a"), (None, "a")], "doc_id long, text string").select("doc_id", F.xxhash64("text").alias("text_key"))
+    assert sorted(without(docs, gone).collect(), key=str) == sorted([(1, None, None), (2, "b", None)], key=str)
