@@ -23,8 +23,9 @@ ignored; ids are whole numbers.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,31 +43,36 @@ SHAPES = {
     "o": (HIDDEN, CLASSES), "b": (CLASSES,), "v": (CLASSES, HIDDEN, BUCKETS), "c": (CLASSES, BUCKETS),
 }
 POINT, STEP = float(1 << 20), 4096  # fixed point of averaged parameters; tokens for each unit of weight
-MANY = 1 << 15  # states whose outputs are worked out at once
+MANY, BLOCK = 1 << 13, 1 << 10  # states whose outputs are worked out at once, and of these their logits of the classes
+MOST_LOGIT = np.float32(60)
+SOME = 1 << 14  # parameters that are updated at once
 END = 0  # bucket and class of the end token, and its key; the class has no words
 
 
-def _vocabulary() -> defaultdict:
-    words: defaultdict = defaultdict()
-    words.default_factory = words.__len__
-    return words
-
-
 def buckets_of(words) -> np.ndarray:
     """class * BUCKETS + bucket of each word."""
     from xxhash import xxh32_intdigest
 
-    return np.fromiter(((1 + xxh32_intdigest(w[-SUFFIX:]) % (CLASSES - 1)) * BUCKETS + xxh32_intdigest(w, 1) % BUCKETS for w in words), np.int64)
+    hashes = lambda of: np.fromiter(of, np.int64, len(words))
+    ends = hashes(xxh32_intdigest(w[-SUFFIX:]) for w in words)
+    return (1 + ends % (CLASSES - 1)) * BUCKETS + hashes(map(xxh32_intdigest, words, repeat(1))) % BUCKETS
+
 
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of all texts one after the other, the number of words of each, and the distinct words; Arrow cuts and numbers
+    them, as an object for each token costs several times as much."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-def tokens_of(texts: list[bytes], words: defaultdict) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts one after the other, and the number of words of each."""
-    number, ids, sizes = words.__getitem__, [], []
-    for t in texts:
-        found = t.lower().split()
-        sizes.append(len(found))
-        ids.append(np.fromiter(map(number, found), np.int32, len(found)))
-    return (np.concatenate(ids) if ids else np.empty(0, np.int32)), np.array(sizes, np.int64)
+    bare = pc.ascii_lower(pc.ascii_trim_whitespace(pa.array(texts, pa.binary()).cast(pa.string())))
+    cut = pc.ascii_split_whitespace(bare)
+    blank = pc.equal(bare, "").to_numpy(zero_copy_only=False)  # cut to one empty word
+    words = cut.flatten()
+    if blank.any():
+        words = words.filter(pc.not_equal(words, ""))
+    words = words.dictionary_encode()
+    sizes = np.where(blank, 0, np.diff(cut.offsets.to_numpy())).astype(np.int64)
+    return words.indices.to_numpy(), sizes, words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)
 
 
 # ---- the network ----
@@ -95,78 +101,110 @@ def unpack(flat) -> dict[str, np.ndarray]:
 
 def inputs(p: dict[str, np.ndarray]) -> np.ndarray:
     """The embedding of each bucket, its class's included."""
-    return p["w"] + np.repeat(p["e"], BUCKETS, axis=0)
-
-
-def _step(g: np.ndarray, weights: np.ndarray, h: np.ndarray, zr: np.ndarray, un: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
-    """The state after words of embeddings g; fills the gates zr, the recurrent part un, the candidate n and the state out."""
-    u = h @ weights
-    np.add(g[:, : 2 * HIDDEN], u[:, : 2 * HIDDEN], out=zr)
-    zr *= np.float32(0.5)
-    np.tanh(zr, out=zr)
-    zr += np.float32(1)
-    zr *= np.float32(0.5)
-    un[:] = u[:, 2 * HIDDEN :]
-    np.multiply(zr[:, HIDDEN:], un, out=n)
-    n += g[:, 2 * HIDDEN :]
+    return (p["w"].reshape(CLASSES, BUCKETS, -1) + p["e"][:, None]).reshape(CLASSES * BUCKETS, -1)
+
+
+def by_gate(a: np.ndarray) -> np.ndarray:
+    """The three gates' columns as three arrays, so that what is done to one gate runs through adjoining memory."""
+    return np.ascontiguousarray(a.reshape(len(a), 3, HIDDEN).swapaxes(0, 1))
+
+
+def _gates(p: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings and recurrent weights by gate; those of the gates z and r are halved, as 2 sigmoid(a) = 1 + tanh(a / 2)."""
+    table, weights = by_gate(inputs(p)), by_gate(p["u"])
+    table[:2] *= 0.5
+    weights[:2] *= 0.5
+    return table, weights
+
+
+def _step(g: np.ndarray, weights: np.ndarray, h: np.ndarray, un: np.ndarray, out: np.ndarray) -> None:
+    """The state after words of embeddings g, which become the gates z, r and the candidate; fills the recurrent part un and the state out."""
+    u = np.matmul(h, weights)
+    gates, n = g[:2], g[2]
+    gates += u[:2]
+    np.tanh(gates, out=gates)
+    gates += 1
+    gates *= 0.5
+    np.multiply(g[1], u[2], out=un)
+    n += un
+    un[:] = u[2]
     np.tanh(n, out=n)
     np.subtract(h, n, out=out)
-    out *= zr[:, :HIDDEN]
+    out *= g[0]
     out += n
 
 
-def _odds(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the logits, which are cut off far above what training gives, and their sums."""
-    e = np.exp(np.minimum(logits, np.float32(60), out=logits))
-    return e, e @ np.ones(e.shape[1], e.dtype)
+def _odds(logits: np.ndarray) -> np.ndarray:
+    """Makes of the logits their exp, and gives the sums."""
+    np.exp(logits, out=logits)
+    return logits @ np.ones(logits.shape[1], logits.dtype)
 
 
 class Outputs:
-    """The two factors of the softmax for states and the buckets that follow them; states are grouped by class."""
+    """The two factors of the softmax for states and the buckets that follow them. That of the classes goes by blocks of BLOCK states,
+    which stay in the cache; that of the buckets has the states grouped by class."""
 
     def __init__(self, p: dict[str, np.ndarray], top: np.ndarray, y: np.ndarray):
         self.p, self.top, self.of = p, top, y // BUCKETS
-        self.every = np.arange(len(y))
-        self.logits = top @ p["o"] + p["b"]
-        self.e, self.sum = _odds(self.logits)
+        self.reach = max(top.max(), -top.min()) if len(top) else 0.0
         self.order = np.argsort(self.of.astype(np.int16), kind="stable")
-        self.edges = np.searchsorted(self.of[self.order], np.arange(CLASSES + 1)).tolist()
-        self.grouped, self.bucket = top[self.order], (y - self.of * BUCKETS)[self.order]
-        self.inner = p["c"][self.of[self.order]]
-        for c, at in self.classes():
-            self.inner[at] += self.grouped[at] @ p["v"][c]
-        self.inner_e, self.inner_sum = _odds(self.inner)
-
-    def classes(self) -> Iterator[tuple[int, slice]]:
-        """The classes that follow, but that of the end token, each with its grouped states."""
-        for c in range(1, CLASSES):
-            if self.edges[c] < self.edges[c + 1]:
-                yield c, slice(self.edges[c], self.edges[c + 1])
+        of = self.of[self.order]
+        edges = np.searchsorted(of, np.arange(CLASSES + 1)).tolist()
+        self.ends = edges[1]  # states that the end token follows, which is alone in its class
+        self.classes = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if c and a < b]
+        self.grouped, self.inner = top.take(self.order, axis=0), np.zeros((len(y), BUCKETS), top.dtype)
+        for c, at in self.classes:
+            np.matmul(self.grouped[at], p["v"][c], out=self.inner[at])
+        self.inner += p["c"].take(of, axis=0)
+        self._cut(self.inner, "v", "c")
+        self.at = np.arange(0, self.inner.size, BUCKETS) + (y - self.of * BUCKETS)[self.order]
+
+    def blocks(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """The states' slices, their logits of the classes, and where in those the logits of the classes that follow are."""
+        logits = np.empty((min(BLOCK, len(self.top)), CLASSES), self.top.dtype)
+        for a in range(0, len(self.top), BLOCK):
+            at = slice(a, min(a + BLOCK, len(self.top)))
+            block = np.matmul(self.top[at], self.p["o"], out=logits[: at.stop - a])
+            block += self.p["b"]
+            self._cut(block, "o", "b")
+            yield at, block, np.arange(0, block.size, CLASSES) + self.of[at]
+
+    def _cut(self, logits: np.ndarray, weights: str, bias: str) -> None:
+        """Cuts the logits off far above what training gives; a pass that the weights seldom leave room for."""
+        if self.reach * np.abs(self.p[weights]).sum(axis=-2).max() + self.p[bias].max() > MOST_LOGIT:
+            np.minimum(logits, MOST_LOGIT, out=logits)
 
     def logs(self) -> np.ndarray:
         """Natural log of P(bucket | state)."""
-        out = self.logits[self.every, self.of] - np.log(self.sum)
-        inner = self.inner[self.every, self.bucket] - np.log(self.inner_sum)
-        inner[: self.edges[1]] = 0  # the end token is alone in its class
-        out[self.order] += inner
+        out = np.empty(len(self.top), self.top.dtype)
+        for at, block, of in self.blocks():
+            mine = block.take(of)
+            out[at] = mine - np.log(_odds(block))
+        mine = self.inner.take(self.at)
+        mine -= np.log(_odds(self.inner))
+        mine[: self.ends] = 0
+        out[self.order] += mine
         return out
 
     def gradients(self, share: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Of the loss, each state weighing its share: by parameter, and by state."""
-        p = self.p
-        d = self.e * (share / self.sum)[:, None]
-        d[self.every, self.of] -= share
-        grad = {"o": self.top.T @ d, "b": d.sum(axis=0), "v": np.zeros_like(p["v"]), "c": np.zeros_like(p["c"])}
-        out = d @ p["o"].T
-        share = share[self.order]
-        d = self.inner_e * (share / self.inner_sum)[:, None]
-        d[self.every, self.bucket] -= share
+        p, kind = self.p, self.top.dtype
+        grad, out, one = {k: np.zeros_like(p[k]) for k in "obvc"}, np.empty_like(self.top), np.ones(len(self.top), kind)
+        for at, d, of in self.blocks():
+            d *= (share[at] / _odds(d))[:, None]
+            d.reshape(-1)[of] -= share[at]
+            grad["o"] += self.top[at].T @ d
+            grad["b"] += one[at] @ d
+            np.matmul(d, p["o"].T, out=out[at])
+        share, d = share[self.order], self.inner
+        d *= (share / _odds(d))[:, None]
+        d.reshape(-1)[self.at] -= share
         back = np.zeros_like(self.grouped)
-        for c, at in self.classes():
-            grad["v"][c] = self.grouped[at].T @ d[at]
-            back[at] = d[at] @ p["v"][c].T
-        if some := [(c, at.start) for c, at in self.classes()]:
-            grad["c"][[c for c, _ in some]] = np.add.reduceat(d, [a for _, a in some], axis=0)
+        for c, at in self.classes:
+            mine = d[at]
+            np.matmul(self.grouped[at].T, mine, out=grad["v"][c])
+            np.matmul(one[at], mine, out=grad["c"][c])
+            np.matmul(mine, p["v"][c].T, out=back[at])
         out[self.order] += back
         return grad, out
 
@@ -183,56 +221,63 @@ class Trainer:
     def window(self, x: np.ndarray, y: np.ndarray, on: np.ndarray, h: np.ndarray) -> np.ndarray:
         """x, y: buckets, on: steps x lanes. Learns from one window and gives the state after it."""
         p, (steps, lanes) = self.p, x.shape
-        kind, w = p["u"].dtype, p["u"]
-        g = inputs(p)[x]
-        states, zr = np.empty((steps + 1, lanes, HIDDEN), kind), np.empty((steps, lanes, 2 * HIDDEN), kind)
-        un, n = np.empty((steps, lanes, HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
+        kind, (table, w) = p["u"].dtype, _gates(p)
+        g = table.take(x, axis=1)
+        states, un = np.empty((steps + 1, lanes, HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
         states[0] = h
         for t in range(steps):
-            _step(g[t], w, states[t], zr[t], un[t], n[t], states[t + 1])
+            _step(g[:, t], w, states[t], un[t], states[t + 1])
         top, flat_on = states[1:].reshape(-1, HIDDEN), on.ravel()
         grad, d_top = Outputs(p, top, y.ravel()).gradients((flat_on / max(1, flat_on.sum())).astype(kind))
         d_top = d_top.reshape(steps, lanes, HIDDEN)
-        z, r = zr[..., :HIDDEN], zr[..., HIDDEN:]
-        by_n, by_z, by_r = (1 - z) * (1 - n * n), (states[:-1] - n) * z * (1 - z), un * r * (1 - r)
-        du, dn = np.empty((steps, lanes, 3 * HIDDEN), kind), np.empty((steps, lanes, HIDDEN), kind)
+        z, r, n = g
+        rest = 1 - z
+        by_n, by_z, by_r = rest * (1 - n * n), (states[:-1] - n) * z * rest, un * r * (1 - r)
+        # what reaches the gates' sums of inputs; of the candidate's, du has the recurrent part's, dn the word's
+        du, dn, back = np.empty_like(g), np.empty_like(un), by_gate(p["u"]).swapaxes(1, 2)
         dh = np.zeros_like(states[0])
         for t in reversed(range(steps)):
             dh += d_top[t]
             np.multiply(dh, by_n[t], out=dn[t])
-            np.multiply(dh, by_z[t], out=du[t, :, :HIDDEN])
-            np.multiply(dn[t], by_r[t], out=du[t, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(dn[t], r[t], out=du[t, :, 2 * HIDDEN :])
+            np.multiply(dh, by_z[t], out=du[0, t])
+            np.multiply(dn[t], by_r[t], out=du[1, t])
+            np.multiply(dn[t], r[t], out=du[2, t])
             dh *= z[t]
-            dh += du[t] @ w.T
-        grad["u"] = states[:-1].reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
-        du[..., 2 * HIDDEN :] = dn
-        flat_x, flat_d, h = x.ravel(), du.reshape(-1, 3 * HIDDEN), states[-1]
-        by = np.argsort(flat_x.astype(np.int16), kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(flat_x[by]) > 0))
-        grad["w"] = np.zeros_like(p["w"])
-        grad["w"][flat_x[by][first]] = np.add.reduceat(flat_d[by], first, axis=0)
+            for part in np.matmul(du[:, t], back):
+                dh += part
+        of_u = np.matmul(states[:-1].reshape(-1, HIDDEN).T, du.reshape(3, -1, HIDDEN))
+        grad["u"] = of_u.swapaxes(0, 1).reshape(p["u"].shape)
+        du[2] = dn
+        of_w, at = np.zeros((3, CLASSES * BUCKETS * HIDDEN), kind), (x.reshape(-1, 1) * HIDDEN + np.arange(HIDDEN)).ravel()
+        for k in range(3):
+            np.add.at(of_w[k], at, du[k].ravel())
+        grad["w"] = of_w.reshape(3, -1, HIDDEN).swapaxes(0, 1).reshape(p["w"].shape)
         grad["e"] = grad["w"].reshape(CLASSES, BUCKETS, -1).sum(axis=1)
         self._update(grad)
-        return h
+        return states[-1]
 
     def _update(self, grad) -> None:
         self.t += 1
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
         scale = min(1.0, 1.0 / (norm + 1e-9))
-        rate, ease = RATE / (1 - 0.9**self.t), 1 / np.sqrt(1 - 0.98**self.t)
-        for k, g in grad.items():
-            g *= np.float32(scale)
-            m, v = self.m[k], self.v[k]
-            m *= np.float32(0.9)
-            m += np.float32(0.1) * g
-            v *= np.float32(0.98)
-            g *= g
-            v += np.float32(0.02) * g
-            root = np.sqrt(v)
-            root *= np.float32(ease)
-            root += np.float32(1e-8)
-            self.p[k] -= np.float32(rate) * m / root
+        rate, ease = RATE / (1 - 0.9**self.t), 1 / math.sqrt(1 - 0.98**self.t)
+        for k, grads in grad.items():
+            flat = [a.reshape(-1) for a in (grads, self.m[k], self.v[k], self.p[k])]
+            for at in range(0, grads.size, SOME):  # what fits the cache
+                g, m, v, p = (a[at : at + SOME] for a in flat)
+                g *= scale
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.98
+                g *= g
+                g *= 0.02
+                v += g
+                root = np.sqrt(v)
+                root *= ease
+                root += 1e-8
+                np.divide(m, root, out=root)
+                root *= rate
+                p -= root
 
 
 def train_on(trainer: Trainer, buckets: np.ndarray, sizes: np.ndarray) -> None:
@@ -268,8 +313,8 @@ def train_shard(flat: np.ndarray, fresh: bool):
 
     def train(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["ord", "text"], kind="stable")
-        trainer, words = Trainer(unpack(flat)), _vocabulary()
-        ids, sizes = tokens_of(list(frame["text"]), words)
+        trainer = Trainer(unpack(flat))
+        ids, sizes, words = tokens_of(list(frame["text"]))
         buckets = buckets_of(words)[ids] if len(ids) else np.empty(0, np.int64)
         if fresh:  # the outputs start from the shard's own frequencies
             count = np.bincount(buckets, minlength=CLASSES * BUCKETS).reshape(CLASSES, BUCKETS)
@@ -313,29 +358,37 @@ def train_network(docs: DataFrame) -> np.ndarray:
 
 def log_likelihoods(p: dict[str, np.ndarray], buckets: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log of the network's P(buckets and end) for each text; all texts step together, the longest first."""
-    begin = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes))
+    if not len(sizes):
+        return out
     by = np.argsort(-sizes, kind="stable")
-    begin, n = begin[by], sizes[by]
-    out, table, weights = np.zeros(len(sizes)), inputs(p), p["u"]
-    h = np.zeros((len(sizes), HIDDEN), np.float32)
-    line = np.append(buckets, END)
-    x = np.full(len(sizes), END, np.int64)
-    longest = int(n[0]) + 1 if len(n) else 0
-    alive_at = np.searchsorted(-n, -np.arange(longest), side="right")  # texts with at least t words
-    zr, un, cand = (np.empty((len(sizes), k * HIDDEN), np.float32) for k in (2, 1, 1))
-    tops, ys, rows, held = [], [], [], 0
-    for t in range(longest):
-        alive = int(alive_at[t])
-        y = np.where(n[:alive] > t, line[np.minimum(begin[:alive] + t, len(line) - 1)], END)
-        new = np.empty((alive, HIDDEN), np.float32)
-        _step(table[x[:alive]], weights, h[:alive], zr[:alive], un[:alive], cand[:alive], new)
-        h = new
-        tops.append(h), ys.append(y), rows.append(np.arange(alive))
-        x, held = y, held + alive
-        if held >= MANY or t == longest - 1:
-            y, row = np.concatenate(ys), np.concatenate(rows)
-            out += np.bincount(row, Outputs(p, np.concatenate(tops), y).logs(), len(out))
-            tops, ys, rows, held = [], [], [], 0
+    n = sizes[by] + 1
+    alive = np.searchsorted(-n, -np.arange(n[0]), side="left")  # texts of more than t tokens
+    edges = np.append(0, np.cumsum(alive))
+    # tokens by step, then by text, and the tokens before them
+    row = np.concatenate([np.arange(len(n), dtype=np.int32)[:k] for k in alive])
+    place = edges[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] + np.repeat(np.arange(len(n)), n)
+    line = np.full(len(place), END, np.int64)
+    begin = np.cumsum(sizes) - sizes
+    word = np.ones(len(place), bool)
+    word[np.cumsum(n) - 1] = False
+    line[place[word]] = buckets[np.repeat(begin[by], sizes[by]) + np.arange(len(buckets)) - np.repeat(np.cumsum(n - 1) - (n - 1), n - 1)]
+    before = np.full(len(place), END, np.int64)
+    before[place[np.append(False, word[:-1])]] = line[place[word]]
+    (table, weights), h, t = _gates(p), np.zeros((len(n), HIDDEN), np.float32), 0
+    edges = edges.tolist()
+    while t < len(alive):
+        first, start = t, edges[t]
+        while t < len(alive) and (t == first or edges[t + 1] - start <= MANY):
+            t += 1
+        part = slice(start, edges[t])
+        g, top = table.take(before[part], axis=1), np.empty((edges[t] - start, HIDDEN), np.float32)
+        un = np.empty((edges[first + 1] - start, HIDDEN), np.float32)
+        for k in range(first, t):
+            a, b = edges[k] - start, edges[k + 1] - start
+            _step(g[:, a:b], weights, h[: b - a], un[: b - a], top[a:b])
+            h = top[a:b]
+        out += np.bincount(row[part], Outputs(p, top, line[part]).logs(), len(out))
     back = np.empty(len(out))
     back[by] = out
     return back
@@ -350,10 +403,10 @@ class Words:
     def __init__(self, frame: pd.DataFrame):
         from xxhash import xxh64_intdigest
 
-        words = _vocabulary()
-        self.ids, self.sizes = tokens_of(list(frame["text"]), words)
+        self.ids, self.sizes, words = tokens_of(list(frame["text"]))
         self.train = ~frame["held_out"].to_numpy(bool)
-        hashes = np.fromiter((xxh64_intdigest(w) or 1 for w in words), np.uint64, len(words))
+        hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
+        hashes[hashes == END] = 1
         self.buckets = buckets_of(words)
         # entries: the end token (key 0), then the words by hash
         self.order = np.argsort(hashes, kind="stable")

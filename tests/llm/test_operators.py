@@ -3,6 +3,7 @@
 import math
 import random
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -476,6 +477,33 @@ def test_state_is_carried_across_windows():
         assert math.isclose(sum(logs), value, rel_tol=1e-4)
 
 
+def test_words_are_cut_as_bytes_are():
+    texts = ["", " \t\n", "A b\x0bA", "\x0c Été\u3000x\x1cy\x85z \r\nA", "a\x00B", "word"]
+    ids, sizes, words = language_model.tokens_of([t.encode() for t in texts])
+    plain = [t.encode().lower().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in plain]
+    assert [words[i] for i in ids] == [w for t in plain for w in t]
+    assert len(set(words)) == len(words) == len({w for t in plain for w in t})
+    ids, sizes, words = language_model.tokens_of([b"", b" "])
+    assert not len(ids) and not len(words) and sizes.tolist() == [0, 0]
+
+
+def test_scoring_stays_in_small_blocks():
+    """Outputs of many states are worked out in blocks: what one thread holds at once does not leave the processor's cache far behind."""
+    r = np.random.default_rng(4)
+    sizes = np.full(256, 250)
+    buckets = random_buckets(r, sizes.sum())
+    buckets[buckets == 0] = language_model.BUCKETS
+    p = language_model.start_parameters()
+    language_model.log_likelihoods(p, buckets, sizes)
+    tracemalloc.start()
+    try:
+        language_model.log_likelihoods(p, buckets, sizes)
+        assert tracemalloc.get_traced_memory()[1] < 12 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_against_a_plain_pass(docs, spark):
     """`score` of every text from the trained parameters, word by word, with shares counted over the whole table."""
     lm = language_model
