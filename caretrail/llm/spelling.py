@@ -1,7 +1,7 @@
 """Spelling variants of a corpus' words by a relational trie frontier.
 
-The words' prefixes are the nodes of a trie, kept as a distributed table of edges by depth: a node's row has its children, each
-with its character, whether a word ends there, and which characters and how many of them may follow. Level by level the
+The words' prefixes are the nodes of a trie, kept as a distributed table of edges by depth: a row per child of a node, with its
+character and which characters and how many of them may follow. Level by level the
 frontier, states (word, rest of the word, node, edits), is joined with the edges of that depth: a state without an edit takes a
 replaced, an inserted or a deleted character, a state with one goes on along equal characters only. A state that has read its
 word, has one edit and is where a word ends makes the two words neighbours.
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from caretrail.llm.common import lower_ascii, materialize, table, text_of
 from caretrail.sources.shared import fresh_path
 
-RUN_RE = "[a-z\\u00C0-\\u00FF]"
+RUN_RE = "[A-Za-z\\u00C0-\\u00FF]"
 LEAST_LETTERS, LEAST_COUNT = 5, 3
 #: One run in so many loses a code point.
 TYPO_MOD = 97
@@ -43,8 +43,10 @@ SALTS = [(3, 16), (5, 4)]
 
 def runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word): the runs of every text, one in TYPO_MOD with a code point deleted; shorter runs than a word's are left out."""
-    found = F.regexp_extract_all(lower_ascii(text_of(text_col)), F.lit(f"({RUN_RE}{{{LEAST_LETTERS},}})"), F.lit(1))
+    found = F.regexp_extract_all(text_of(text_col), F.lit(f"{RUN_RE}{{{LEAST_LETTERS},}}"), F.lit(0))
     each = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.explode(found).alias("run"))
+    plain = F.octet_length("run") == F.length("run")  # of A-Z and a-z alone, where lower() knows no other capitals
+    each = each.select("id", F.when(plain, F.lower("run")).otherwise(lower_ascii(F.col("run"))).alias("run"))
     h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
     at = (F.col("h") % F.length("run")).cast("int")
     cut = F.concat(F.expr("substr(run, 1, int(h % length(run)))"), F.col("run").substr(at + 2, F.length("run")))
@@ -86,22 +88,20 @@ def _salt(depth: Column) -> Column:
 
 
 def trie_edges(walkers: DataFrame) -> DataFrame:
-    """(depth, node, salt, salts, children): children are {ch, node, ends, follow, lefts}; bit k of lefts says that a word ends k
-    code points below; salts is what their own states are dealt over."""
+    """(depth, node, salt, salts, ch, child, follow, lefts), a row per child: follow has a bit for each character that may follow it,
+    which some share, and bit k of lefts says that a word ends k code points below; salts is what its own states are dealt over."""
     steps = walkers.select("back", "w", "size", F.explode(F.sequence(F.floor(F.col("size") / 2).cast("int"), F.col("size"))).alias("d"))
     child = steps.where("d > 0").select(
-        F.col("d"),
+        (F.col("d") - 1).alias("depth"),
         _node(F.expr("substr(w, 1, d - 1)"), F.col("back")).alias("node"),
         F.expr("substr(w, d, 1)").alias("ch"),
         _node(F.expr("substr(w, 1, d)"), F.col("back")).alias("child"),
-        F.expr("substr(w, d + 1, 1)").alias("next"),
+        F.expr("if(d < size, shiftleft(1L, ascii(substr(w, d + 1, 1)) & 63), 0L)").alias("next"),
         F.expr("shiftleft(1L, size - d)").alias("left"),
     )
-    child = child.groupBy("d", "node", "ch", "child").agg(F.array_join(F.collect_set("next"), "").alias("follow"), F.bit_or("left").alias("lefts"))
-    kid = F.struct("ch", F.col("child").alias("node"), (F.col("lefts").bitwiseAND(F.lit(1).cast("long")) == 1).alias("ends"), "follow", "lefts")
-    nodes = child.groupBy((F.col("d") - 1).alias("depth"), "node").agg(F.collect_list(kid).alias("children"))
+    child = child.groupBy("depth", "node", "ch", "child").agg(F.bit_or("next").alias("follow"), F.bit_or("left").alias("lefts"))
     copies = F.explode(F.sequence(F.lit(0), _salts(F.col("depth")) - 1)).alias("salt")
-    return nodes.select("depth", "node", copies, _salts(F.col("depth") + 1).alias("salts"), "children")
+    return child.select("depth", "node", copies, _salts(F.col("depth") + 1).alias("salts"), "ch", "child", "follow", "lefts")
 
 
 def own_states(walkers: DataFrame) -> DataFrame:
@@ -110,19 +110,21 @@ def own_states(walkers: DataFrame) -> DataFrame:
     return at.select("depth", "id", F.expr("substr(w, depth + 1)").alias("rest"), _node(F.expr("substr(w, 1, depth)"), F.col("back")).alias("node"), F.lit(0).alias("edits"), _salt(F.col("depth")))
 
 
+def _alive(skip: int) -> str:
+    """Whether the rest without `skip` code points may still be read below the child."""
+    end = f"(length(rest) = {skip} OR (follow & shiftleft(1L, ascii(substr(rest, {skip + 1}, 1)) & 63)) <> 0)"
+    return f"(lefts & shiftleft(1L, length(rest) - {skip})) <> 0 AND {end}"
+
+
 def _level(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States (id, rest, node, edits, salt) -> those a code point deeper from which an end may still be reached."""
-    met = states.join(edges.select("node", "salt", "salts", "children"), ["node", "salt"])
-    move = lambda c, skip: F.struct(F.expr(f"substr(rest, {skip + 1})").alias("rest"), c["node"].alias("node"), c["ends"].alias("ends"), c["follow"].alias("follow"), c["lefts"].alias("lefts"))
-    first, second = F.expr("substr(rest, 1, 1)"), F.expr("substr(rest, 2, 1)")
-    same = F.transform(F.filter("children", lambda c: c["ch"] == first), lambda c: move(c, 1))
-    other = F.filter("children", lambda c: c["ch"] != first)
-    replaced = F.when(first != "", F.transform(other, lambda c: move(c, 1))).otherwise(F.array())
-    deleted = F.when((second != "") & (first != second), F.transform(F.filter("children", lambda c: c["ch"] == second), lambda c: move(c, 2))).otherwise(F.array())
-    edited = F.concat(replaced, F.transform(other, lambda c: move(c, 0)), deleted)
-    after = met.select("id", "salts", F.explode(F.when(F.col("edits") == 1, same).otherwise(edited)).alias("x")).select("id", "salts", "x.*")
-    alive = F.col("lefts").bitwiseAND(F.expr("shiftleft(1L, length(rest))")) != 0
-    after = after.where(alive & ((F.col("rest") == "") | (F.instr("follow", F.expr("if(rest = '', ' ', substr(rest, 1, 1))")) > 0)))
+    met = states.join(edges.select("node", "salt", "salts", "ch", "child", "follow", "lefts"), ["node", "salt"])
+    equal = "ch = substr(rest, 1, 1)"
+    read = f"if(edits = 1, {equal}, rest <> '' AND NOT {equal}) AND {_alive(1)}"  # as it is, or replaced
+    inserted = f"edits = 0 AND NOT {equal} AND {_alive(0)}"
+    deleted = f"edits = 0 AND length(rest) > 1 AND NOT {equal} AND ch = substr(rest, 2, 1) AND {_alive(2)}"
+    rests = F.expr(f"array(if({read}, substr(rest, 2), NULL), if({inserted}, rest, NULL), if({deleted}, substr(rest, 3), NULL))")
+    after = met.select("id", "salts", F.col("child").alias("node"), F.explode(rests).alias("rest")).where("rest IS NOT NULL")
     return after.select("id", "rest", "node", F.lit(1).alias("edits"), F.pmod("id", "salts").cast("int").alias("salt"))
 
 

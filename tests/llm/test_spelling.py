@@ -72,3 +72,19 @@ def test_chains_lead_to_their_end(spark):
 
 def test_empty_table(spark):
     assert not got(spark, [])
+
+
+def test_capitals_beyond_a_to_z_stay(spark):
+    rows = [(i, "WORTE Worte worte ÀWORTE àworte Éworte éWORTE") for i in range(4)]
+    assert got(spark, rows) == plain(rows)
+
+
+def test_edges_are_added_up_in_place(spark):
+    """A row per child and numbers alone in the aggregation: sets of strings fall back to sorts of whole tasks."""
+    words = spark.createDataFrame([(1, "abcde"), (2, "abcdf"), (3, "abcef")], "id long, word string")
+    edges = spelling.trie_edges(spelling._walkers(words))
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "ObjectHashAggregate" not in plan and "SortAggregate" not in plan
+    top = edges.where("depth = 2 AND ch = 'c' AND salt = 0").collect()
+    # ab-c before d and e; backwards ed-c, fd-c and fe-c before b; two code points are left to each word's end
+    assert sorted((r.lefts, bin(r.follow).count("1")) for r in top) == [(4, 1), (4, 1), (4, 1), (4, 2)]
