@@ -191,20 +191,30 @@ def cut(text: str, sections: list, longest: int, shortest: int) -> list[tuple]:
     return out
 
 
-def chunk(docs: DataFrame, max_chars: int = 6000, min_chars: int = 200) -> DataFrame:
-    """docs (text, sections[, page_breaks]) -> a row per chunk with chunk_no; every chunk is an exact part of the text."""
-    from caretrail.functions.scalars import resolve_page
+def cut_chunks(docs: DataFrame, max_chars: int = 6000, min_chars: int = 200) -> DataFrame:
+    """docs (text, sections) with `_c`, a list of each text's chunks as CHUNK, in order; a null text is cut as an empty one."""
 
     @F.pandas_udf(CHUNK)
     def cut_all(texts: pd.Series, sections: pd.Series) -> pd.Series:
         names = ("start", "end", "heading", "sectionType", "inferredDate", "imageWorthy")
         return pd.Series([[dict(zip(names, c, strict=True)) for c in cut(t, list(s) if s is not None else [], max_chars, min_chars)] for t, s in zip(texts, sections, strict=True)])
 
+    return docs.withColumn("_c", cut_all(F.coalesce("text", F.lit("")), F.col("sections").cast(SECTION)))
+
+
+def part_of(text: Column, c: Column) -> Column:
+    """A chunk's part of its text."""
+    return F.substring(text, c["start"] + 1, c["end"] - c["start"])
+
+
+def chunk(docs: DataFrame, max_chars: int = 6000, min_chars: int = 200) -> DataFrame:
+    """docs (text, sections[, page_breaks]) -> a row per chunk with chunk_no; every chunk is an exact part of the text."""
+    from caretrail.functions.scalars import resolve_page
+
     keep = [c for c in docs.columns if c not in ("text", "sections", "page_breaks")]
-    text = F.coalesce("text", F.lit(""))
-    out = docs.withColumn("_c", cut_all(text, F.col("sections").cast(SECTION))).select("*", F.posexplode("_c").alias("chunk_no", "c"))
+    out = cut_chunks(docs, max_chars, min_chars).select("*", F.posexplode("_c").alias("chunk_no", "c"))
     pages = [resolve_page(F.col("c.start"), F.col("page_breaks")).alias("page_start"), resolve_page(F.greatest(F.col("c.start"), F.col("c.end") - 1), F.col("page_breaks")).alias("page_end")] if "page_breaks" in docs.columns else []
-    return out.select(*keep, "chunk_no", "c.*", F.substring(text, F.col("c.start") + 1, F.col("c.end") - F.col("c.start")).alias("text"), *pages)
+    return out.select(*keep, "chunk_no", "c.*", part_of(F.coalesce("text", F.lit("")), F.col("c")).alias("text"), *pages)
 
 
 def chunk_input(chunks: DataFrame, docs: DataFrame, by: list[str], header: int = 1500) -> DataFrame:

@@ -52,10 +52,10 @@ def chunk_sections(spark, sf):
 
 
 def chunk_cover(spark, sf):
-    """The chunks of a document follow each other and make up its text again."""
-    c = X.chunk(_sectioned(spark, sf), 2000)
-    g = c.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))).alias("c"), F.max(F.length("text") <= 2000).alias("fits"))
-    return g.select("doc_id", F.md5(F.array_join(F.transform("c", lambda x: x["text"]), "")).alias("text_md5"), "fits")
+    """The chunks of a document follow each other and make up its text again. A row per row, so that ids may repeat."""
+    d = X.cut_chunks(_sectioned(spark, sf), 2000)
+    whole = F.array_join(F.transform("_c", lambda c: X.part_of(C("text"), c)), "")
+    return d.select("doc_id", F.md5(F.when(C("text").isNotNull(), whole)).alias("text_md5"), F.forall("_c", lambda c: c["end"] - c["start"] <= 2000).alias("fits"))
 
 
 def chunk_prompt_input(spark, sf):
