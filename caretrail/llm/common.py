@@ -56,6 +56,12 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows, never broadcast in their next join. Spark takes a table that was exploded, or that Python makes many rows of, for as
+    small as what it was made of, and would put it into the driver before it is worked out."""
+    return rows.hint("merge")
+
+
 def bit_filter(hashes: DataFrame, n: int | None = None) -> Callable[[Column], Column]:
     """A test that holds for all the hashes (one long column), and seldom for others: one bit for each, in an array that is
     part of the plan. What it lets through has to be joined still; what it stops needs no join."""

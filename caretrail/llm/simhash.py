@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretrail.llm.common import materialize, table, text_of, without
+from caretrail.llm.common import materialize, shuffled, table, text_of, without
 from caretrail.llm.components import connected_components
 
 SHINGLE = 3
@@ -162,11 +162,11 @@ def near_links(prints: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # tasks by number of fingerprints, as each becomes some 150 rows
     spread = rows.repartition(max(prints.sparkSession.sparkContext.defaultParallelism, rows.count() // FEW + 1))
     homes = spread.mapInPandas(home_anchors, "a long, anchor long, a_group long")
-    visits = spread.mapInPandas(anchors, "b long, anchor long, b_group long")
+    visits = shuffled(spread.mapInPandas(anchors, "b long, anchor long, b_group long"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
     if grouped:
         return homes.join(visits, "anchor").where(near & (F.col("a_group") != F.col("b_group"))).select("a", "b", "a_group", "b_group")
-    return homes.drop("a_group").join(visits.drop("b_group"), "anchor").where(near).select("a", "b")
+    return homes.join(visits, "anchor").drop("a_group", "b_group").where(near).select("a", "b")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,9 @@
 
 import duckdb
 from compare import same
+from pyspark.sql import functions as F
 
+from caretrail.llm import near_text, simhash
 from caretrail.plans import catalog
 
 
@@ -14,3 +16,14 @@ def test_chunk_cover_of_repeated_and_null_documents(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     same(out, con, catalog.SQL["chunk_cover"])
+
+
+def test_replicated_fingerprints_are_not_broadcast(spark):
+    prints = spark.range(500).select(F.xxhash64("id").alias("fp"), (F.col("id") % 7).alias("group"))
+    for rows in (prints, prints.drop("group")):
+        plan = simhash.near_links(rows)._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    pairs = spark.range(500).select(F.col("id").alias("a"), F.explode(F.sequence(F.col("id") + 1, F.col("id") + 300)).alias("b"))
+    texts = spark.range(900).select(F.col("id").alias("text_key"), F.lit(b"x" * 312).alias("minima"))
+    plan = near_text.likely(pairs, texts)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan[plan.rindex("BroadcastExchange") :] if "BroadcastExchange" in plan else True
