@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caretrail.llm import simhash
-from caretrail.llm.common import materialize, text_of, with_passes
+from caretrail.llm.common import materialize, shuffled, text_of, with_passes
 from caretrail.llm.components import connected_components
 
 SHINGLE = 5
@@ -138,7 +138,7 @@ def agreeing(a: pd.Series, b: pd.Series) -> pd.Series:
 def likely(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose minima agree often enough; texts: text_key, minima."""
     of = lambda c: texts.select(F.col("text_key").alias(c), F.col("minima").alias(f"{c}_minima"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(agreeing("a_minima", "b_minima") >= LEAST_AGREE).select("a", "b")
+    return shuffled(pairs).join(of("a"), "a").join(of("b"), "b").where(agreeing("a_minima", "b_minima") >= LEAST_AGREE).select("a", "b")
 
 
 def pair_keys(open_: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def pair_keys(open_: DataFrame) -> DataFrame:
     at = F.sequence(F.lit(0), F.lit(BANDS * ROWS // 2 - 1))
     keys = open_.select("text_key", "component", F.explode(F.transform(at, lambda i: F.xxhash64(i, F.substr("minima", i * 8 + 1, F.lit(8))))).alias("key"))
     counts = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    return materialize(keys.join(counts, "key"), "near-keys")
+    return materialize(keys.join(shuffled(counts), "key"), "near-keys")
 
 
 def rare_pairs(keyed: DataFrame, open_: DataFrame) -> DataFrame:
@@ -164,7 +164,7 @@ def shared_sizes(docs: DataFrame, keys: DataFrame, percent: int, text_col: str =
     sets = shingle_sets(docs, needed, text_col)
     each = sets.select("key", F.explode("s").alias("shingle"))
     met = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1").select("shingle", (F.col("n") > COMMON).cast("int").alias("often"))
-    held = each.join(met, "shingle").groupBy("key").agg(F.sum("often").cast("int").alias("often"), F.sum(1 - F.col("often")).cast("int").alias("seldom"))
+    held = each.join(shuffled(met), "shingle").groupBy("key").agg(F.sum("often").cast("int").alias("often"), F.sum(1 - F.col("often")).cast("int").alias("seldom"))
     out = sets.select("key", "size").join(held, "key").where(100 * (F.col("often") + F.col("seldom")) >= percent * F.col("size"))
     return materialize(out.withColumnRenamed("key", "text_key"), "near-held")
 
@@ -214,7 +214,7 @@ def similar(docs: DataFrame, pairs: DataFrame, percent: int, text_col: str = "te
     sets = shingle_sets(docs, materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-needed"), text_col)
     # the sizes alone bound the similarity: the sets are joined only where it can be reached
     size = lambda c, n: sets.select(F.col("key").alias(c), F.col("size").alias(n))
-    fit = pairs.join(size("a", "m"), "a").join(size("b", "n"), "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
+    fit = shuffled(pairs).join(size("a", "m"), "a").join(size("b", "n"), "b").where(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
     both = fit.join(sets.select(F.col("key").alias("a"), "s"), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("t")), "b")
     common = both.select("a", "b", F.size(F.array_intersect("s", "t")).alias("c"), (F.col("m") + F.col("n")).alias("n"))
     return materialize(common.where(100 * F.col("c") >= percent * (F.col("n") - F.col("c"))).select("a", "b"), "near-links")
@@ -225,7 +225,7 @@ def near_links(docs: DataFrame, rows: DataFrame, percent: int, text_col: str = "
     texts = materialize(rows.select("text_key", "fp", "buckets", "minima").dropDuplicates(["text_key"]), "near-texts")
     bands = texts.select("text_key", F.posexplode("buckets").alias("band", "bucket"))
     sizes = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(bands.join(sizes, "bucket"), "near-buckets")
+    shared = materialize(bands.join(shuffled(sizes), "bucket"), "near-buckets")
     # only texts that share a bucket are compared by their minima
     met = materialize(texts.select("text_key", "minima").join(shared.select("text_key").distinct(), "text_key"), "near-met")
     first = similar(docs, likely(hub_pairs(shared).distinct(), met), percent, text_col)
