@@ -1,10 +1,13 @@
 """Queries on odd and grown tables: repeated and missing documents, plans that must not put a large side into the driver."""
 
+import random
+
 import duckdb
 from compare import same
 from pyspark.sql import functions as F
 
 from caretrail.llm import near_text, simhash
+from caretrail.operators import rule_tables as T
 from caretrail.plans import catalog
 
 
@@ -27,3 +30,21 @@ def test_replicated_fingerprints_are_not_broadcast(spark):
     texts = spark.range(900).select(F.col("id").alias("text_key"), F.lit(b"x" * 312).alias("minima"))
     plan = near_text.likely(pairs, texts)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan[plan.rindex("BroadcastExchange") :] if "BroadcastExchange" in plan else True
+
+
+def test_thresholds_join_a_step_a_value(spark):
+    rng = random.Random(11)
+    bounds = [0.0, 1.0, 2.0, 3.5, 5.0, float("nan"), None]
+    make = lambda i: (rng.choice([None, *range(12)]), i, False, rng.choice(["a", "b"]), None, rng.choice([None, None, "male", "female"]), rng.random() < 0.3, rng.choice([">=", ">", "<", "<=", "?"]), rng.choice(bounds), rng.choice("xyz"), rng.choice(["L", "M", None]), " ", f"({i % 5})")
+    table = spark.createDataFrame([make(i) for i in range(150)], T.THRESHOLD)
+    values = [None, float("nan"), -1.0, 0.0, 0.5, 1.0, 2.0, 3.0, 3.5, 4.0, 5.0, 9.0]
+    m = spark.createDataFrame([(i, rng.choice(["A ", "b", "c"]), rng.choice(values), rng.choice(["mg/dL", "mmol/L", None]), rng.choice(["male", "female", ""])) for i in range(400)], "seq int, name string, value_numeric double, unit string, sex string")
+    got = sorted(map(str, T.threshold_hits(m.withColumn("k", F.lit(1)), table, ["k"], F.col("sex"), 0).collect()))
+    r, v = table.alias("r"), F.when(F.col("r.in_mg"), T.S.to_mg_dl(F.col("value_numeric"), F.col("unit"))).otherwise(F.col("value_numeric"))
+    b, op = F.col("r.bound"), F.col("r.op")
+    holds = F.when(op == ">=", v >= b).when(op == ">", v > b).when(op == "<", v < b).when(op == "<=", v <= b) & (F.col("r.sex").isNull() | (F.col("r.sex") == F.col("m.sex")))
+    said = F.concat("label", F.lit(" "), T.S.js_number(F.col("value_numeric")), "gap", "unit", F.lit(" "), "note")
+    every = m.alias("m").join(r, (F.lower(F.trim("m.name")) == F.col("r.pattern")) & holds).groupBy("seq").agg(F.min(F.struct("rank", "code", said.alias("evidence"))).alias("h"))
+    assert got == sorted(map(str, every.select(F.lit(1).alias("k"), "seq", "h.code", "h.evidence").collect()))
+    many = spark.range(20_000).select(*[(F.lit(x) if not isinstance(x, str) else F.expr(x)).alias(c) for c, x in {"rank": "int(20000 - id)", "pattern": "'a'", "sex": "cast(null as string)", "in_mg": "false", "op": "'>='", "bound": "double(id % 50)", "code": "'x'", "label": "'L'", "gap": "' '", "note": "string(id)"}.items()])
+    assert T.threshold_steps(many).count() <= 50
