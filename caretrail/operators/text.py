@@ -46,12 +46,31 @@ EDIT = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 REDACTED = T.StructType([T.StructField("edits", EDIT), T.StructField("text", T.StringType())])
 
 
-def _name_pattern(name: str) -> re.Pattern | None:
-    """Where else a labelled name occurs: Latin names of 3 letters or more as whole words, others of 2 or more anywhere."""
+_ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+
+
+def ascii_lower(text: str) -> str:
+    """A-Z in lower case, all else as it is, so that places stay."""
+    return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
+
+
+def name_spans(text: str, folded: str, name: str) -> Iterator[tuple[int, int]]:
+    """Where else a labelled name occurs: Latin names of 3 letters or more as whole words in either case, others of 2 or more
+    anywhere. folded is ascii_lower(text). No pattern is compiled, as most names occur in one text only."""
     latin = bool(re.search("[A-Za-z]", name))
     if len(name) < (3 if latin else 2):
-        return None
-    return re.compile(rf"(?ai:\b{re.escape(name)}\b)") if latin else re.compile(re.escape(name))
+        return
+    within, wanted = (folded, ascii_lower(name)) if latin else (text, name)
+    first, last = name[0] in _WORD, name[-1] in _WORD
+    at = within.find(wanted)
+    while at >= 0:
+        end = at + len(wanted)
+        if not latin or ((at > 0 and text[at - 1] in _WORD) != first and (end < len(text) and text[end] in _WORD) != last):
+            yield at, end
+            at = within.find(wanted, end)
+        else:
+            at = within.find(wanted, at + 1)
 
 
 def find_edits(text: str, rules) -> list[tuple[int, int, str]]:
@@ -70,10 +89,10 @@ def find_edits(text: str, rules) -> list[tuple[int, int, str]]:
         for m in pattern.finditer(text):
             claim(*m.span(), replacement)
     names = [m[1].strip() for p in NAME_FIELDS for m in re.finditer(p, text)]
+    folded = ascii_lower(text) if names else ""
     for name in dict.fromkeys(filter(None, names)):
-        if pattern := _name_pattern(name):
-            for m in pattern.finditer(text):
-                claim(*m.span(), "[PATIENT NAME]")
+        for a, b in name_spans(text, folded, name):
+            claim(a, b, "[PATIENT NAME]")
     return spans
 
 
@@ -199,7 +218,9 @@ def cut_chunks(docs: DataFrame, max_chars: int = 6000, min_chars: int = 200) ->
         names = ("start", "end", "heading", "sectionType", "inferredDate", "imageWorthy")
         return pd.Series([[dict(zip(names, c, strict=True)) for c in cut(t, list(s) if s is not None else [], max_chars, min_chars)] for t, s in zip(texts, sections, strict=True)])
 
-    return docs.withColumn("_c", cut_all(F.coalesce("text", F.lit("")), F.col("sections").cast(SECTION)))
+    # else Spark would filter by the lists' sizes before it explodes them, and cut (and redact) every text once more for that
+    once = cut_all.asNondeterministic()
+    return docs.withColumn("_c", once(F.coalesce("text", F.lit("")), F.col("sections").cast(SECTION)))
 
 
 def part_of(text: Column, c: Column) -> Column:

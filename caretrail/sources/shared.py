@@ -32,3 +32,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows in a task that works on texts in Python.
+PER_TASK = 20_000
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """rows, n of them, dealt to tasks by their number: a small file of keys makes few tasks, however long the texts are that it is
+    joined with."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, n // PER_TASK + 1))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from caretrail.sources.shared import dealt, written
+
 BUCKETS = 64
 
 
@@ -32,12 +34,13 @@ def upsert_batch(rows: DataFrame, n: int, root: str, store: str, key: list[str],
 
     spark = rows.sparkSession
     bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    rows = written(rows, "batch")  # read twice: for the buckets, and for their rows
     rows = rows.withColumn("_seq", F.struct(F.lit(n).cast("long").alias("n"), *([F.col(order).alias("o")] if order else [])))
     touched = [r["b"] for r in rows.select(bucket.alias("b")).distinct().collect()]  # at most as many as there are buckets
     old = _latest(spark, root, store, n) if n else {}
     paths = [f"{root}/{store}/batch={old[b]}/bucket={b}" for b in touched if b in old]
     current = spark.read.schema(rows.drop("_seq").schema).parquet(*paths) if paths else rows.drop("_seq").limit(0)
-    upsert(current, rows, key, "_seq").withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{store}/batch={n}")
+    upsert(current, rows, key, "_seq").withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/{store}/batch={n}")
     spark.createDataFrame([(b, n) for b in touched], "bucket int, batch bigint").coalesce(1).write.mode("overwrite").parquet(f"{root}/{store}-index/part-{n}")
 
 
@@ -54,9 +57,11 @@ def record_job(responses: DataFrame) -> Callable[[DataFrame], DataFrame]:
     from caretrail.operators import merge, text
 
     def job(documents: DataFrame) -> DataFrame:
+        documents = dealt(documents.select("record_id", "text"), documents.count())
         chunks = text.chunk(text.redact(documents.select("record_id", "text", F.lit(None).cast(text.SECTION).alias("sections"))).drop("edits"))
         by = ["record_id", "chunk_no"]
-        parsed = text.parse_extraction(chunks.select(*by).join(responses, by), by)
+        # written, as parsing reads the answers three times: otherwise every text would be redacted and cut for each
+        parsed = text.parse_extraction(written(written(chunks.select(*by), "chunks").join(responses.select(*by, "content"), by), "answers"), by)
         said = text.inherit_report_attribution(parsed, by).withColumns(
             {
                 "seq": F.col("chunk_no").cast("long") * 1_000_000 + F.col("line_no"),

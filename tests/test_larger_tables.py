@@ -1,14 +1,18 @@
 """Queries on odd and grown tables: repeated and missing documents, plans that must not put a large side into the driver."""
 
 import random
+import re
 
 import duckdb
+import pandas as pd
 from compare import same
 from pyspark.sql import functions as F
 
 from caretrail.llm import near_text, simhash
 from caretrail.operators import rule_tables as T
+from caretrail.operators import text
 from caretrail.plans import catalog
+from caretrail.streaming import jobs
 
 
 def test_chunk_cover_of_repeated_and_null_documents(spark, tmp_path):
@@ -48,3 +52,30 @@ def test_thresholds_join_a_step_a_value(spark):
     assert got == sorted(map(str, every.select(F.lit(1).alias("k"), "seq", "h.code", "h.evidence").collect()))
     many = spark.range(20_000).select(*[(F.lit(x) if not isinstance(x, str) else F.expr(x)).alias(c) for c, x in {"rank": "int(20000 - id)", "pattern": "'a'", "sex": "cast(null as string)", "in_mg": "false", "op": "'>='", "bound": "double(id % 50)", "code": "'x'", "label": "'L'", "gap": "' '", "note": "string(id)"}.items()])
     assert T.threshold_steps(many).count() <= 50
+
+
+def test_names_are_found_as_their_patterns_would(spark):
+    rng = random.Random(7)
+    for _ in range(4000):
+        pick = lambda n: "".join(rng.choice("aAbB.-_ 王é1ſK") for _ in range(n))
+        name, body = pick(rng.randint(1, 4)), pick(rng.randint(0, 30))
+        latin = bool(re.search("[A-Za-z]", name))
+        pattern = rf"(?ai:\b{re.escape(name)}\b)" if latin else re.escape(name)
+        want = [m.span() for m in re.finditer(pattern, body)] if len(name) >= (3 if latin else 2) else []
+        assert list(text.name_spans(body, text.ascii_lower(body), name)) == want
+
+
+def test_a_batch_reads_its_documents_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def counted(x: pd.Series) -> pd.Series:
+        read.add(len(x))
+        return x
+
+    docs = spark.range(30).select(F.col("id").alias("record_id"), F.concat(F.lit("note "), F.col("id").cast("string")).alias("text")).repartition(3).withColumn("text", counted("text"))
+    said = '{"type":"condition","name_medical":"Asthma","earliest_date":null,"notes":null}\n{"type":"report_provider","name":"Dr. A","specialty":null,"email":null,"phone":null,"evidence":null}'
+    answers = spark.range(30).select(F.col("id").alias("record_id"), F.lit(0).alias("chunk_no"), F.lit(said).alias("content"))
+    jobs.upsert_batch(jobs.record_job(answers)(docs), 0, str(tmp_path), "conditions", ["record_id", "condition_key"])
+    assert jobs.read_snapshot(spark, str(tmp_path), "conditions").where("provider_name = 'Dr. A'").count() == 30
+    assert read.value == 30
