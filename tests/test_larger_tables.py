@@ -79,3 +79,10 @@ def test_a_batch_reads_its_documents_once(spark, tmp_path):
     jobs.upsert_batch(jobs.record_job(answers)(docs), 0, str(tmp_path), "conditions", ["record_id", "condition_key"])
     assert jobs.read_snapshot(spark, str(tmp_path), "conditions").where("provider_name = 'Dr. A'").count() == 30
     assert read.value == 30
+
+
+def test_conditions_come_from_one_pass_over_the_lines(spark):
+    """Each line of the orders is joined and numbered once, however often a query reads its conditions."""
+    scans = lambda df: len(re.findall(r"Relation \[[^]]*l_linenumber", df._jdf.queryExecution().optimizedPlan().toString()))
+    for name, most in (("condition_view", 1), ("place_conditions", 1), ("place_first", 1), ("place_masked", 1), ("timeline", 1), ("read_store", 0), ("validate_backup", 0), ("date_overrides", 0), ("snap_to_nearest", 0)):
+        assert scans(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) <= most, name
