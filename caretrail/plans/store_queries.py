@@ -241,9 +241,13 @@ def repair_coordinates(spark, sf):
     return P.repair_coordinates(p, _masks(spark, sf)).select("id", "system", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
-def place_conditions(spark, sf):
+def _placed(spark, sf):
     c = _conditions(spark, sf).select("patient_id", S.normalize_system(C("system")).alias("system"), C("id").alias("condition_id"), "seq", (C("seq") % 3).cast("double").alias("cx"), F.lit(10.0).alias("cy"))
-    return P.place_conditions(c, ["patient_id"]).select("condition_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
+    return P.place_conditions(c, ["patient_id"]).withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+
+
+def place_conditions(spark, sf):
+    return _placed(spark, sf).select("condition_id", "cx", "cy")
 
 
 def _unplaced(spark, sf):
@@ -262,9 +266,8 @@ def place_masked(spark, sf):
 
 def place_first(spark, sf):
     """The first conditions of each system keep their points, as nothing is there yet."""
-    out = place_conditions(spark, sf)
-    n = _conditions(spark, sf).groupBy("patient_id", S.normalize_system(C("system")).alias("system")).agg(F.min_by("id", "seq").alias("condition_id"))
-    return n.select("condition_id").join(out, "condition_id")
+    first = _placed(spark, sf).groupBy("patient_id", "system").agg(F.min_by(F.struct("condition_id", "cx", "cy"), "seq").alias("x"))
+    return first.select("x.*")
 
 
 def stream_ingest(spark, sf):
