@@ -64,10 +64,11 @@ _CHANGES_SQL = ", s AS (SELECT *, id % 10 AS n FROM health_records), ch AS (SELE
 def read_store(spark, sf):
     """A store written as Parquet, then the rows of some parents read back."""
     root = _folder(spark)
-    rows = _locations(spark, sf).select(C("patient_id").cast("string"), "id", "condition_id", "cx", "cy", "is_primary")
+    c = written(_conditions(spark, sf).select("patient_id", "id", "cx", "cy", "seq"), "conditions")
+    rows = _locations(spark, sf, c).select(C("patient_id").cast("string"), "id", "condition_id", "cx", "cy", "is_primary")
     none = F.lit(None).cast("string")
     ST.write_store(rows.withColumns({"anatomical_location": none, "laterality": none, "evidence": none}), root, "condition_locations")
-    parents = _conditions(spark, sf).where("seq % 2 = 0").select(C("id").alias("condition_id"))
+    parents = c.where("seq % 2 = 0").select(C("id").alias("condition_id"))
     return ST.read_store(spark, root, "condition_locations", "condition_id", parents).select("patient_id", "id", "condition_id", "cx", "cy", "is_primary")
 
 

@@ -60,8 +60,8 @@ def timeline(spark, sf):
     return V.timeline(shown).select("patient_id", "n", "id", "label", "system", "status", "year_frac")
 
 
-def _locations(spark, sf):
-    c = _conditions(spark, sf).where("seq % 4 > 0")
+def _locations(spark, sf, conditions=None):
+    c = (_conditions(spark, sf) if conditions is None else conditions).where("seq % 4 > 0")
     k = F.explode(F.sequence(F.lit(0), (C("seq") % 3).cast("int")))
     return c.select("patient_id", C("id").alias("condition_id"), "cx", "cy", k.alias("k")).select(
         "patient_id", "condition_id", F.concat(C("condition_id"), F.lit("-loc-"), C("k").cast("string")).alias("id"), (C("cx") + C("k")).alias("cx"), (C("cy") - C("k")).alias("cy"), (C("k") == 1).alias("is_primary")
