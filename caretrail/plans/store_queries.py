@@ -223,6 +223,7 @@ def decode_blobs(spark, sf):
 def validate_backup(spark, sf):
     s = _stores(spark, sf)
     s["conditions"] = s["conditions"].withColumn("record_id", F.when(C("cx") % 30 == 0, "gone").otherwise(C("record_id"))).withColumn("status", F.when(C("cx") % 31 == 0, "odd").otherwise(C("status")))
+    s["conditions"] = written(s["conditions"], "conditions")  # every check reads them
     return B.validate_backup(s)
 
 
