@@ -12,6 +12,7 @@ from caretrail.operators import views as V
 from caretrail.plans.bindings import bind, view_sql
 from caretrail.plans.merge_queries import _SUMMARIES_SQL, MERGED_SQL, _summaries
 from caretrail.plans.scalar_queries import _CLASS, _MODEL_SCORE, _SYSTEM
+from caretrail.sources.shared import written
 
 C = F.col
 
@@ -90,8 +91,9 @@ def flag_unconfirmed(spark, sf):
 
 
 def date_overrides(spark, sf):
-    o = _conditions(spark, sf).where("seq % 5 = 0").select(C("id").alias("condition_id"), F.when(C("seq") % 10 == 0, "unknown").otherwise(F.concat(F.lit("199"), (C("seq") % 9).cast("string"), F.lit(".5"))).alias("value"))
-    return V.apply_overrides(_conditions(spark, sf), o).select("id", "year_frac")
+    c = written(_conditions(spark, sf).select("id", "seq", "year_frac"), "conditions")
+    o = c.where("seq % 5 = 0").select(C("id").alias("condition_id"), F.when(C("seq") % 10 == 0, "unknown").otherwise(F.concat(F.lit("199"), (C("seq") % 9).cast("string"), F.lit(".5"))).alias("value"))
+    return V.apply_overrides(c, o).select("id", "year_frac")
 
 
 def rail_range(spark, sf):
