@@ -101,7 +101,7 @@ def rail_range(spark, sf):
 
 
 def snap_to_nearest(spark, sf):
-    c = _conditions(spark, sf).where("year_frac > 0")
+    c = written(_conditions(spark, sf).where("year_frac > 0").select("patient_id", "id", "year_frac"), "conditions")
     rails = V.rail_range(c, bind(spark, sf, "patients"))
     probes = bind(spark, sf, "dated").select(C("id").alias("probe_id"), C("o_custkey").alias("patient_id"), (1992 + (C("id") % 700) / F.lit(100.0)).alias("year"))
     return V.snap_to_nearest(probes, c, rails).withColumn("snapped", F.round("snapped", 6))
