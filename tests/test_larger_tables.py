@@ -12,6 +12,7 @@ from caretrail.llm import near_text, simhash
 from caretrail.operators import rule_tables as T
 from caretrail.operators import text
 from caretrail.plans import catalog
+from caretrail.sources import backup_files, store
 from caretrail.streaming import jobs
 
 
@@ -86,3 +87,23 @@ def test_conditions_come_from_one_pass_over_the_lines(spark):
     scans = lambda df: len(re.findall(r"Relation \[[^]]*l_linenumber", df._jdf.queryExecution().optimizedPlan().toString()))
     for name, most in (("condition_view", 1), ("place_conditions", 1), ("place_first", 1), ("place_masked", 1), ("timeline", 1), ("read_store", 0), ("validate_backup", 0), ("date_overrides", 0), ("snap_to_nearest", 0)):
         assert scans(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")) <= most, name
+
+
+def test_further_providers_need_no_shuffle(spark, tmp_path):
+    people = [{"name": n, "email": e} for n, e in (("A", None), ("A", ""), (None, "x"), ("B", "b"), ("C", None), ("B", "b"), ("D", None))]
+    events = [{"event_type": "treated", "date": "2020-01-01", "provider": {"name": "C"}}, {"event_type": "treated", "date": None, "provider": {"name": "B", "email": "b"}}]
+    rows = [(1, 1, "c1", 1, "Asthma", {"name": "D"}, people, events), (1, 1, "c2", 2, "Gout", None, people, None), (1, 1, "c3", 3, "Rash", None, None, None)]
+    kind = "patient_id long, record_id long, condition_id string, seq long, name_medical string, provider struct<name:string,email:string>, providers array<struct<name:string,email:string>>, care_events array<struct<event_type:string,date:string,provider:struct<name:string,email:string>>>"
+    e = spark.createDataFrame(rows, kind)
+    providers = store.normalize(e, e.select("condition_id", F.lit(1.0).alias("cx"), F.lit(2.0).alias("cy")), "2024-01-01")["providers"]
+    plan = providers._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+    got = sorted(r.id for r in providers.collect())
+    assert got == sorted(["c1-care-0-provider", "c1-provider", "c1-provider-extra-0", "c1-provider-extra-2", "c2-provider-extra-0", "c2-provider-extra-2", "c2-provider-extra-3", "c2-provider-extra-5"])
+
+
+def test_backups_are_packed(spark, tmp_path):
+    envelope = '{"app": "x", "stores": {"conditions": [' + ",".join(['{"name": "Asthma", "note": null}'] * 2000) + "]}}"
+    backup_files.write_backup(spark.createDataFrame([(envelope,)], "envelope string"), f"{tmp_path}/b")
+    assert sum(f.stat().st_size for f in tmp_path.glob("b/part*")) < len(envelope) / 10
+    assert [r.envelope for r in backup_files.read_backup(spark, f"{tmp_path}/b").collect()] == [envelope]
